@@ -1,0 +1,74 @@
+"""The registered queries of the training-data operators, and SQL where it can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import mixing, sharding
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def op3_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(_read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+named AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS sno
+  FROM sized GROUP BY source),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][sno % 3 + 1]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM named),
+levels AS (
+  SELECT *, row_number() OVER by_level AS nth,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (by_level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (by_level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM weighed WINDOW by_level AS (ORDER BY cap / weight, sno)),
+targets AS (
+  SELECT sno, source, source_size, least(cap, weight * (SELECT min_by(level, nth) FROM levels WHERE level <= cap / weight)) AS target
+  FROM levels),
+quotas AS (SELECT *, floor(target + 0.5)::BIGINT AS quota, ceil(floor(target + 0.5) / 1024)::BIGINT AS blocks FROM targets),
+line AS (SELECT *, (sum(blocks) OVER (ORDER BY sno))::BIGINT AS high, (sum(blocks) OVER ())::BIGINT AS n FROM quotas),
+points AS (
+  SELECT i AS slot, (i >> {mixing.FAR_BITS}) * {mixing.FAR_STEP!r}::DOUBLE AS far,
+         ((i & {2**mixing.FAR_BITS - 1}) + 0.5::DOUBLE) * {mixing.STEP!r}::DOUBLE AS near
+  FROM range((SELECT coalesce(max(n), 0) FROM line)) t(i)),
+hits AS (
+  SELECT sno, slot, row_number() OVER (PARTITION BY sno ORDER BY slot) - 1 AS rank
+  FROM points JOIN line ON floor(((far - floor(far) + near) - floor(far - floor(far) + near)) * n) >= high - blocks
+                       AND floor(((far - floor(far) + near) - floor(far - floor(far) + near)) * n) < high),
+stream AS (
+  SELECT s.*, l.* EXCLUDE (source), coalesce(sum(size) OVER (PARTITION BY sno ORDER BY digest, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized s JOIN line l ON s.source IS NOT DISTINCT FROM l.source),
+reads AS (
+  SELECT sno, start, size, start + e * source_size AS low, least(start + e * source_size + size, quota) AS high
+  FROM stream, (VALUES (0), (1)) v(e) WHERE size > 0),
+pieces AS (
+  SELECT sno, start, size, rank, least(high, (rank + 1) * 1024) - greatest(low, rank * 1024) AS words
+  FROM (SELECT *, unnest(range(low // 1024, (high - 1) // 1024 + 1)) AS rank FROM reads WHERE low < high)),
+mixed AS (
+  SELECT p.sno, start, size, sum(words)::BIGINT AS taken, min(coalesce(h.slot, l.n + l.high - l.blocks + p.rank))::BIGINT AS first_slot
+  FROM pieces p JOIN line l ON p.sno = l.sno LEFT JOIN hits h ON h.sno = p.sno AND h.rank = p.rank GROUP BY ALL)
+SELECT doc_id, s.size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(first_slot, -1)::BIGINT AS first_slot
+FROM stream s LEFT JOIN mixed m ON s.sno = m.sno AND s.start = m.start AND s.size = m.size
+"""
+
+
+def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_by_bytes(_read(spark, sf_dir, "documents"), 24)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+QUERIES = {
+    "op3_source_schedule": op3_source_schedule,
+    "op8_prefix_sum_shards": op8_prefix_sum_shards,
+}
+ORACLE_SQL = {"op3_source_schedule": OP3_SQL}
