@@ -118,9 +118,13 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), first_slot (-1: none)."""
     stream, mix = mix_sources(docs, **how)
-    taken = mix.groupBy("sno", "start", "size").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")
-    )
+    taken = mix.groupBy("sno", "start", "size").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     rows = stream.select("sno", "start", "size", "doc_id", "source_size", "target").join(taken, ["sno", "start", "size"], "left")
     return rows.select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("first_slot", F.lit(-1).cast("long")).alias("first_slot")
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+        F.coalesce("first_slot", F.lit(-1).cast("long")).alias("first_slot"),
     )

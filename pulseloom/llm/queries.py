@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, packing, quality, sharding, toxicity
+from .labelled import id_crc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,7 +68,33 @@ def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokenizer() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = _tokenizer()
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), path, pattern)
+
+
+def op5_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (F.pmod(id_crc(), F.lit(3)) == 1).alias("held_out"), "score", "predicted")
+
+
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    scored = quality.score_documents(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", (F.pmod(id_crc(), F.lit(5)) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op5_weak_supervision_toxicity": op5_weak_supervision_toxicity,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_compression_quality": op10_compression_quality,
     "op3_source_schedule": op3_source_schedule,
     "op8_prefix_sum_shards": op8_prefix_sum_shards,
 }
