@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, toxicity
+from . import ann_tree, brown_lm, exact_topk, mixing, packing, quality, sharding, suffix_dedup, toxicity, vectors
 from .labelled import id_crc
 
 
@@ -91,11 +91,52 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.pmod(id_crc(), F.lit(5)) == 0).alias("held_out"), "score", "predicted")
 
 
+def op1_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(1024 * x.cast("double")).cast("double"))
+    usable = rows.filter(vectors.usable()).select("vec_id", whole.alias("embedding"))
+    found = exact_topk.exact_topk(usable, F.col("vec_id") % 100 == 0, 10)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+def op7_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.approximate_topk(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), 100, digest=True)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+def op6_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.pmod(id_crc(), F.lit(7)) == 2
+    scored = brown_lm.score_documents(docs, brown_lm.fit(docs.filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
+    "op1_voronoi_topk": op1_voronoi_topk,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_brown_class_lm": op6_brown_class_lm,
+    "op7_kmeans_tree_ann": op7_kmeans_tree_ann,
     "op5_weak_supervision_toxicity": op5_weak_supervision_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_compression_quality": op10_compression_quality,
     "op3_source_schedule": op3_source_schedule,
     "op8_prefix_sum_shards": op8_prefix_sum_shards,
 }
-ORACLE_SQL = {"op3_source_schedule": OP3_SQL}
+ORACLE_SQL = {"op1_voronoi_topk": OP1_SQL, "op3_source_schedule": OP3_SQL}
