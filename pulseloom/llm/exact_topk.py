@@ -54,7 +54,7 @@ def exact_topk(table: DataFrame, is_query: Column, k: int = 10, pivots: int = 64
         return pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["cell", "n", "radius", "least"]))
 
     least = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, k + 1)
-    part = rows.mapInArrow(per_batch(summarise), "cell int, n long, radius double, least array<double>")
+    part = rows.mapInArrow(per_batch(summarise), "cell long, n long, radius double, least array<double>")
     for keys in (["cell", "part"], ["cell"]):  # in two steps, so that no group gathers a row from every batch
         part = part.withColumn("part", F.pmod(F.xxhash64("radius", "n"), F.lit(64))) if len(keys) == 2 else part
         part = part.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), least("least").alias("least"))

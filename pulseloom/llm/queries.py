@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, brown_lm, exact_topk, mixing, packing, quality, sharding, suffix_dedup, toxicity, vectors
+from . import ann_tree, brown_lm, exact_topk, minhash, mixing, packing, quality, sharding, suffix_dedup, toxicity, vectors
 from .labelled import id_crc
 
 
@@ -116,6 +116,10 @@ def op7_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.approximate_topk(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), 100, digest=True)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
@@ -130,6 +134,7 @@ def op6_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_voronoi_topk": op1_voronoi_topk,
+    "op2_dart_minhash": op2_dart_minhash,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_brown_class_lm": op6_brown_class_lm,
     "op7_kmeans_tree_ann": op7_kmeans_tree_ann,
