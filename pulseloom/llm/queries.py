@@ -68,14 +68,14 @@ def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tokenizer() -> tuple[str, str]:
+def tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = _tokenizer()
+    path, pattern = tokenizer()
     return packing.pack_documents(_read(spark, sf_dir, "documents"), path, pattern)
 
 
@@ -117,11 +117,11 @@ def op7_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), 100, digest=True)
+    rows = suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), 100, form="digest")
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 

@@ -37,6 +37,8 @@ ANCHOR = 32
 SLICE = 4 << 20
 _LOW = np.uint64((1 << 24) - 1)
 RECORD = np.dtype([("g", "u8"), ("c", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "i8"), ("high", "u1"), ("low", "u1")])
+#: Bytes of these columns that a block carries.
+WIDTH = {"g": 6, "c": 6, "th": 2, "p": 4}
 
 
 def _runs(data: np.ndarray, places: np.ndarray, length: int) -> pd.DataFrame:
@@ -137,22 +139,30 @@ def anchor_records(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _pack(records: np.ndarray) -> bytes:
-    """Columns one after another, ids as differences, compressed."""
+    """Columns one after another, ids as differences, 48 bits of either hash, compressed."""
     import zstandard
 
-    columns = [np.diff(records[k], prepend=0) if k in ("doc", "th", "p") else records[k] for k in RECORD.names]
-    return zstandard.ZstdCompressor(level=1).compress(len(records).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    out = [len(records).to_bytes(8, "little")]
+    for k in RECORD.names:
+        column = np.ascontiguousarray(np.diff(records[k], prepend=0) if k == "doc" else records[k])
+        out.append(column.view(np.uint8).reshape(len(records), -1)[:, : WIDTH.get(k)].tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def _unpack(block: bytes) -> np.ndarray:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(block)
-    out, at = np.zeros(int.from_bytes(raw[:8], "little"), RECORD), 8
+    n, at = int.from_bytes(raw[:8], "little"), 8
+    out = np.zeros(n, RECORD)
     for k in RECORD.names:
-        column = np.frombuffer(raw, RECORD[k], len(out), at)
-        at += column.nbytes
-        out[k] = np.cumsum(column) if k in ("doc", "th", "p") else column
+        wide = WIDTH.get(k, RECORD[k].itemsize)
+        column = np.frombuffer(raw, np.uint8, n * wide, at).reshape(n, wide)
+        at += n * wide
+        whole = np.zeros((n, RECORD[k].itemsize), np.uint8)
+        whole[:, :wide] = column
+        column = whole.view(RECORD[k]).ravel()
+        out[k] = np.cumsum(column) if k == "doc" else column
     return out
 
 
@@ -313,7 +323,7 @@ def contexts(asked: DataFrame, length: int) -> DataFrame:
             out = []
             for doc, th, text, spans in zip(batch["doc"].to_pylist(), batch["th"].to_pylist(), batch["text"], batch["spans"].to_pylist()):
                 raw = text.as_py().encode()
-                out += [(doc, th, s["p"], s["high"], s["low"], raw[s["p"] : s["p"] + s["high"] - s["low"] + length]) for s in spans if s["kind"] == 1]
+                out += [(doc, th, s["p"], s["high"], s["low"], raw[s["p"] : s["p"] + s["high"] - s["low"] + length]) for s in spans]
             if not out:
                 continue
             columns = list(zip(*out))
@@ -361,71 +371,56 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, rest: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, rest: tuple[str, ...] = (), form: str = "bytes") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (array of start and end, in bytes of the input), kept, and ``rest``.
 
-    ``kept`` holds the remaining bytes, or with ``digest`` their SHA-256. Texts are shuffled once to meet their spans;
-    those that asked for a comparison, and only those, a second time.
+    ``kept`` holds the remaining bytes; with the form "digest" their SHA-256, with "text" those that make whole
+    characters.
     """
     spark = docs.sparkSession
     parts_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     named = docs.select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"), "doc_id", F.struct(F.lit(0).alias("_"), *rest).alias("rest")
+        F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("th"), text.alias("text"), "doc_id", F.struct(F.lit(0).alias("_"), *rest).alias("rest")
     )
-    spans = meet(anchor_records(named, length, 4 * parts_), parts_)
-    found = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "p", "high", "low")).alias("spans"))
-    whole = named.join(found, ["doc", "th"], "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<kind:int,p:bigint,high:int,low:int>>)")))
+    spans = keep(meet(anchor_records(named, length, 2 * parts_), parts_))
+    gather = lambda df, name: df.groupBy("doc", "th").agg(F.collect_list(F.struct("p", "high", "low")).alias(name))
+    # both joins ask for all columns of the texts, so that Spark shuffles these once and reads them twice
+    asked = named.join(gather(spans.filter("kind = 1"), "spans"), ["doc", "th"])
+    more = compare(contexts(asked, length), parts_, length)
+    gone = gather(spans.filter("kind = 0").unionByName(more), "spans")
+    whole = named.join(gone, ["doc", "th"], "left")
     output = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
-    def finish(text: str, spans: list[dict]) -> tuple[int, int, list[tuple[int, int]], bytes]:
+    def finish(text: str, spans: list[dict] | None) -> tuple[int, int, list[dict], bytes]:
         raw = text.encode()
-        gone = merged([(s["p"], s["p"] + s["high"] - s["low"] + length) for s in spans if s["kind"] == 0])
+        gone = merged([(s["p"], s["p"] + s["high"] - s["low"] + length) for s in spans or []])
         left, at = [], 0
         for a, b in gone:
             left.append(raw[at:a])
             at = b
         left = b"".join([*left, raw[at:]])
-        return len(raw), len(raw) - len(left), gone, hashlib.sha256(left).digest() if digest else left
-
-    def finished(batch: pa.RecordBatch, rows: list[int], spans: list[list[dict]]) -> list[pa.Array]:
-        out = [finish(batch["text"][i].as_py(), s) for i, s in zip(rows, spans)]
+        removed = len(raw) - len(left)
+        if form == "digest":
+            left = hashlib.sha256(left).digest()
+        elif form == "text":
+            left = left.decode("utf-8", "ignore").encode()
+        return len(raw), removed, [{"start": a, "end": b} for a, b in gone], left
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        dicts = [[{"start": a, "end": b} for a, b in x[2]] for x in out]
-        longs = [pa.array(v, pa.int64()) for v in ([x[0] for x in out], [x[1] for x in out], [len(x[2]) for x in out])]
-        return [batch["doc_id"].take(pa.array(rows, pa.int64())), *longs, pa.array(dicts, ends), pa.array([x[3] for x in out], pa.binary())]
+        for batch in batches:
+            size, removed, gone, left = zip(*[finish(t.as_py(), x.as_py()) for t, x in zip(batch["text"], batch["spans"])]) if batch.num_rows else ([],) * 4
+            longs = [pa.array(v, pa.int64()) for v in (size, removed, [len(x) for x in gone])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *longs, pa.array(gone, ends), pa.array(left, pa.binary()), batch["rest"]], names=[*names, "rest"])
 
-    rest_type = named.schema["rest"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
+    rest_type = named.schema["rest"].dataType.simpleString()
+    return whole.mapInArrow(cut, f"{output}, rest {rest_type}").select(*names, *[F.col(f"rest.{c}").alias(c) for c in rest])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts that asked for nothing are done; the others wait with their text and spans."""
-        for batch in batches:
-            spans = batch["spans"].to_pylist()
-            waits = [any(s["kind"] == 1 for s in x) for x in spans]
-            done = [i for i, w in enumerate(waits) if not w]
-            wait = [i for i, w in enumerate(waits) if w]
-            take = pa.array(wait, pa.int64())
-            rest_ = batch["rest"]
-            columns = finished(batch, done, [spans[i] for i in done])
-            nothing = [pa.nulls(len(done), f.type) for f in (batch.schema.field(k) for k in ("doc", "th", "text", "spans"))]
-            yield pa.RecordBatch.from_arrays([*columns, rest_.take(pa.array(done, pa.int64())), *nothing], names=[*names, "rest", "doc", "th", "text", "asked"])
-            nothing = [pa.nulls(len(wait), c.type) for c in columns[1:]]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(take), *nothing, rest_.take(take), *(batch[k].take(take) for k in ("doc", "th", "text", "spans"))], names=[*names, "rest", "doc", "th", "text", "asked"]
-            )
-
-    asked = "array<struct<kind:int,p:bigint,high:int,low:int>>"
-    state = keep(whole.mapInArrow(first, f"{output}, rest {rest_type}, doc long, th long, text string, asked {asked}"))
-    waiting = state.filter("asked is not null").select("doc", "th", "text", F.col("asked").alias("spans"), "doc_id", "rest")
-    more = compare(contexts(waiting.select("doc", "th", "text", "spans"), length), parts_, length)
-    more = more.groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "p", "high", "low")).alias("more"))
-    joined = waiting.join(more, ["doc", "th"], "left").withColumn("spans", F.concat("spans", F.coalesce("more", F.expr(f"cast(array() as {asked})"))))
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(range(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([*finished(batch, rows, batch["spans"].to_pylist()), batch["rest"]], names=[*names, "rest"])
 
-    late = joined.mapInArrow(second, f"{output}, rest {rest_type}")
-    return state.filter("asked is null").select(*names, "rest").unionByName(late).select(*names, *[F.col(f"rest.{c}").alias(c) for c in rest])
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The documents, all columns, without their repeated bytes; a character that loses a byte goes as a whole."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    rows = suffix_dedup(docs, length, rest, "text")
+    return rows.withColumn("text", F.col("kept").cast("string")).select(*docs.columns)
