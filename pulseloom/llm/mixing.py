@@ -25,11 +25,11 @@ FAR_BITS = 20
 FAR_STEP = (2**FAR_BITS * STEP) % 1.0
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and md5 of the id; written once, because the regular expression is the dear part."""
+def sized_documents(docs: DataFrame, *rest: str) -> DataFrame:
+    """doc_id, source, size (words), md5 of the id, and further columns."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return keep(docs.select("doc_id", "source", size.alias("size"), digest.alias("digest")))
+    return docs.select("doc_id", "source", size.alias("size"), digest.alias("digest"), *rest)
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -65,13 +65,16 @@ def block_stream(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return running_total(rows, {"start": "size"}, "bucket", ["digest", "doc_id", "size"], ["sno"])
 
 
+def reads(stream: DataFrame, repeats: int) -> DataFrame:
+    """One row for each time that a document is read: its place [low, high) in the stream, as far as the quota reaches."""
+    low = F.explode(F.array(*[F.col("start") + i * F.col("source_size") for i in range(repeats)]))
+    again = stream.filter("size > 0").withColumn("low", low)
+    return again.withColumn("high", F.least(F.col("low") + F.col("size"), F.col("quota"))).filter("low < high")
+
+
 def pieces(stream: DataFrame, block: int, repeats: int) -> DataFrame:
     """The part of each document in each block that its source's quota reaches: sno, start, size, rank, words."""
-    reads = stream.filter("size > 0").select(
-        "sno", "start", "size", "quota", F.explode(F.array(*[F.col("start") + i * F.col("source_size") for i in range(repeats)])).alias("low")
-    )
-    reads = reads.withColumn("high", F.least(F.col("low") + F.col("size"), F.col("quota"))).filter("low < high")
-    cut = reads.select("*", F.explode(F.sequence(F.expr(f"low div {block}"), F.expr(f"(high - 1) div {block}"))).alias("rank"))
+    cut = reads(stream, repeats).select("*", F.explode(F.sequence(F.expr(f"low div {block}"), F.expr(f"(high - 1) div {block}"))).alias("rank"))
     words = F.least(F.col("high"), (F.col("rank") + 1) * block) - F.greatest(F.col("low"), F.col("rank") * block)
     return cut.select("sno", "start", "size", "rank", words.alias("words"))
 
@@ -106,7 +109,7 @@ def mix_sources(
     words. Where the schedule ran out before a source had all its blocks, the missing ones follow at the end of it,
     in slots from the number of slots on, so every source gets its quota to the word.
     """
-    sized = sized_documents(docs)
+    sized = keep(sized_documents(docs))  # the regular expression is the dear part
     sources = keep(source_targets(sized, weights, share, repeats))
     stream = block_stream(sized, sources)
     line = sources.select("sno", F.ceil(F.col("quota") / block).alias("blocks"))
@@ -128,3 +131,18 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
         F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
         F.coalesce("first_slot", F.lit(-1).cast("long")).alias("first_slot"),
     )
+
+
+def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The documents as the mix takes them, all columns: one row for each time a document is read, none if it is not.
+
+    The read at which a source's quota ends has the text's first words only. These are the reads that ``mix_sources``
+    cuts into blocks; which slot each block gets orders the mix but not this table.
+    """
+    columns = docs.columns
+    sized = sized_documents(docs, F.struct(*columns).alias("rest"))
+    sources = keep(source_targets(sized.select("source", "size"), weights, share, repeats))
+    rows = reads(block_stream(sized, sources), repeats).select("rest.*", (F.col("high") - F.col("low")).cast("int").alias("_words"), F.col("size").alias("_size"))
+    stretch = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(stretch, 1, F.col("_words")), "")).otherwise(F.col("text"))
+    return rows.withColumn("text", cut).select(*columns)
