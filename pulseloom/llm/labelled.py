@@ -36,7 +36,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) ->
     for _ in range(steps):
         p = sigmoid(x @ w)
         slope = x.T @ (p - y) + penalty * w
-        bend = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        bend = (x * (p * (1 - p) + 1e-9)[:, None].astype(x.dtype)).T @ x + np.diag(penalty)
         step = np.linalg.solve(bend, slope)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:

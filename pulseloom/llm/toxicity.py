@@ -34,7 +34,7 @@ PATTERNS = (
     re.compile(r"[A-Z]{4,}!{2,}"),
     re.compile(r"!{3,}"),
 )
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 LEXICONS = 8
 #: Columns that follow the mined features: lexicon hits, hits per 100 words, insults, patterns, log of words.
 EXTRA = 3 + len(PATTERNS) + 1
@@ -55,8 +55,11 @@ class Model:
     accuracy: np.ndarray = field(default_factory=lambda: np.zeros(0))
     correlation: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def look(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """Mined features present, further columns, and the votes (1 toxic, -1 clean, 0 none) on one text."""
+    def look(self, text: str) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
+        """Columns that aren't 0 of the mined features, further columns, and the votes (1 toxic, -1 clean, 0 none) on one text.
+
+        A mined feature has two columns: that it occurs, and how often in 100 words.
+        """
         words = Counter(LETTERS.findall(text.lower()))
         n = sum(words.values())
         found: dict[int, int] = {}
@@ -77,11 +80,13 @@ class Model:
         votes[2 * LEXICONS + 1 : -2] = np.array(patterns) > 0
         votes[-2] = -1 if n and hits == 0 else 0
         votes[-1] = -1 if n and insults == 0 and 100 * hits < n else 0
-        return sorted(found), more, votes
-
-    def row(self, found: list[int], more: np.ndarray) -> float:
         m = len(self.index)
-        return float(self.weights[found].sum() + self.weights[m:-1] @ more + self.weights[-1])
+        columns = {i: 1.0 for i in found} | {m + i: min(3.0, 100 * c / max(n, 50)) for i, c in found.items()}
+        return columns, more, votes
+
+    def row(self, found: dict[int, float], more: np.ndarray) -> float:
+        w = self.weights
+        return float(sum(w[i] * x for i, x in found.items()) + w[2 * len(self.index) : -1] @ more + w[-1])
 
     def score(self, text: str) -> float:
         found, more, _ = self.look(text)
@@ -118,10 +123,14 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.n
     their sum: a voter's evidence is divided by the total of its conditional correlations above 0.1, its own (1) included.
     """
     n, m = votes.shape
-    first = (votes > 0).any(axis=1) & ((votes > 0).sum(axis=1) >= (votes < 0).sum(axis=1))
-    q = np.where(first, 0.9, 0.5 * prior)
-    share = np.ones(m)
-    correlation = np.eye(m)
+    # to begin with, voters that are all but copies of each other share one vote
+    spread = votes - votes.mean(axis=0)
+    size = np.sqrt((spread**2).mean(axis=0)) + 1e-6
+    correlation = spread.T @ spread / n / np.outer(size, size)
+    np.fill_diagonal(correlation, 1)
+    share = 1 / (correlation > 0.8).sum(axis=1)
+    for_, against = (votes > 0) @ share, (votes < 0) @ share
+    q = np.where((for_ > 0) & (for_ >= against), 0.9, 0.5 * prior)
     is_vote = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)
     for _ in range(rounds):
         weight = np.stack([1 - q, q])
@@ -142,7 +151,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.n
     return q, (right + 0.5) / ((votes != 0).sum(axis=0) + 1), correlation
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_features: int = 600, every: int = 3, held: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_features: int = 400, every: int = 3, held: int = 1) -> Model:
     """Learn from at most ``most`` labelled rows whose crc32(doc_id) mod ``every`` is not ``held``."""
     sample = keep(labelled_sample(docs, labels, "toxic", F.pmod(id_crc(), F.lit(every)) != held, most))
     names = mined_features(sample, most_features)
@@ -159,20 +168,22 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_features: i
         for b in batches:
             rows = [model.look(x or "") for x in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b["y"], pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64())), pa.array([r[2].tobytes() for r in rows], pa.binary())],
-                names=["y", "found", "more", "votes"],
-            )
+                [b["y"], pa.array([list(r[0]) for r in rows], pa.list_(pa.int32())), pa.array([list(r[0].values()) for r in rows], pa.list_(pa.float64())),
+                 pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64())), pa.array([r[2].tobytes() for r in rows], pa.binary())],
+                names=["y", "found", "value", "more", "votes"],
+            )
 
-    rows = sample.select("text", "y").mapInArrow(look, "y int, found array<int>, more array<double>, votes binary").collect()
+    rows = sample.select("text", "y").mapInArrow(look, "y int, found array<int>, value array<double>, more array<double>, votes binary").collect()
     y = np.array([r["y"] for r in rows], float)
-    model.weights = np.zeros(len(names) + EXTRA + 1)
+    m = 2 * len(names)
+    model.weights = np.zeros(m + EXTRA + 1)
     if len(set(y)) < 2:  # nothing to learn from: the general lexicon decides
-        model.weights[len(names) + 2], model.weights[-1] = 2.0, -3.0
+        model.weights[m + 2], model.weights[-1] = 2.0, -3.0
         return model
-    x = np.zeros((len(rows), len(names) + EXTRA + 1))
+    x = np.zeros((len(rows), m + EXTRA + 1), np.float32)
     for i, r in enumerate(rows):
-        x[i, list(r["found"])] = 1
-        x[i, len(names) : -1] = r["more"]
+        x[i, r["found"]] = r["value"]
+        x[i, m:-1] = r["more"]
     x[:, -1] = 1
     posterior, model.accuracy, model.correlation = label_model(np.stack([np.frombuffer(r["votes"], np.int8) for r in rows]), y.mean())
     model.weights = logistic(x, posterior, 1.0)
