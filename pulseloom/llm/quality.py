@@ -29,7 +29,7 @@ class Model:
     bad: bytes = b""
     good: bytes = b""
     level: int = 1
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
 
     def compressors(self) -> list:
         import zstandard
@@ -43,17 +43,25 @@ class Model:
         return out
 
 
-def columns(text: bytes, compressors: list) -> tuple[float, float, float, float]:
-    """Difference per byte (short texts shrunk), the better ratio, log length, 1."""
+def columns(text: bytes, compressors: list) -> tuple[float, ...]:
+    """Difference per byte, short texts shrunk a little and more, the better ratio, log length, 1."""
     n = len(text)
     bad, good = (len(c.compress(text)) for c in compressors)
-    return (10 * (bad - good) / (n + 20), min(bad, good) / (n + 20), np.log1p(n) / 10, 1.0)
+    return (10 * (bad - good) / (n + 20), 10 * (bad - good) / (n + 300), min(bad, good) / (n + 20), np.log1p(n) / 10, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, longest: int = 65_536, size: int = 112_640, every: int = 5, held: int = 0) -> Model:
-    """Learn from at most ``most`` labelled rows whose crc32(doc_id) mod ``every`` is not ``held``."""
+def _dictionary(texts: list[bytes], size: int) -> bytes:
     import zstandard
 
+    texts = [t for t in texts if t]
+    try:
+        return zstandard.train_dictionary(size, texts, level=3).as_bytes()
+    except zstandard.ZstdError:  # too few texts to train on: they are the dictionary
+        return b"".join(texts)[-size:]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, longest: int = 65_536, size: int = 112_640, every: int = 5, held: int = 0) -> Model:
+    """Learn from at most ``most`` labelled rows whose crc32(doc_id) mod ``every`` is not ``held``."""
     sample = keep(labelled_sample(docs, labels, "quality", F.pmod(id_crc(), F.lit(every)) != held, most))
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
     sizes = sample.agg(*[F.coalesce(F.sum((F.col("y") == k).cast("long")), F.lit(0)).alias(f"n{k}") for k in (0, 1)]).first()
@@ -61,20 +69,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, longest: int = 6
     if not sizes["n0"] or not sizes["n1"]:
         model.weights[-1] = 0.0 if not (sizes["n0"] or sizes["n1"]) else (3.0 if sizes["n1"] else -3.0)
         return model
-    # one class at a time reaches the driver, the same number of texts of each, within 100 times the dictionary's size
+    # as many texts of each class reach the driver as fit in 100 times a dictionary's size
+    texts: list[list[bytes]] = []
     for k in (0, 1):
         fits = sample.filter((half == 0) & (F.col("y") == k) & (F.octet_length("text") <= longest)).orderBy(F.xxhash64("doc_id"), "doc_id")
-        texts, total = [], 0
+        own, total = [], 0
         for r in fits.select(F.encode("text", "UTF-8").alias("b")).limit(3000).toLocalIterator():
-            texts.append(bytes(r["b"]))
-            total += len(r["b"])
+            own.append(bytes(r["b"]))
+            total += len(own[-1])
             if total > 100 * size:
                 break
-        try:
-            data = zstandard.train_dictionary(size, texts, level=3).as_bytes()
-        except zstandard.ZstdError:  # too few texts to train on: they are the dictionary
-            data = b"".join(texts)[-size:]
-        model.bad, model.good = (data, model.good) if k == 0 else (model.bad, data)
+        texts.append(own)
+    # lines that both classes have tell nothing, and would sit in the dictionary of the smaller class only
+    lines = [{line for t in own for line in t.split(b"\n")} for own in texts]
+    both = lines[0] & lines[1]
+    model.bad, model.good = (_dictionary([b"\n".join(x for x in t.split(b"\n") if x not in both) for t in own], size) for own in texts)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = model.compressors()
@@ -87,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, longest: int = 6
     if len(set(y)) == 2:
         model.weights = logistic(np.array([r["x"] for r in rows]), y, 1e-2)
     else:
-        model.weights = np.array([1.0, 0.0, 0.0, 1.0])
+        model.weights = np.array([1.0, 0.0, 0.0, 0.0, 1.0])
     return model
 
 
@@ -97,7 +106,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = model.compressors()
         for b in batches:
-            x = np.array([columns((t.as_py() or "").encode(), pair) for t in b["text"]], float).reshape(-1, 4)
+            x = np.array([columns((t.as_py() or "").encode(), pair) for t in b["text"]], float).reshape(-1, 5)
             score = sigmoid(x @ model.weights)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
