@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def truthy(col: Column) -> Column:
     """1.0 if the value as text is true, 1 or 1.0 in any case, else 0.0, also when missing."""
-    return F.coalesce(F.lower(F.trim(col.cast("string"))).isin("true", "1", "1.0").cast("double"), F.lit(0.0))
+    return F.coalesce(F.lower(col.cast("string")).isin("true", "1", "1.0").cast("double"), F.lit(0.0))
 
 
 def sanitize_label(col: Column, rule: str) -> Column:
@@ -29,7 +29,7 @@ def parse_code_list(col: Column, rule: str) -> Column:
         parts = F.transform(parts, lambda x: F.when(x == "-0", "0").otherwise(x))
     if rule == "zzu":
         parts = F.transform(parts, lambda x: F.replace(x, F.lit("'"), F.lit("")))
-        return F.when(col.isNull() | (F.trim(col) == "Null"), empty).otherwise(parts)
+        return F.when(col.isNull() | (col == "Null"), empty).otherwise(parts)
     return F.coalesce(parts, empty)
 
 
@@ -44,13 +44,13 @@ def parse_code_map(col: Column) -> Column:
 
 
 def record_name(col: Column, rule: str) -> Column:
-    """The lookup key of a record. ``path``: last part without .hea; ``high_rate``: .../00001_hr is HR00001; ``number``: HR%05d."""
+    """The lookup key of a record. ``path``: last part without .hea; ``rate``: .../00001_hr or _lr is HR00001; ``number``: HR%05d."""
     if rule == "number":
         return F.format_string("HR%05d", col.cast("long"))
     last = F.substring_index(col, "/", -1)
     if rule == "path":
         return F.regexp_replace(last, r"\.hea$", "")
-    return F.concat(F.lit("HR"), F.regexp_replace(last, r"_hr$", ""))
+    return F.concat(F.lit("HR"), F.regexp_replace(F.regexp_replace(last, r"(?<=.)\.[^.]*$", ""), "_hr|_lr", ""))
 
 
 def model_name(col: Column) -> Column:
@@ -58,7 +58,7 @@ def model_name(col: Column) -> Column:
     return F.lower(F.replace(F.substring_index(col, ".", -1), F.lit("Encoder"), F.lit("")))
 
 
-def age_bins(df: DataFrame, col: str, scale: float = 100.0, edges: tuple[float, ...] = (0, 20, 40, 60, 80, 120), names: tuple[str, ...] = ("0-20", "20-40", "40-60", "60-80", "80+")) -> DataFrame:
+def age_bins(df: DataFrame, col: str, scale: float = 100.0, edges: tuple[float, ...] = (0, 20, 40, 60, 80, 120), names: tuple[str, ...] = ("<20", "20-40", "40-60", "60-80", "80+")) -> DataFrame:
     """Add age_bin: lower edge inclusive, below the first edge the first bin, from the last but one up the last; no age, no bin."""
     age = F.col(col) * scale
     bin_ = F.when(age.isNull() | F.isnan(age), None)

@@ -56,7 +56,7 @@ def original_folds(records: DataFrame, names: DataFrame, folds: DataFrame, n_fol
     """
     found = records.join(names.select("record_id", "name"), "record_id", "left").join(folds.select("name", F.col("fold").alias("_given")), "name", "left")
     found = found.withColumn("fold", F.coalesce("_given", F.lit(-1)))
-    facts = found.agg(F.count_if(F.col("_given").isNotNull()).alias("hit"), F.count(F.lit(1)).alias("n"), F.min("fold").alias("low")).first()
+    facts = found.agg(F.count_if(F.col("fold") >= 0).alias("hit"), F.count(F.lit(1)).alias("n"), F.min("fold").alias("low")).first()
     if facts["n"] and 2 * facts["hit"] < facts["n"]:
         return stratify_records(records, n_folds, labels=labels)
     return found.select("record_id", (F.col("fold") - (1 if facts["low"] == 1 else 0)).cast("int").alias("fold"))

@@ -185,7 +185,7 @@ def record_name(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     wide = F.format_string("%05d", "o_orderkey")
     return table(spark, d, "orders").select(
-        "o_orderkey", s.record_name(F.concat(F.lit("a/b/r"), key, F.lit(".hea")), "path").alias("path"), s.record_name(F.concat(F.lit("records500/00000/"), wide, F.lit("_hr")), "high_rate").alias("high_rate"), s.record_name(F.col("o_orderkey"), "number").alias("number")
+        "o_orderkey", s.record_name(F.concat(F.lit("a/b/r"), key, F.lit(".hea")), "path").alias("path"), s.record_name(F.concat(F.lit("records500/00000/"), wide, F.lit("_hr")), "rate").alias("high_rate"), s.record_name(F.col("o_orderkey"), "number").alias("number")
     )
 
 
@@ -195,7 +195,7 @@ def model_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 _AGES = "ages AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal / 10000 END AS age FROM customer)"
-_BIN = "CASE WHEN age IS NULL THEN NULL WHEN age * 100 < 20 THEN '0-20' WHEN age * 100 < 40 THEN '20-40' WHEN age * 100 < 60 THEN '40-60' WHEN age * 100 < 80 THEN '60-80' ELSE '80+' END"
+_BIN = "CASE WHEN age IS NULL THEN NULL WHEN age * 100 < 20 THEN '<20' WHEN age * 100 < 40 THEN '20-40' WHEN age * 100 < 60 THEN '40-60' WHEN age * 100 < 80 THEN '60-80' ELSE '80+' END"
 
 
 def _ages(spark: SparkSession, d: str) -> DataFrame:
@@ -213,9 +213,9 @@ def age_profile_(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("available", "total", *[F.round(c, 9).alias(c) for c in ("median", "q25", "q75")])
 
 
-@query(f"WITH {_AGES}, b AS (SELECT {_BIN} AS age_bin FROM ages) SELECT n.age_bin, count(b.age_bin) AS n FROM (VALUES ('0-20'), ('20-40'), ('40-60'), ('60-80'), ('80+'), ('none')) n(age_bin) LEFT JOIN b ON n.age_bin = b.age_bin GROUP BY 1")
+@query(f"WITH {_AGES}, b AS (SELECT {_BIN} AS age_bin FROM ages) SELECT n.age_bin, count(b.age_bin) AS n FROM (VALUES ('<20'), ('20-40'), ('40-60'), ('60-80'), ('80+'), ('none')) n(age_bin) LEFT JOIN b ON n.age_bin = b.age_bin GROUP BY 1")
 def age_group_counts_(spark: SparkSession, d: str) -> DataFrame:
-    return age_group_counts(s.age_bins(_ages(spark, d), "age"), ["0-20", "20-40", "40-60", "60-80", "80+", "none"])
+    return age_group_counts(s.age_bins(_ages(spark, d), "age"), ["<20", "20-40", "40-60", "60-80", "80+", "none"])
 
 
 # ---- joins

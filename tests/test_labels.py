@@ -38,8 +38,8 @@ def test_label_names(spark):
 def test_age_bins(spark):
     df = spark.createDataFrame([(-0.1,), (0.0,), (0.2,), (0.799,), (0.8,), (1.5,), (None,)], "age double")
     binned = s.age_bins(df, "age")
-    assert [r["age_bin"] for r in binned.collect()] == ["0-20", "0-20", "20-40", "60-80", "80+", "80+", None]
-    assert dict(rows(age_group_counts(binned, ["0-20", "none"]))) == {"0-20": 2, "none": 0}
+    assert [r["age_bin"] for r in binned.collect()] == ["<20", "<20", "20-40", "60-80", "80+", "80+", None]
+    assert dict(rows(age_group_counts(binned, ["<20", "none"]))) == {"<20": 2, "none": 0}
 
 
 def test_map_codes_keeps_order_and_repeats(spark):
