@@ -12,8 +12,10 @@
    sorted order falls into blocks that share d bytes to the right; with an equal hash of o bytes to the left, d + o =
    ``length``, two windows are equal. Extensions found are verified byte by byte.
 
-Tasks resolve what repeats inside their own run of documents before the shuffle, so a passage that a third of all
-documents hold sends one record per run of about 4 MB, not one per document.
+Tasks resolve what repeats inside their own run of documents before the shuffle, so the inside of a passage that a third of
+all documents hold sends one record per run of about 4 MB. Its edges differ from document to document. An anchor with
+very many surroundings (``HOT_RUN`` in one run or ``HOT`` in all) is therefore not gathered: its windows go each to the
+place of their own hash, again after each task has resolved its own, and no task gets more than one of a kind per batch.
 
 Nulls: a null text is empty and keeps nothing; a null id comes before all others. Rows with the same id are not earlier
 than each other; rows equal in id and text share one result. Extra columns are only read if named in ``rest``.
@@ -34,6 +36,11 @@ from ..functions.shared import keep
 from .text import Prefix, data_of, mix, parts
 
 ANCHOR = 32
+#: Kinds of surroundings of one anchor, in a run of documents and in all, beyond which its windows are hashed one by one.
+HOT_RUN = 32
+HOT = 4096
+#: ``low`` of a record that only says that its anchor is hot.
+MARK = 255
 SLICE = 4 << 20
 _LOW = np.uint64((1 << 24) - 1)
 RECORD = np.dtype([("g", "u8"), ("c", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "i8"), ("high", "u1"), ("low", "u1")])
@@ -110,7 +117,11 @@ def _spans(kind: int, doc: np.ndarray, th: np.ndarray, p: np.ndarray, high: np.n
 
 
 def anchor_records(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """bucket, block: packed records by anchor hash. bucket -1 and below: spans that repeat inside this run of documents."""
+    """bucket, block: packed records by anchor hash.
+
+    Odd buckets below 0 hold spans that repeat inside this run of documents, even ones those of anchors that are hot here;
+    a hot anchor sends a mark to its bucket instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +137,15 @@ def anchor_records(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 order, _, again = _repeats([r["g"], r["c"]], r["doc"], r["th"], r["p"])
                 out: list[tuple[int, bytes]] = []
                 inside = r[order[again]]
-                if len(inside):
-                    out.append((-1 - int(mix(inside["g"][:1])[0] % np.uint64(buckets)), _pack(inside)))
                 first = r[np.sort(order[~again])]
+                g, at, many = np.unique(first["g"], return_inverse=True, return_counts=True)
+                hot = many[at] >= HOT_RUN
+                for records, code in ((inside, 1), (first[hot], 2)):
+                    if len(records):
+                        out.append((-code - 2 * int(mix(records["g"][:1])[0] % np.uint64(buckets)), _pack(records)))
+                marks = np.zeros(int((many >= HOT_RUN).sum()), RECORD)
+                marks["g"], marks["low"] = g[many >= HOT_RUN], MARK
+                first = np.concatenate([first[~hot], marks])
                 bucket = (first["g"] >> np.uint64(20)) % np.uint64(buckets)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
@@ -167,7 +184,7 @@ def _unpack(block: bytes) -> np.ndarray:
 
 
 def meet(blocks: DataFrame, parts_: int) -> DataFrame:
-    """Spans of kind 0 (repeated) and kind 1 (the first of its kind, but other records share its anchor)."""
+    """Spans of kind 0 (repeated), kind 1 (the first of its kind, but other records share its anchor) and kind 2 (so, and hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -177,13 +194,14 @@ def meet(blocks: DataFrame, parts_: int) -> DataFrame:
                 if bucket >= 0:
                     held.append(r)
                 else:
-                    yield _spans(0, r["doc"], r["th"], r["p"], r["high"], r["low"])
+                    yield _spans(0 if bucket % 2 else 2, r["doc"], r["th"], r["p"], r["high"], r["low"])
         if not held:
             return
         r = np.concatenate(held)
         held.clear()
+        marked = np.unique(r["g"][r["low"] == MARK])
         g, many = np.unique(r["g"], return_counts=True)
-        r = r[(many > 1)[np.searchsorted(g, r["g"])]]
+        r = r[(many > 1)[np.searchsorted(g, r["g"])] & (r["low"] != MARK)]
         order, new, again = _repeats([r["g"], r["c"]], r["doc"], r["th"], r["p"])
         r = r[order]
         d = r[again]
@@ -193,9 +211,10 @@ def meet(blocks: DataFrame, parts_: int) -> DataFrame:
         start = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
         group = np.cumsum(start) - 1
         kinds = np.bincount(group, weights=new) if len(g) else np.zeros(0)
-        ask = ~again & (kinds[group] > 1) if len(g) else np.zeros(0, bool)
-        d = r[ask]
-        yield _spans(1, d["doc"], d["th"], d["p"], d["high"], d["low"])
+        hot = (kinds[group] > HOT) | np.isin(g, marked) if len(g) else np.zeros(0, bool)
+        ask = ~again & (hot | (kinds[group] > 1)) if len(g) else np.zeros(0, bool)
+        for kind, d in ((1, r[ask & ~hot]), (2, r[ask & hot])):
+            yield _spans(kind, d["doc"], d["th"], d["p"], d["high"], d["low"])
 
     return blocks.repartition(parts_, "bucket").mapInArrow(run, SPANS)
 
@@ -312,52 +331,100 @@ def repeated_windows(g: np.ndarray, doc: np.ndarray, th: np.ndarray, p: np.ndarr
     return _spans(0, doc[i], th[i], p[i] + high[i] - upper, upper, lower)
 
 
-CONTEXT = "g long, doc long, th long, p long, high int, low int, bytes binary"
+CONTEXT = "kind int, key long, other long, doc long, th long, p long, high int, low int, bytes binary"
+_NAMES = ["kind", "key", "other", "doc", "th", "p", "high", "low", "bytes"]
+
+
+def _contexts(kind: int, key: np.ndarray, other: np.ndarray | None, *columns, text: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(key)
+    longs = [pa.array(np.asarray(c, np.int64)) for c in columns[:3]]
+    ints = [pa.array(np.asarray(c, np.int32)) for c in columns[3:]]
+    second = pa.nulls(n, pa.int64()) if other is None else pa.array(other)
+    content = pa.nulls(n, pa.binary()) if text is None else pa.array(text, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key), second, *longs, *ints, content], names=_NAMES)
 
 
 def contexts(asked: DataFrame, length: int) -> DataFrame:
-    """The bytes that each record of kind 1 asks for, from (doc, th, text, spans)."""
+    """From (doc, th, text, spans): kind 1, the bytes of a record by its anchor's hash; kind 2, a window of a hot anchor by
+    two hashes of its own; kind 0, windows that repeat inside this batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: dict[int, list[tuple]] = {1: [], 2: []}
             for doc, th, text, spans in zip(batch["doc"].to_pylist(), batch["th"].to_pylist(), batch["text"], batch["spans"].to_pylist()):
                 raw = text.as_py().encode()
-                out += [(doc, th, s["p"], s["high"], s["low"], raw[s["p"] : s["p"] + s["high"] - s["low"] + length]) for s in spans]
-            if not out:
-                continue
-            columns = list(zip(*out))
-            data = np.frombuffer(b"".join(columns[5]), np.uint8)
-            at = np.cumsum([0] + [len(x) for x in columns[5]])[:-1] + np.array(columns[3])
-            g = mix(Prefix(data).hash(at, at + ANCHOR)).view(np.int64)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(g), *(pa.array(c, t) for c, t in zip(columns, types))], names=["g", "doc", "th", "p", "high", "low", "bytes"])
+                for s in spans:
+                    out[s["kind"]].append((doc, th, s["p"], s["high"], s["low"], raw[s["p"] : s["p"] + s["high"] - s["low"] + length]))
+            for kind, found in out.items():
+                if not found:
+                    continue
+                *numbers, text = zip(*found)
+                doc, th, p, high, low = (np.array(c, np.int64) for c in numbers)
+                begin = np.cumsum([0] + [len(x) for x in text])[:-1]
+                data = np.frombuffer(b"".join(text), np.uint8)
+                if kind == 1:
+                    at = begin + high
+                    yield _contexts(1, mix(Prefix(data).hash(at, at + ANCHOR)).view(np.int64), None, doc, th, p, high, low, text=list(text))
+                    continue
+                many = high - low + 1
+                row = np.repeat(np.arange(len(many)), many)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                at = begin[row] + nth
+                w1 = mix(Prefix(data).hash(at, at + length)).view(np.int64)
+                w2 = mix(Prefix(data ^ np.uint8(0x5A)).hash(at, at + length)).view(np.int64)
+                doc, th, p = doc[row], th[row], p[row] + nth
+                by, _, again = _repeats([w1, w2], doc, th, p)
+                i, zero = np.sort(by[~again]), np.zeros(len(row), np.int32)
+                yield _contexts(2, w1[i], w2[i], doc[i], th[i], p[i], zero[i], zero[i])
+                yield _contexts(0, *_joined(doc[by[again]], th[by[again]], p[by[again]]))
 
     return asked.mapInArrow(run, CONTEXT)
 
 
-def compare(rows: DataFrame, parts_: int, length: int) -> DataFrame:
-    """Spans of kind 0 from records that share an anchor; a partition is worked off in runs of whole groups."""
+def _joined(doc: np.ndarray, th: np.ndarray, p: np.ndarray) -> tuple:
+    """Neighbouring windows as spans: a key to deal them out by, nothing, doc, th, p, high, low."""
+    order = np.lexsort((p, th, doc))
+    doc, th, p = doc[order], th[order], p[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (p[1:] > p[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(p)) - 1 if len(first) else first
+    key = mix(doc[first].astype(np.uint64) + p[first].astype(np.uint64)).view(np.int64)
+    return key, None, doc[first], th[first], p[first], p[last] - p[first], np.zeros(len(first), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
 
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            columns = {k: np.asarray(t[k]) for k in ("g", "doc", "th", "p", "high", "low")}
-            return repeated_windows(**{k: v.astype(np.int64) for k, v in columns.items()}, text=t["bytes"].to_pylist(), length=length)
+def compare(rows: DataFrame, parts_: int, length: int) -> DataFrame:
+    """Spans of kind 0 from contexts; a partition is worked off in runs of whole groups."""
+
+    def solve(kind: int, t: pa.Table) -> pa.RecordBatch:
+        doc, th, p, high, low = (np.asarray(t[k], np.int64) for k in ("doc", "th", "p", "high", "low"))
+        if kind == 0:
+            return _spans(0, doc, th, p, high, low)
+        if kind == 1:
+            return repeated_windows(np.asarray(t["key"]), doc, th, p, high, low, t["bytes"].to_pylist(), length)
+        by, _, again = _repeats([np.asarray(t["key"]), np.asarray(t["other"])], doc, th, p)
+        i = by[again]
+        return _spans(0, *_joined(doc[i], th[i], p[i])[2:])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            g = np.asarray(held["g"])
-            cut = int(np.searchsorted(g, g[-1]))
-            if cut >= 5000:
-                yield solve(held.slice(0, cut))
-                held = held.slice(cut)
+            kinds = np.asarray(batch["kind"])
+            for kind in np.unique(kinds):
+                t = pa.Table.from_batches([batch.slice(int(np.searchsorted(kinds, kind)), int((kinds == kind).sum()))])
+                if at is not None and kind != at:
+                    yield solve(at, held)
+                    held = None
+                held, at = t if held is None else pa.concat_tables([held, t]), int(kind)
+                key = np.asarray(held["key"])
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut >= 5000:
+                    yield solve(at, held.slice(0, cut))
+                    held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield solve(held)
+            yield solve(at, held)
 
-    return rows.repartition(parts_, "g").sortWithinPartitions("g").mapInArrow(run, SPANS)
+    return rows.repartition(parts_, "key").sortWithinPartitions("kind", "key").mapInArrow(run, SPANS)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -384,9 +451,9 @@ def suffix_dedup(docs: DataFrame, length: int = 100, rest: tuple[str, ...] = (),
         F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("th"), text.alias("text"), "doc_id", F.struct(F.lit(0).alias("_"), *rest).alias("rest")
     )
     spans = keep(meet(anchor_records(named, length, 2 * parts_), parts_))
-    gather = lambda df, name: df.groupBy("doc", "th").agg(F.collect_list(F.struct("p", "high", "low")).alias(name))
+    gather = lambda df, name: df.groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "p", "high", "low")).alias(name))
     # both joins ask for all columns of the texts, so that Spark shuffles these once and reads them twice
-    asked = named.join(gather(spans.filter("kind = 1"), "spans"), ["doc", "th"])
+    asked = named.join(gather(spans.filter("kind > 0"), "spans"), ["doc", "th"])
     more = compare(contexts(asked, length), parts_, length)
     gone = gather(spans.filter("kind = 0").unionByName(more), "spans")
     whole = named.join(gone, ["doc", "th"], "left")
@@ -421,6 +488,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, rest: tuple[str, ...] = (),
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """The documents, all columns, without their repeated bytes; a character that loses a byte goes as a whole."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = suffix_dedup(docs, length, rest, "text")
-    return rows.withColumn("text", F.col("kept").cast("string")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("_others"))
+    rows = suffix_dedup(packed, length, ("_others",), "text")
+    back = rows.select("doc_id", F.col("kept").cast("string").alias("text"), *[F.col(f"_others.`{c}`").alias(c) for c in others])
+    return back.select(*docs.columns)

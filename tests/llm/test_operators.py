@@ -240,6 +240,13 @@ def test_suffix_dedup(spark, docs, local, length):
     assert suffix_dedup.suffix_dedup(empty(spark), length).count() == 0
 
 
+def test_without_repeats_keeps_clashing_columns(spark, docs, local):
+    clash = docs.withColumns({c: F.lit(7) for c in ("kept", "spans", "n_bytes", "rest")})
+    rows = suffix_dedup.without_repeats(clash)
+    assert rows.columns == clash.columns and rows.count() == len(local)
+    assert {(r["kept"], r["spans"], r["bucket"]) for r in rows.collect()} == {(7, 7, 1)}
+
+
 def test_suffix_dedup_of_crossing_repeats(spark):
     """Random texts over two letters stuck together from shared parts: many partly overlapping repeats."""
     random = np.random.default_rng(5)
@@ -251,6 +258,14 @@ def test_suffix_dedup_of_crossing_repeats(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).hex()) == want[r["doc_id"], r["text"]]
 
 
+@pytest.mark.parametrize(("run", "hot"), [(2, 4096), (32, 3), (1, 1)])
+def test_hot_passages_take_another_way_to_the_same_result(spark, docs, local, monkeypatch, run, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUN", run)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    test_suffix_dedup(spark, docs, local, 64)
+    test_suffix_dedup_of_crossing_repeats(spark)
+
+
 def test_suffix_dedup_slices_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 300)
     data = prose(7, 300).encode()
