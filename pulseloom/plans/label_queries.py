@@ -191,7 +191,7 @@ def record_name(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, lower(c_mktsegment) AS model FROM customer")
 def model_name(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", s.model_name(F.concat(F.lit("src.encoders."), "c_mktsegment", F.lit("Encoder"))).alias("model"))
+    return table(spark, d, "customer").select("c_custkey", s.model_name(F.concat(F.lit("models."), "c_mktsegment", F.lit("Encoder"))).alias("model"))
 
 
 _AGES = "ages AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal / 10000 END AS age FROM customer)"
