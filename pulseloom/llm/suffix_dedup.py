@@ -13,7 +13,7 @@
    ``length``, two windows are equal. Extensions found are verified byte by byte.
 
 Tasks resolve what repeats inside their own run of documents before the shuffle, so the inside of a passage that a third of
-all documents hold sends one record per run of about 4 MB. Its edges differ from document to document. An anchor with
+all documents hold sends one record per run of about 2 MB. Its edges differ from document to document. An anchor with
 very many surroundings (``HOT_RUN`` in one run or ``HOT`` in all) is therefore not gathered: its windows go each to the
 place of their own hash, again after each task has resolved its own, and no task gets more than one of a kind per batch.
 
@@ -37,11 +37,11 @@ from .text import Prefix, data_of, mix, parts
 
 ANCHOR = 32
 #: Kinds of surroundings of one anchor, in a run of documents and in all, beyond which its windows are hashed one by one.
-HOT_RUN = 32
+HOT_RUN = 24
 HOT = 4096
 #: ``low`` of a record that only says that its anchor is hot.
 MARK = 255
-SLICE = 4 << 20
+SLICE = 2 << 20
 _LOW = np.uint64((1 << 24) - 1)
 RECORD = np.dtype([("g", "u8"), ("c", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "i8"), ("high", "u1"), ("low", "u1")])
 #: Bytes of these columns that a block carries.

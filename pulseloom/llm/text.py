@@ -50,7 +50,7 @@ class Prefix:
         return (self.sums[end] - self.sums[start]) * _inverse[start]
 
 
-def parts(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def parts(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` bytes of text; a longer text is a run of its own."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), np.int64)
     start, total = 0, 0
