@@ -28,17 +28,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 10) -> np.ndarray:
     """Weights of a ridge-penalised logistic regression by Newton's method; the last column of x is not penalised."""
     penalty = np.full(x.shape[1], l2)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        slope = x.T @ (p - y) + penalty * w
-        bend = (x * (p * (1 - p) + 1e-9)[:, None].astype(x.dtype)).T @ x + np.diag(penalty)
-        step = np.linalg.solve(bend, slope)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        p = sigmoid((x @ w.astype(x.dtype)).astype(float))
+        slope = ((p - y).astype(x.dtype) @ x).astype(float) + penalty * w
+        root = np.sqrt(p * (1 - p) + 1e-9).astype(x.dtype)
+        scaled = x * root[:, None]
+        bend = (scaled.T @ scaled).astype(float) + np.diag(penalty)
+        step = np.clip(np.linalg.solve(bend, slope), -5, 5)
+        w -= step
+        if np.abs(step).max() < 1e-4:
             break
     return w
