@@ -8,7 +8,9 @@ K (ln K + 3) have fallen on the whole text, whatever its length, and further whe
 
 Texts that share all values of a band are candidates. Equal texts are collapsed before. Inside a bucket nobody is paired
 with everybody: members are compared with the bucket's leaders, the one that meets most other texts and the least id,
-and buckets that still hold several classes get another leader in each further round, until a round finds no link. A link is kept only if the exact
+and buckets that still hold several classes get another leader in each further round, until a round finds no link. What
+is then left, the pairs of a bucket in two classes that never met, is compared in blocks: sums of shingles in ``BINS`` bins
+bound the similarity from above, and each pair within the bound is compared whole. A link is kept only if the exact
 similarity of the whole texts is at least the threshold; classes are the components of the links.
 
 Nulls: a null text is empty; texts without words are equal to each other. A row without an id goes by a number below
@@ -38,6 +40,9 @@ THRESHOLD = 0.8
 DOC_BITS, COORDINATE_BITS, RANK_BITS = 13, 7, 44
 #: Bytes of text worked off at once; a text takes about a hundred times its size in darts and hashes.
 AT_ONCE = 1 << 20
+#: Bins of a text's summary, and members of a bucket that are compared in one block.
+BINS = 256
+BLOCK = 1024
 #: P(at most n darts on a cell), n = 0, 1, ...; the number of darts is a Poisson variable with mean 1.
 _AT_MOST = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 16)]))
 _U = np.uint64
@@ -177,6 +182,90 @@ def similarities(pairs: DataFrame, texts: DataFrame, threshold: float, most: int
     return both.sortWithinPartitions("leader", "part", "role").mapInArrow(run, "a long, b long")
 
 
+def summaries(texts: DataFrame) -> DataFrame:
+    """node, total (its shingles), bins: how many of them fall in each bin, at most 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a0, b0 in parts(batch, most=AT_ONCE):
+                for a in range(a0, b0, 2**DOC_BITS):
+                    b = min(b0, a + 2**DOC_BITS)
+                    doc, value, _, _ = shingles(*data_of(batch["text"].slice(a, b - a)))
+                    at = doc * BINS + (value & _U(BINS - 1)).astype(np.int64)
+                    many = np.bincount(at, minlength=(b - a) * BINS).reshape(-1, BINS)
+                    bins = np.minimum(many, 255).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array(many.sum(axis=1)), pa.array([x.tobytes() for x in bins], pa.binary())], names=["node", "total", "bins"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, total long, bins binary")
+
+
+def possible(x: tuple, y: tuple | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y (in x alone if None) of the pairs of two labels whose similarity may reach the threshold.
+
+    Both are (label, total, bins). No more can be common than the lesser of each bin, and of what the bins leave out.
+    """
+    (label, total, bins), (label2, total2, bins2) = x, x if y is None else y
+    over, over2 = total - bins.sum(axis=1, dtype=np.int64), total2 - bins2.sum(axis=1, dtype=np.int64)
+    order = np.argsort(total2, kind="stable")
+    sorted_ = total2[order]
+    low = np.searchsorted(sorted_, threshold * total * (1 - 1e-9))
+    high = np.searchsorted(sorted_, total / threshold * (1 + 1e-9), "right") if threshold > 0 else np.full(len(total), len(order))
+    left, right = [], []
+    for i in range(len(total)):
+        j = order[low[i] : high[i]]
+        j = j[(label2[j] != label[i]) & ((j > i) if y is None else True)]
+        common = np.minimum(bins2[j], bins[i]).sum(axis=1, dtype=np.int64) + np.minimum(over2[j], over[i])
+        j = j[common >= threshold * (total[i] + total2[j] - common)]
+        left.append(np.full(len(j), i))
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def remaining(members: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """leader, node (the greater): all pairs of two labels in a bucket that may reach the threshold, once each.
+
+    ``members`` is key, node, label. A bucket is cut into parts of about ``block`` members, and each two parts (or one
+    with itself) meet by themselves, so no task has more than that of a hot bucket.
+    """
+    sizes = keep(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")))
+    summed = keep(summaries(texts.join(members.select("node").distinct(), "node", "left_semi")))
+    rows = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.join(summed, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "label", "total", "bins")
+    names = rows.columns
+    rows = rows.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "part")
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        part, node, label, total = (np.asarray(t[c], np.int64) for c in ("part", "node", "label", "total"))
+        bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+        n = int(np.searchsorted(part, part[-1])) if t["lo"][0].as_py() < t["hi"][0].as_py() else 0
+        if n:
+            i, j = possible((label[:n], total[:n], bins[:n]), (label[n:], total[n:], bins[n:]), threshold)
+            j = j + n
+        else:  # one part with itself; of two parts, one without members leaves pairs of one part, which meet elsewhere
+            own = t["lo"][0].as_py() == t["hi"][0].as_py()
+            i, j = possible((label, total, bins), None, threshold) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["leader", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            group = np.stack([np.asarray(t[c], np.int64) for c in names[:3]])
+            cut = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cut[:-1]], cut):
+                yield solve(t.slice(a, b - a))
+            held = t.slice(int(cut[-1]) if len(cut) else 0)
+        if held is not None:
+            yield solve(held)
+
+    return rows.mapInArrow(run, "leader long, node long").distinct()
+
+
 def number(text: Column) -> Column:
     """The id, or a number made from the text where it is null."""
     return F.coalesce("doc_id", F.lit(-(2**62)) - F.xxhash64(text).bitwiseAND(2**62 - 1))
@@ -211,11 +300,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pairs = mixed.join(heads, "key").filter(F.col("label") != F.col("h.label")).select(F.col("h.node").alias("leader"), "node").distinct()
         pairs = keep(pairs.join(done, ["leader", "node"], "left_anti"))
         found = keep(similarities(pairs, texts, threshold))
+        done = done.unionByName(pairs)
         if not found.limit(1).count():  # nothing left to link, or nothing that a leader shows
             break
-        done = done.unionByName(pairs)
         links = links.unionByName(found)
         labels = connected(links)
+    # the pairs of two classes that no leader showed
+    met = done.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node"))
+    pairs = keep(remaining(mixed.select("key", "node", "label"), texts, threshold).join(met, ["leader", "node"], "left_anti"))
+    found = keep(similarities(pairs, texts, threshold))
+    if found.limit(1).count():
+        labels = connected(links.unionByName(found))
     classes = nodes.select("c1", "c2", "node").join(labels, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("class_id"))
     out = signed.select("doc", "c1", "c2").join(classes, ["c1", "c2"])
     return out.select(F.when(F.col("doc") >= -(2**62), F.col("doc")).alias("doc_id"), "class_id", "doc")

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.llm import ann_tree, brown_lm, exact_topk, minhash, mixing, packing, quality, sharding, suffix_dedup, toxicity
+from pulseloom.llm.text import data_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in a is that it for on was as with be by this are at from".split()
@@ -354,6 +356,34 @@ def test_large_group_of_near_copies(spark):
     assert {r["class_id"] for r in rows} == {0}
 
 
+def test_near_duplicates_in_buckets_of_many_classes(spark):
+    """Forms filled in from common parts, and copies of those whose every band is shared by many others."""
+    random = np.random.default_rng(3)
+    parts = [[" ".join(f"p{i}v{v}w{j}" for j in range(8)) for v in range(2)] for i in range(40)]
+    texts = [" ".join(parts[i][v] for i, v in enumerate(p)) for p in (random.random((600, 40)) < 0.05).astype(int)]
+    doc, value, count = minhash.weighted(*minhash.shingles(*data_of(pa.array(texts)))[:2])
+    keys = minhash.band_keys(minhash.dart_signatures(doc, value, count.astype(float), 600))
+    size, many = Counter(keys.ravel().tolist()), Counter(texts)
+    hidden = [i for i in np.argsort([-min(size[k] for k in row) for row in keys.tolist()]) if many[texts[i]] == 1][:2]
+    rows = minhash.near_duplicates(table(spark, texts + [texts[i] + " end" for i in hidden]), threshold=0.97).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == dict(enumerate([texts.index(t) for t in texts] + hidden))
+
+
+def test_possible_pairs_leave_out_none():
+    random = np.random.default_rng(4)
+    bins = random.integers(0, 3, (40, minhash.BINS)) + 300 * (random.random((40, minhash.BINS)) < 0.01)
+    bins[20:] = np.maximum(0, bins[:20] + (random.random((20, minhash.BINS)) < 0.1))
+    total, label = bins.sum(axis=1), np.arange(40) % 39
+    cut = (label, total, np.minimum(bins, 255).astype(np.uint8))
+    got = set(zip(*(x.tolist() for x in minhash.possible(cut, None, 0.8))))
+    for i in range(40):
+        for j in range(i + 1, 40):
+            low = np.minimum(bins[i], bins[j]).sum()
+            if label[i] != label[j] and low >= 0.8 * (total[i] + total[j] - low):
+                assert (i, j) in got
+    assert 20 <= len(got) < 200
+
+
 # ---- language model
 
 
