@@ -423,6 +423,21 @@ def test_language_model_is_a_distribution(spark, docs):
     assert np.allclose(total, 1, atol=1e-9)
 
 
+def test_all_common_words_are_clustered_by_context(spark):
+    """Two kinds of words that alternate; far more than are exchanged first, and the endings do not tell the kinds."""
+    random = np.random.default_rng(6)
+    texts = [" ".join(f"w{2 * x + k}" for pair in random.integers(0, 400, (100, 2)) for k, x in enumerate(pair)) for _ in range(240)]
+    model = brown_lm.fit(table(spark, texts))
+    counts = Counter(w for t in texts for w in t.split())
+    assert model.table.words - 1 == sum(n >= brown_lm.LEAST for n in counts.values()) > 780
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i}" for i in range(800))]})
+    item, _ = model.table.look(next(brown_lm.tokens(batch))[2][:-1])
+    kinds = defaultdict(Counter)
+    for i, c in enumerate(model.of[item]):
+        kinds[c][i % 2] += 1
+    assert sum(max(x.values()) for x in kinds.values()) > 0.95 * 800
+
+
 def test_exchange_finds_two_kinds():
     c = np.zeros((9, 9), int)
     for i in range(1, 9):
