@@ -395,8 +395,9 @@ def test_language_model(spark, docs, local):
     train = docs.filter("coalesce(doc_id, 0) % 3 <> 1")
     counts = Counter(t for r in train.collect() for t in tokens(r["text"]))
     n, v = sum(counts.values()), len(counts)
-    for most in (10, 10**6):
-        model = brown_lm.fit(train, most=most)
+    for most, known in ((10, 10), (100, 10**6), (10**6, 10**6)):
+        model = brown_lm.fit(train, most=most, known=known)
+        assert model.table.words - 1 <= most
         rows = brown_lm.score_documents(docs, model).collect()
         got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows)
         assert got == Counter((d, len(t), sum(counts[x] > 0 for x in t), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in t), 6)) for d, text in local for t in [tokens(text)])
