@@ -8,20 +8,28 @@ K (ln K + 3) have fallen on the whole text, whatever its length, and further whe
 
 Texts that share all values of a band are candidates. Equal texts are collapsed before. Inside a bucket nobody is paired
 with everybody: members are compared with the bucket's leaders, the one that meets most other texts and the least id,
-and buckets that still hold several classes get another leader in each further round, until a round finds no link. What
-is then left, the pairs of a bucket in two classes that never met, is compared in blocks: sums of shingles in ``BINS`` bins
-bound the similarity from above, and each pair within the bound is compared whole. A link is kept only if the exact
-similarity of the whole texts is at least the threshold; classes are the components of the links.
+which joins nearly all that belongs together. What is left is taken by classes, not by members:
+
+1. A bucket is one row per class. Buckets with one class are done.
+2. A class is summed up by its members' shingles in ``BINS`` bins: the most in each bin, the least and the largest
+   text. Two classes in a bucket whose bound of the similarity is below the threshold hold no link.
+3. The members of the other pairs of classes, each pair once for all its buckets, are bounded two by two in blocks.
+4. Of the pairs within the bound each member proposes its best ``FIRST``, and in each further round four times as many; what
+   is proposed is compared on whole texts. Links merge classes, so what belongs together is gone after a round or two.
+
+The rounds end when no pair of two classes is left that was not compared: every link whose texts share a band is found. A
+link is kept only if the exact similarity of the whole texts is at least the threshold; classes are the components of
+the links.
 
 Nulls: a null text is empty; texts without words are equal to each other. A row without an id goes by a number below
--2^62 made from its text (ids are taken to be above that). Rows with one id are one document; texts of under five words
-are one shingle. Repeated rows fall into one class.
+-2^62 made from its text (ids are taken to be above that). Rows with one id are one document if their texts have the same
+words; if not, each text counts, and the id is in the class of all of them. Texts of under five words are one shingle.
+Repeated rows fall into one class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +48,10 @@ THRESHOLD = 0.8
 DOC_BITS, COORDINATE_BITS, RANK_BITS = 13, 7, 44
 #: Bytes of text worked off at once; a text takes about a hundred times its size in darts and hashes.
 AT_ONCE = 1 << 20
-#: Bins of a text's summary, and members of a bucket that are compared in one block.
+#: Bins of a text's summary, members (or classes) that are compared in one block, and pairs each proposes at first.
 BINS = 256
 BLOCK = 1024
+FIRST = 4
 #: P(at most n darts on a cell), n = 0, 1, ...; the number of darts is a Poisson variable with mean 1.
 _AT_MOST = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 16)]))
 _U = np.uint64
@@ -155,7 +164,8 @@ def similarities(pairs: DataFrame, texts: DataFrame, threshold: float, most: int
     both = heads.unionByName(rows).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "leader", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = (np.zeros(0, _U), np.zeros(0))
+        heads: list[tuple] = []  # the leader's texts: one, but for an id with several
+        now = None
         for batch in batches:
             out: list[tuple] = []
             for a0, b0 in parts(batch, most=AT_ONCE):
@@ -166,24 +176,28 @@ def similarities(pairs: DataFrame, texts: DataFrame, threshold: float, most: int
                     by = np.argsort(doc, kind="stable")
                     value, count = value[by], count[by]
                     at = np.searchsorted(doc[by], np.arange(b - a + 1))
-                    roles, leaders, nodes = (batch[k].slice(a, b - a).to_pylist() for k in ("role", "leader", "node"))
+                    roles, leaders, nodes, places = (batch[k].slice(a, b - a).to_pylist() for k in ("role", "leader", "node", "part"))
                     for i in range(b - a):
                         own = (value[at[i] : at[i + 1]], count[at[i] : at[i + 1]])
+                        if now != (now := (leaders[i], places[i])):
+                            heads = []
                         if roles[i] == 0:
-                            head = own
+                            heads.append(own)
                             continue
-                        _, x, y = np.intersect1d(head[0], own[0], assume_unique=True, return_indices=True)
-                        low = np.minimum(head[1][x], own[1][y]).sum()
-                        all_ = head[1].sum() + own[1].sum() - low
-                        if low >= threshold * all_:
-                            out.append((leaders[i], nodes[i]))
+                        for head in heads:
+                            _, x, y = np.intersect1d(head[0], own[0], assume_unique=True, return_indices=True)
+                            low = np.minimum(head[1][x], own[1][y]).sum()
+                            all_ = head[1].sum() + own[1].sum() - low
+                            if low >= threshold * all_:
+                                out.append((leaders[i], nodes[i]))
+                                break
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return both.sortWithinPartitions("leader", "part", "role").mapInArrow(run, "a long, b long")
 
 
 def summaries(texts: DataFrame) -> DataFrame:
-    """node, total (its shingles), bins: how many of them fall in each bin, at most 255."""
+    """node, low and high (its shingles, twice), bins: how many of them fall in each bin, at most 255, and over: the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,59 +208,126 @@ def summaries(texts: DataFrame) -> DataFrame:
                     at = doc * BINS + (value & _U(BINS - 1)).astype(np.int64)
                     many = np.bincount(at, minlength=(b - a) * BINS).reshape(-1, BINS)
                     bins = np.minimum(many, 255).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array(many.sum(axis=1)), pa.array([x.tobytes() for x in bins], pa.binary())], names=["node", "total", "bins"])
+                    total = pa.array(many.sum(axis=1))
+                    over = pa.array((many - bins).sum(axis=1))
+                    yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), total, total, over, _binary(bins)], names=["node", *SUMMARY])
+
+    return texts.select("node", "text").mapInArrow(run, f"node long, {SUMMARY_TYPES}")
+
+
+SUMMARY = ["low", "high", "over", "bins"]
+SUMMARY_TYPES = "low long, high long, over long, bins binary"
+
 
-    return texts.select("node", "text").mapInArrow(run, "node long, total long, bins binary")
+def _binary(bins: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in bins], pa.binary())
 
 
-def possible(x: tuple, y: tuple | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _summary_of(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+    return (*(np.asarray(t[c], np.int64) for c in SUMMARY[:3]), bins)
+
+
+def class_summaries(members: DataFrame) -> DataFrame:
+    """label and the summary of all its members (node, label and their summaries); tasks sum up their batches before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = np.asarray(batch["label"], np.int64)
+            order = np.argsort(label, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
+            low, high, over, bins = (x[order] for x in _summary_of(batch))
+            sums = [np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.maximum.reduceat(over, first)]
+            yield pa.RecordBatch.from_arrays([pa.array(label[order][first]), *map(pa.array, sums), _binary(np.maximum.reduceat(bins, first))], names=["label", *SUMMARY])
+
+    kinds = f"label long, {SUMMARY_TYPES}"
+    part = members.select("label", *SUMMARY).mapInArrow(run, kinds)
+    wide = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for label, low, high, over, bins in zip(batch["label"].to_pylist(), *_summary_of(batch)):
+                if (old := held.get(label)) is None:
+                    held[label] = [low, high, over, bins.copy()]
+                else:
+                    old[:3] = min(old[0], low), max(old[1], high), max(old[2], over)
+                    np.maximum(old[3], bins, out=old[3])
+            if len(held) > 100_000:  # sorted by label: all but the last are whole
+                last = held.popitem()
+                yield rows(held)
+                held = dict([last])
+        yield rows(held)
+
+    def rows(held: dict[int, list]) -> pa.RecordBatch:
+        columns = [pa.array([x[i] for x in held.values()], pa.int64()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), *columns, _binary([x[3] for x in held.values()])], names=["label", *SUMMARY])
+
+    return part.repartition(wide, "label").sortWithinPartitions("label").mapInArrow(merge, kinds)
+
+
+def possible(x: tuple, y: tuple | None, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Places in x and y (in x alone if None) of the pairs of two labels whose similarity may reach the threshold.
 
-    Both are (label, total, bins). No more can be common than the lesser of each bin, and of what the bins leave out.
+    Both are (label, low, high, over, bins). No more can be common than the lesser of each bin, and of what the bins leave
+    out. Each in x gets the ``most`` likeliest at most; the last result says whether that left any out.
     """
-    (label, total, bins), (label2, total2, bins2) = x, x if y is None else y
-    over, over2 = total - bins.sum(axis=1, dtype=np.int64), total2 - bins2.sum(axis=1, dtype=np.int64)
-    order = np.argsort(total2, kind="stable")
-    sorted_ = total2[order]
-    low = np.searchsorted(sorted_, threshold * total * (1 - 1e-9))
-    high = np.searchsorted(sorted_, total / threshold * (1 + 1e-9), "right") if threshold > 0 else np.full(len(total), len(order))
-    left, right = [], []
-    for i in range(len(total)):
-        j = order[low[i] : high[i]]
-        j = j[(label2[j] != label[i]) & ((j > i) if y is None else True)]
+    (label, low, high, over, bins), (label2, low2, high2, over2, bins2) = x, x if y is None else y
+    left, right, cut = [], [], False
+    for i in range(len(label)):
+        j = np.flatnonzero((label2 != label[i]) & (low2 * threshold <= high[i]) & (low[i] * threshold <= high2))
+        j = j[j > i] if y is None else j
         common = np.minimum(bins2[j], bins[i]).sum(axis=1, dtype=np.int64) + np.minimum(over2[j], over[i])
-        j = j[common >= threshold * (total[i] + total2[j] - common)]
+        common = np.minimum(common, np.minimum(high2[j], high[i]))
+        both = np.maximum(low[i], common) + np.maximum(low2[j], common) - common
+        near = common >= threshold * both
+        j, share = j[near], common[near] / np.maximum(both[near], 1)
+        if len(j) > most:
+            j, cut = j[np.argsort(-share, kind="stable")[:most]], True
         left.append(np.full(len(j), i))
         right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate(left), np.concatenate(right), cut
 
 
-def remaining(members: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """leader, node (the greater): all pairs of two labels in a bucket that may reach the threshold, once each.
+def blocks(rows: DataFrame, group: str, ask: str, answer: str, threshold: float, most: int) -> DataFrame:
+    """a, b: values of ``ask`` and ``answer`` (names of columns) of the pairs in a group that may be linked; null, null: some were left out.
 
-    ``members`` is key, node, label. A bucket is cut into parts of about ``block`` members, and each two parts (or one
-    with itself) meet by themselves, so no task has more than that of a hot bucket.
+    ``rows`` has the group, side (0 asks side 1; 2 asks its own), node, label and summaries. A side is cut into parts of about
+    ``BLOCK`` rows, and each two parts (or one with itself) meet by themselves, so no task has more than that of a hot group.
     """
-    sizes = keep(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts")))
-    summed = keep(summaries(texts.join(members.select("node").distinct(), "node", "left_semi")))
-    rows = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    rows = rows.join(summed, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "label", "total", "bins")
-    names = rows.columns
-    rows = rows.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "part")
+    sizes = rows.groupBy(group).agg(
+        *[F.greatest(F.ceil(F.count_if(F.col("side").isin(*s)) / BLOCK), F.lit(1)).alias(name) for name, s in (("asking", (0, 2)), ("asked", (1, 2)))]
+    )
+    part = lambda n: F.pmod(F.xxhash64("node", "label"), F.col(n))
+    all_ = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    pair = lambda lo, hi: F.struct(F.lit(0).cast("long").alias("_") if lo is None else lo.alias("lo"), hi.alias("hi"))
+    places = F.when(F.col("side") == 0, F.transform(all_("asked"), lambda k: pair(part("asking"), k)))
+    places = places.when(F.col("side") == 1, F.transform(all_("asking"), lambda k: pair(k, part("asked"))))
+    places = places.otherwise(F.transform(all_("asking"), lambda k: pair(F.least(k, part("asking")), F.greatest(k, part("asking")))))
+    own = F.when(F.col("side") == 2, part("asking"))
+    placed = rows.join(keep(sizes), group).withColumn("part", own).withColumn("place", F.explode(places))
+    # of two parts of one side the lower one asks
+    role = F.when(F.col("side") < 2, F.col("side")).when(F.col("place.lo") == F.col("place.hi"), 2).otherwise((F.col("part") > F.col("place.lo")).cast("int"))
+    placed = placed.select(F.col(group).alias("g"), "place.lo", "place.hi", role.alias("role"), "node", "label", *SUMMARY)
+    wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.repartition(wide, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "role", "node", "label")
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        part, node, label, total = (np.asarray(t[c], np.int64) for c in ("part", "node", "label", "total"))
-        bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
-        n = int(np.searchsorted(part, part[-1])) if t["lo"][0].as_py() < t["hi"][0].as_py() else 0
-        if n:
-            i, j = possible((label[:n], total[:n], bins[:n]), (label[n:], total[n:], bins[n:]), threshold)
+        role, label = np.asarray(t["role"], np.int64), np.asarray(t["label"], np.int64)
+        whole = (label, *_summary_of(t))
+        n = int(np.searchsorted(role, 1))
+        if role[0] == 2:
+            i, j, cut = possible(whole, None, threshold, most)
+        elif 0 < n < len(role):
+            i, j, cut = possible(tuple(x[:n] for x in whole), tuple(x[n:] for x in whole), threshold, most)
             j = j + n
-        else:  # one part with itself; of two parts, one without members leaves pairs of one part, which meet elsewhere
-            own = t["lo"][0].as_py() == t["hi"][0].as_py()
-            i, j = possible((label, total, bins), None, threshold) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["leader", "node"])
+        else:
+            i, j, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        a, b = np.asarray(t[ask], np.int64)[i], np.asarray(t[answer], np.int64)[j]
+        more = [None] * cut
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.array(more, pa.int64())]) for x in (a, b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -255,15 +336,41 @@ def remaining(members: DataFrame, texts: DataFrame, threshold: float, block: int
                 continue
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
-            group = np.stack([np.asarray(t[c], np.int64) for c in names[:3]])
-            cut = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            for a, b in zip([0, *cut[:-1]], cut):
+            group_ = np.stack([np.asarray(t[c], np.int64) for c in ("g", "lo", "hi")])
+            ends = np.flatnonzero((group_[:, 1:] != group_[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *ends[:-1]], ends):
                 yield solve(t.slice(a, b - a))
-            held = t.slice(int(cut[-1]) if len(cut) else 0)
+            held = t.slice(int(ends[-1]) if len(ends) else 0)
         if held is not None:
             yield solve(held)
 
-    return rows.mapInArrow(run, "leader long, node long").distinct()
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """The (key, label) rows of buckets with several classes, each once."""
+    rows = keep(rows.distinct())
+    return keep(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi"))
+
+
+def proposed(open_: DataFrame, members: DataFrame, threshold: float, most: int) -> tuple[DataFrame, bool]:
+    """leader, node: pairs of members of two classes of an open bucket that may be linked, and whether any were left out.
+
+    ``open_`` is key, label; ``members`` node, label and summaries of all in these classes.
+    """
+    classes = keep(class_summaries(members))
+    rows = open_.join(classes, "label").select("key", F.lit(2).alias("side"), F.col("label").alias("node"), "label", *SUMMARY)
+    met = keep(blocks(rows, "key", "label", "label", threshold, most))
+    # the larger class of a pair answers, the members of all that meet it ask
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    pairs = met.filter("a is not null").join(sizes.select(F.col("label").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("label").alias("b"), F.col("n").alias("n_b")), "b")
+    first = F.struct(-F.col("n_a"), "a") < F.struct(-F.col("n_b"), "b")
+    pairs = keep(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("g"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("label")).distinct())
+    asked = members.join(pairs.select(F.col("g").alias("label")).distinct(), "label").select(F.col("label").alias("g"), F.lit(1).alias("side"), "node", "label", *SUMMARY)
+    asking = members.join(pairs, "label").select("g", F.lit(0).alias("side"), "node", "label", *SUMMARY)
+    found = keep(blocks(asked.unionByName(asking), "g", "node", "node", threshold, most))
+    left_out = bool(met.unionByName(found).filter("a is null").limit(1).count())
+    return found.filter("a is not null").select(F.col("a").alias("leader"), F.col("b").alias("node")), left_out
 
 
 def number(text: Column) -> Column:
@@ -271,6 +378,13 @@ def number(text: Column) -> Column:
     return F.coalesce("doc_id", F.lit(-(2**62)) - F.xxhash64(text).bitwiseAND(2**62 - 1))
 
 
+def one_id(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: links between the texts of an id that has several."""
+    several = signed.groupBy("doc").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).filter("low < high").select("doc")
+    own = signed.select("doc", "c1", "c2").join(several, "doc", "left_semi").join(nodes.select("c1", "c2", "node"), ["c1", "c2"]).select("doc", "node")
+    return own.join(own.groupBy("doc").agg(F.min("node").alias("a")), "doc").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least number of the class) of every row."""
     text = F.coalesce("text", F.lit(""))
@@ -282,35 +396,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = keep(rows.join(shared, "key"))
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     members = keep(members.drop("n").join(degree, "node"))
-    texts = named.join(degree.select("node"), F.col("doc") == F.col("node"), "left_semi").groupBy(F.col("doc").alias("node")).agg(F.min("text").alias("text"))
+    texts = named.join(degree.select("node"), F.col("doc") == F.col("node"), "left_semi").select(F.col("doc").alias("node"), "text").distinct()
     texts = keep(texts)
 
     least = members.groupBy("key").agg(F.min("node").alias("leader"))
     central = members.groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node"))["node"].alias("leader"))
     pairs = members.select("key", "node").join(least.unionByName(central).distinct(), "key").filter("leader <> node").select("leader", "node").distinct()
     done = pairs = keep(pairs)
-    links = keep(similarities(pairs, texts, threshold))
+    links = keep(similarities(pairs, texts, threshold).unionByName(one_id(signed, nodes)))
     labels = connected(links)
-    for turn in count(1):
-        # buckets that still hold several classes: a member outside the first leader's class leads next
-        placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = placed.groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node", "label"))["label"].alias("first"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = placed.join(mixed.filter("low < high").select("key", "first"), "key")
-        heads = mixed.filter("label <> first").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")).alias("h"))
-        pairs = mixed.join(heads, "key").filter(F.col("label") != F.col("h.label")).select(F.col("h.node").alias("leader"), "node").distinct()
-        pairs = keep(pairs.join(done, ["leader", "node"], "left_anti"))
-        found = keep(similarities(pairs, texts, threshold))
-        done = done.unionByName(pairs)
-        if not found.limit(1).count():  # nothing left to link, or nothing that a leader shows
+    placed = members.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
+    open_, own, most = mixed(placed), degree.select("node", F.col("node").alias("label")), FIRST
+    summed: DataFrame | None = None
+    while open_.limit(1).count():
+        own = own.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        own = keep(own.join(open_.select("label").distinct(), "label", "left_semi"))
+        if summed is None:
+            summed = keep(summaries(texts.join(own, "node", "left_semi")))
+        found, left_out = proposed(open_, keep(own.join(summed, "node")), threshold, most)
+        found = found.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"), "leader", "node")
+        met = done.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+        pairs = keep(found.join(met, ["a", "b"], "left_anti").select("leader", "node"))
+        new = keep(similarities(pairs, texts, threshold))
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            labels = connected(links)
+            moved = labels.select(F.col("node").alias("old"), F.col("label").alias("new"))
+            open_ = mixed(open_.join(moved, F.col("label") == F.col("old"), "left").select("key", F.coalesce("new", "label").alias("label")))
+        elif not left_out:
             break
-        links = links.unionByName(found)
-        labels = connected(links)
-    # the pairs of two classes that no leader showed
-    met = done.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node"))
-    pairs = keep(remaining(mixed.select("key", "node", "label"), texts, threshold).join(met, ["leader", "node"], "left_anti"))
-    found = keep(similarities(pairs, texts, threshold))
-    if found.limit(1).count():
-        labels = connected(links.unionByName(found))
+        done = done.unionByName(pairs)
+        most *= 4
     classes = nodes.select("c1", "c2", "node").join(labels, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("class_id"))
     out = signed.select("doc", "c1", "c2").join(classes, ["c1", "c2"])
     return out.select(F.when(F.col("doc") >= -(2**62), F.col("doc")).alias("doc_id"), "class_id", "doc")
@@ -321,6 +437,6 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     classes = near_duplicates(docs, **how)
     stay = classes.filter("doc = class_id").select(F.col("doc").alias("_number")).distinct()
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_number", number(text)).join(stay, "_number", "left_semi")
-    order = Window.partitionBy("_number").orderBy(F.xxhash64("text"), "text")
-    return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_number", "_nth")
+    rows = docs.select(number(text).alias("_number"), F.col("text").alias("_text"), F.struct("*").alias("_row")).join(stay, "_number", "left_semi")
+    order = Window.partitionBy("_number").orderBy(F.xxhash64("_text"), "_text")
+    return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select("_row.*")

@@ -374,14 +374,80 @@ def test_possible_pairs_leave_out_none():
     bins = random.integers(0, 3, (40, minhash.BINS)) + 300 * (random.random((40, minhash.BINS)) < 0.01)
     bins[20:] = np.maximum(0, bins[:20] + (random.random((20, minhash.BINS)) < 0.1))
     total, label = bins.sum(axis=1), np.arange(40) % 39
-    cut = (label, total, np.minimum(bins, 255).astype(np.uint8))
-    got = set(zip(*(x.tolist() for x in minhash.possible(cut, None, 0.8))))
+    kept = np.minimum(bins, 255)
+    cut = (label, total, total, (bins - kept).sum(axis=1), kept.astype(np.uint8))
+    i, j, some = minhash.possible(cut, None, 0.8, 1000)
+    got = set(zip(i.tolist(), j.tolist()))
     for i in range(40):
         for j in range(i + 1, 40):
             low = np.minimum(bins[i], bins[j]).sum()
             if label[i] != label[j] and low >= 0.8 * (total[i] + total[j] - low):
                 assert (i, j) in got
-    assert 20 <= len(got) < 200
+    assert 20 <= len(got) < 200 and not some
+    i, j, some = minhash.possible(cut, None, 0.1, 2)
+    assert max(Counter(i.tolist()).values()) == 2 and some
+
+
+def components(texts, threshold=0.8):
+    """Least id of each text's class by comparing all pairs."""
+    sets = [shingle_counts(t) for t in texts]
+    size = [sum(x.values()) for x in sets]
+    label = list(range(len(texts)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if min(size[i], size[j]) >= threshold * max(size[i], size[j]):
+                low = sum((sets[i] & sets[j]).values())
+                if low >= threshold * (size[i] + size[j] - low):
+                    a, b = top(i), top(j)
+                    label[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(texts))]
+
+
+def family(n, seed, rate):
+    """n texts that each change some words of one."""
+    random = np.random.default_rng(seed)
+    base = prose(seed, 160).split()
+    return [" ".join(f"x{random.integers(10**6)}" if random.random() < rate else w for w in base) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("block", "first"), [(1024, 4), (16, 1)])
+def test_near_duplicates_at_the_threshold(spark, monkeypatch, block, first):
+    """Families whose texts are linked to some of each other only, so that a leader tells little; small blocks and few proposals."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "FIRST", first)
+    texts = family(70, 81, 0.02) + family(60, 82, 0.012) + family(40, 83, 0.03)
+    rows = minhash.near_duplicates(table(spark, texts)).collect()
+    want = components(texts)
+    assert [c for _, c in sorted((r["doc_id"], r["class_id"]) for r in rows)] == want and 3 < len(set(want)) < 150
+
+
+def test_pairs_grow_in_proportion(spark, monkeypatch):
+    """A family of near copies and outsiders in its buckets: each text is compared a few times, whatever their number."""
+    seen = []
+    whole = minhash.similarities
+    monkeypatch.setattr(minhash, "similarities", lambda pairs, *rest: seen.append(pairs.count()) or whole(pairs, *rest))
+    many = []
+    for n in (150, 1500):
+        seen.clear()
+        minhash.near_duplicates(table(spark, family(n, 84, 0.004) + family(n // 50, 84, 0.035))).count()
+        many.append(sum(seen))
+    assert many[0] < 5 * 153 and many[1] < 5 * 1530
+
+
+def test_one_id_with_several_texts(spark):
+    near = prose(91, 60).rsplit(" ", 1)[0] + " other"
+    texts = [(1, prose(91, 60)), (1, prose(92, 60)), (2, prose(92, 60)), (3, prose(93, 60)), (4, near), (5, prose(93, 60)), (5, prose(94, 60)), (6, prose(94, 60))]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in texts], SCHEMA).withColumns({"_number": F.lit(5), "_nth": F.lit(6)})
+    rows = minhash.near_duplicates(df).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in rows} == {(1, 1), (2, 1), (3, 3), (4, 1), (5, 3), (6, 3)}
+    kept = minhash.one_of_each(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["_number"], r["_nth"]) for r in kept.collect()) == [(1, 5, 6), (3, 5, 6)]
 
 
 # ---- language model
