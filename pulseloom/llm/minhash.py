@@ -14,10 +14,10 @@ which joins nearly all that belongs together. What is left is taken by classes,
 2. A class is summed up by its members' shingles in ``BINS`` bins: the most in each bin, the least and the largest
    text. Two classes in a bucket whose bound of the similarity is below the threshold hold no link.
 3. The members of the other pairs of classes, each pair once for all its buckets, are bounded two by two in blocks.
-4. Of the pairs within the bound each member proposes its best ``FIRST``, and in each further round four times as many; what
+4. Of the pairs within the bound each member proposes its best ``FIRST`` in a block, and in each further round 64 times as many; what
    is proposed is compared on whole texts. Links merge classes, so what belongs together is gone after a round or two.
 
-The rounds end when no pair of two classes is left that was not compared: every link whose texts share a band is found. A
+The rounds, three at most, end when every pair of two classes was compared: every link whose texts share a band is found. A
 link is kept only if the exact similarity of the whole texts is at least the threshold; classes are the components of
 the links.
 
@@ -51,7 +51,7 @@ AT_ONCE = 1 << 20
 #: Bins of a text's summary, members (or classes) that are compared in one block, and pairs each proposes at first.
 BINS = 256
 BLOCK = 1024
-FIRST = 4
+FIRST = 8
 #: P(at most n darts on a cell), n = 0, 1, ...; the number of darts is a Poisson variable with mean 1.
 _AT_MOST = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 16)]))
 _U = np.uint64
@@ -275,102 +275,111 @@ def possible(x: tuple, y: tuple | None, threshold: float, most: int) -> tuple[np
     out. Each in x gets the ``most`` likeliest at most; the last result says whether that left any out.
     """
     (label, low, high, over, bins), (label2, low2, high2, over2, bins2) = x, x if y is None else y
-    left, right, cut = [], [], False
-    for i in range(len(label)):
-        j = np.flatnonzero((label2 != label[i]) & (low2 * threshold <= high[i]) & (low[i] * threshold <= high2))
-        j = j[j > i] if y is None else j
+    left, right, share = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    step = max(1, 8192 // len(label2))
+    for a in range(0, len(label), step):
+        own = np.arange(a, min(a + step, len(label)))[:, None]
+        good = (label2[None, :] != label[own]) & (low2[None, :] * threshold <= high[own]) & (low[own] * threshold <= high2[None, :])
+        i, j = np.nonzero(good & (np.arange(len(label2)) > own) if y is None else good)
+        i = i + a
         common = np.minimum(bins2[j], bins[i]).sum(axis=1, dtype=np.int64) + np.minimum(over2[j], over[i])
         common = np.minimum(common, np.minimum(high2[j], high[i]))
         both = np.maximum(low[i], common) + np.maximum(low2[j], common) - common
         near = common >= threshold * both
-        j, share = j[near], common[near] / np.maximum(both[near], 1)
-        if len(j) > most:
-            j, cut = j[np.argsort(-share, kind="stable")[:most]], True
-        left.append(np.full(len(j), i))
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right), cut
+        left.append(i[near])
+        right.append(j[near])
+        share.append(common[near] / np.maximum(both[near], 1))
+    i, j, share = map(np.concatenate, (left, right, share))
+    order = np.lexsort((j, -share, i))
+    i, j = i[order], j[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[first], j[first], not first.all()
 
 
-def blocks(rows: DataFrame, group: str, ask: str, answer: str, threshold: float, most: int) -> DataFrame:
+def blocks(rows: DataFrame, ask: str, answer: str, threshold: float, most: int) -> DataFrame:
     """a, b: values of ``ask`` and ``answer`` (names of columns) of the pairs in a group that may be linked; null, null: some were left out.
 
-    ``rows`` has the group, side (0 asks side 1; 2 asks its own), node, label and summaries. A side is cut into parts of about
-    ``BLOCK`` rows, and each two parts (or one with itself) meet by themselves, so no task has more than that of a hot group.
+    ``rows`` has g (the group), side (0 asks side 1; 2 asks its own), node, label and summaries, and into how many parts,
+    of about ``BLOCK`` rows, the asking and the asked side of the group are cut. Each two parts (or one with itself)
+    meet by themselves, so no task has more than that of a hot group.
     """
-    sizes = rows.groupBy(group).agg(
-        *[F.greatest(F.ceil(F.count_if(F.col("side").isin(*s)) / BLOCK), F.lit(1)).alias(name) for name, s in (("asking", (0, 2)), ("asked", (1, 2)))]
-    )
     part = lambda n: F.pmod(F.xxhash64("node", "label"), F.col(n))
-    all_ = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    pair = lambda lo, hi: F.struct(F.lit(0).cast("long").alias("_") if lo is None else lo.alias("lo"), hi.alias("hi"))
-    places = F.when(F.col("side") == 0, F.transform(all_("asked"), lambda k: pair(part("asking"), k)))
-    places = places.when(F.col("side") == 1, F.transform(all_("asking"), lambda k: pair(k, part("asked"))))
-    places = places.otherwise(F.transform(all_("asking"), lambda k: pair(F.least(k, part("asking")), F.greatest(k, part("asking")))))
-    own = F.when(F.col("side") == 2, part("asking"))
-    placed = rows.join(keep(sizes), group).withColumn("part", own).withColumn("place", F.explode(places))
+    meets = lambda n, pair: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda k: F.struct(*[x.alias(c) for x, c in zip(pair(k), ("lo", "hi"))]))
+    places = F.when(F.col("side") == 0, meets("asked", lambda k: (part("asking"), k))).when(F.col("side") == 1, meets("asking", lambda k: (k, part("asked"))))
+    places = places.otherwise(meets("asking", lambda k: (F.least(k, part("asking")), F.greatest(k, part("asking")))))
+    placed = rows.withColumn("part", part("asking")).withColumn("place", F.explode(places))
     # of two parts of one side the lower one asks
     role = F.when(F.col("side") < 2, F.col("side")).when(F.col("place.lo") == F.col("place.hi"), 2).otherwise((F.col("part") > F.col("place.lo")).cast("int"))
-    placed = placed.select(F.col(group).alias("g"), "place.lo", "place.hi", role.alias("role"), "node", "label", *SUMMARY)
+    placed = placed.select("g", "place.lo", "place.hi", role.alias("role"), "node", "label", *SUMMARY)
     wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(wide, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "role", "node", "label")
 
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        role, label = np.asarray(t["role"], np.int64), np.asarray(t["label"], np.int64)
-        whole = (label, *_summary_of(t))
+    def solve(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        role = np.asarray(t["role"], np.int64)
         n = int(np.searchsorted(role, 1))
+        if len(role) < 2 or role[0] < 2 and n in (0, len(role)):
+            return []
+        whole = (np.asarray(t["label"], np.int64), *_summary_of(t))
         if role[0] == 2:
             i, j, cut = possible(whole, None, threshold, most)
-        elif 0 < n < len(role):
+        else:
             i, j, cut = possible(tuple(x[:n] for x in whole), tuple(x[n:] for x in whole), threshold, most)
             j = j + n
-        else:
-            i, j, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-        a, b = np.asarray(t[ask], np.int64)[i], np.asarray(t[answer], np.int64)[j]
-        more = [None] * cut
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x), pa.array(more, pa.int64())]) for x in (a, b)], names=["a", "b"])
+        return [(np.asarray(t[ask], np.int64)[i], np.asarray(t[answer], np.int64)[j], cut)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        cut = False
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
-            group_ = np.stack([np.asarray(t[c], np.int64) for c in ("g", "lo", "hi")])
-            ends = np.flatnonzero((group_[:, 1:] != group_[:, :-1]).any(axis=0)) + 1
-            for a, b in zip([0, *ends[:-1]], ends):
-                yield solve(t.slice(a, b - a))
+            group = np.stack([np.asarray(t[c], np.int64) for c in ("g", "lo", "hi")])
+            ends = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+            found = [x for a, b in zip([0, *ends[:-1]], ends) for x in solve(t.slice(a, b - a))]
+            cut |= any(x[2] for x in found)
+            yield pairs(found)
             held = t.slice(int(ends[-1]) if len(ends) else 0)
-        if held is not None:
-            yield solve(held)
+        found = solve(held) if held is not None else []
+        yield pairs(found)
+        if cut or any(x[2] for x in found):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, names=["a", "b"])
+
+    def pairs(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)])) for k in (0, 1)], names=["a", "b"])
 
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """The (key, label) rows of buckets with several classes, each once."""
+    """key, label, classes (of the bucket): each class of a bucket once, buckets with one class left out."""
     rows = keep(rows.distinct())
-    return keep(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi"))
+    # written, as in similarities()
+    several = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1"))
+    return keep(rows.join(several, "key"))
 
 
 def proposed(open_: DataFrame, members: DataFrame, threshold: float, most: int) -> tuple[DataFrame, bool]:
-    """leader, node: pairs of members of two classes of an open bucket that may be linked, and whether any were left out.
+    """a, b: pairs of members of two classes of an open bucket that may be linked, and whether any were left out.
 
-    ``open_`` is key, label; ``members`` node, label and summaries of all in these classes.
+    ``open_`` is what ``mixed`` gives; ``members`` node, label and summaries of all in these classes.
     """
-    classes = keep(class_summaries(members))
-    rows = open_.join(classes, "label").select("key", F.lit(2).alias("side"), F.col("label").alias("node"), "label", *SUMMARY)
-    met = keep(blocks(rows, "key", "label", "label", threshold, most))
+    parts_ = lambda n: F.ceil(F.col(n) / BLOCK)
+    rows = open_.join(class_summaries(members), "label")
+    rows = rows.select(F.col("key").alias("g"), F.lit(2).alias("side"), parts_("classes").alias("asking"), parts_("classes").alias("asked"), F.col("label").alias("node"), "label", *SUMMARY)
+    met = keep(blocks(rows, "label", "label", threshold, most))
     # the larger class of a pair answers, the members of all that meet it ask
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    pairs = met.filter("a is not null").join(sizes.select(F.col("label").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("label").alias("b"), F.col("n").alias("n_b")), "b")
-    first = F.struct(-F.col("n_a"), "a") < F.struct(-F.col("n_b"), "b")
-    pairs = keep(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("g"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("label")).distinct())
-    asked = members.join(pairs.select(F.col("g").alias("label")).distinct(), "label").select(F.col("label").alias("g"), F.lit(1).alias("side"), "node", "label", *SUMMARY)
-    asking = members.join(pairs, "label").select("g", F.lit(0).alias("side"), "node", "label", *SUMMARY)
-    found = keep(blocks(asked.unionByName(asking), "g", "node", "node", threshold, most))
-    left_out = bool(met.unionByName(found).filter("a is null").limit(1).count())
-    return found.filter("a is not null").select(F.col("a").alias("leader"), F.col("b").alias("node")), left_out
+    pairs = met.filter("a is not null").join(sizes.withColumnsRenamed({"label": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"label": "b", "n": "n_b"}), "b")
+    pairs = pairs.select(F.array_sort(F.array(*[F.struct((-F.col(f"n_{x}")).alias("n"), F.col(x).alias("label")) for x in "ab"])).alias("p")).distinct()
+    pairs = keep(pairs.select(F.col("p")[0]["label"].alias("g"), F.col("p")[0]["n"].alias("n_g"), F.col("p")[1]["label"].alias("label"), F.col("p")[1]["n"].alias("n")))
+    groups = keep(pairs.groupBy("g").agg(F.ceil(-F.sum("n") / BLOCK).alias("asking"), F.ceil(-F.max("n_g") / BLOCK).alias("asked")))
+    asked = members.join(groups.withColumnRenamed("g", "label"), "label").select(F.col("label").alias("g"), F.lit(1).alias("side"), "asking", "asked", "node", "label", *SUMMARY)
+    asking = members.join(pairs.join(groups, "g"), "label").select("g", F.lit(0).alias("side"), "asking", "asked", "node", "label", *SUMMARY)
+    found = keep(blocks(asked.unionByName(asking), "node", "node", threshold, most))
+    left_out = not met.unionByName(found).filter("a is null").isEmpty()
+    return found.filter("a is not null"), left_out
 
 
 def number(text: Column) -> Column:
@@ -406,28 +415,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = keep(similarities(pairs, texts, threshold).unionByName(one_id(signed, nodes)))
     labels = connected(links)
     placed = members.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-    open_, own, most = mixed(placed), degree.select("node", F.col("node").alias("label")), FIRST
+    open_, own, most = mixed(placed), degree.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), FIRST
+    classes = nodes.select("c1", "c2", "node").join(labels, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("class_id"))
     summed: DataFrame | None = None
-    while open_.limit(1).count():
-        own = own.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        own = keep(own.join(open_.select("label").distinct(), "label", "left_semi"))
+    while not open_.isEmpty():
+        own = keep(own.join(keep(open_.select("label").distinct()), "label"))
         if summed is None:
             summed = keep(summaries(texts.join(own, "node", "left_semi")))
         found, left_out = proposed(open_, keep(own.join(summed, "node")), threshold, most)
-        found = found.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"), "leader", "node")
+        found = found.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         met = done.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
         pairs = keep(found.join(met, ["a", "b"], "left_anti").select("leader", "node"))
         new = keep(similarities(pairs, texts, threshold))
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            labels = connected(links)
-            moved = labels.select(F.col("node").alias("old"), F.col("label").alias("new"))
-            open_ = mixed(open_.join(moved, F.col("label") == F.col("old"), "left").select("key", F.coalesce("new", "label").alias("label")))
-        elif not left_out:
+        if not new.isEmpty():
+            by = own.select(F.col("node").alias("a"), F.col("label").alias("x")), own.select(F.col("node").alias("b"), F.col("label").alias("y"))
+            moved = connected(new.join(by[0], "a").join(by[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+            moved = moved.select(F.col("node").alias("old"), F.col("label").alias("new"))
+            follow = lambda df, c: df.join(moved, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")  # noqa: B023, E731
+            classes = follow(classes, "class_id")
+        if not left_out:  # all pairs of two classes have been compared
             break
+        if not new.isEmpty():
+            own, open_ = follow(own, "label"), mixed(follow(open_.select("key", "label"), "label"))
         done = done.unionByName(pairs)
-        most *= 4
-    classes = nodes.select("c1", "c2", "node").join(labels, "node", "left").select("c1", "c2", F.coalesce("label", "node").alias("class_id"))
+        most *= 64
     out = signed.select("doc", "c1", "c2").join(classes, ["c1", "c2"])
     return out.select(F.when(F.col("doc") >= -(2**62), F.col("doc")).alias("doc_id"), "class_id", "doc")
 
