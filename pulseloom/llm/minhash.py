@@ -14,7 +14,7 @@ which joins nearly all that belongs together. What is left is taken by classes,
 2. A class is summed up by its members' shingles in ``BINS`` bins: the most in each bin, the least and the largest
    text. Two classes in a bucket whose bound of the similarity is below the threshold hold no link.
 3. The members of the other pairs of classes, each pair once for all its buckets, are bounded two by two in blocks.
-4. Of the pairs within the bound each member proposes its best ``FIRST`` in a block, and in each further round 64 times as many; what
+4. Of the pairs within the bound each member proposes its best ``FIRST`` in a block, and in each further round 32 times as many; what
    is proposed is compared on whole texts. Links merge classes, so what belongs together is gone after a round or two.
 
 The rounds, three at most, end when every pair of two classes was compared: every link whose texts share a band is found. A
@@ -51,7 +51,7 @@ AT_ONCE = 1 << 20
 #: Bins of a text's summary, members (or classes) that are compared in one block, and pairs each proposes at first.
 BINS = 256
 BLOCK = 1024
-FIRST = 8
+FIRST = 32
 #: P(at most n darts on a cell), n = 0, 1, ...; the number of darts is a Poisson variable with mean 1.
 _AT_MOST = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 16)]))
 _U = np.uint64
@@ -438,7 +438,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if not new.isEmpty():
             own, open_ = follow(own, "label"), mixed(follow(open_.select("key", "label"), "label"))
         done = done.unionByName(pairs)
-        most *= 64
+        most *= 32
     out = signed.select("doc", "c1", "c2").join(classes, ["c1", "c2"])
     return out.select(F.when(F.col("doc") >= -(2**62), F.col("doc")).alias("doc_id"), "class_id", "doc")
 

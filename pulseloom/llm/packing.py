@@ -28,33 +28,36 @@ from ..functions.shared import keep
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes and ids of a byte-level BPE vocabulary file: a ``tokenizers`` JSON file, or lines of base64 and rank.
+def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes and ids of a byte-level BPE vocabulary file (a ``tokenizers`` JSON file, or lines of base64 and rank), and its added tokens.
 
     JSON files write byte b as a printable character: itself where it is one, else the next from 256 up.
     """
     if not path.endswith(".json"):
         with open(path, "rb") as lines:
-            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, {}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
     with open(path, encoding="utf-8") as f:
         content = json.load(f)
-    special = {x["content"] for x in content.get("added_tokens", [])}
-    return {bytes(back[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
+    added = {x["content"]: x["id"] for x in content.get("added_tokens", [])}
+    return {bytes(back[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in added}, added
 
 
 class Encoder:
     """Token ids as little-endian bytes. Remembers the ids of stretches between single spaces, the frequent ones longest.
 
     A piece of the split pattern never reaches over a space that stands between two other characters, so such
-    stretches can be encoded alone. A text with any other space is encoded as a whole.
+    stretches can be encoded alone. A text with any other space is encoded as a whole, and so is one that holds an added
+    token of the file: it is that token wherever it stands, as the ``tokenizers`` library reads it unless told otherwise.
     """
 
     def __init__(self, path: str, pattern: str, memory: int = 300_000):
         import tiktoken
 
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_ranks(path), special_tokens={}).encode_ordinary
+        ranks, self.added = byte_ranks(path)
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.added)
+        self.encode, self.encode_added = encoding.encode_ordinary, encoding.encode
         self.new, self.old, self.memory = {}, {}, memory
 
     def whole(self, text: str) -> bytes:
@@ -74,6 +77,8 @@ class Encoder:
         return ids
 
     def ids(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return np.array(self.encode_added(text, allowed_special="all"), "<u4").tobytes()
         first, *rest = text.split(" ")
         if not rest:
             return self.whole(text)
