@@ -5,8 +5,9 @@
 1. Every window of ``length`` bytes names an anchor: the position in it whose 32-byte hash is least (the leftmost).
    Equal windows name the same anchor at the same offset, so only anchors with equal hashes need to meet: about 3
    positions in 100 instead of all. A run of windows with one anchor is one record with a hash of all its bytes.
-2. Records meet by the anchor's hash. A record equal to an earlier one as a whole is repeated altogether. Where equal
-   anchors have different surroundings, the first record of each kind asks for its bytes.
+2. Records meet by the anchor's hash. A record equal to an earlier one as a whole, by two hashes of 64 bits that have
+   nothing in common, is repeated altogether. Where equal anchors have different surroundings, the first record of each
+   kind asks for its bytes.
 3. Those records' suffixes from the anchor are sorted by a merge sort whose comparisons take a logarithmic number of
    steps: the common extension of two suffixes is found by binary search over prefix polynomial hashes. At depth d the
    sorted order falls into blocks that share d bytes to the right; with an equal hash of o bytes to the left, d + o =
@@ -17,8 +18,9 @@ all documents hold sends one record per run of about 2 MB. Its edges differ from
 very many surroundings (``HOT_RUN`` in one run or ``HOT`` in all) is therefore not gathered: its windows go each to the
 place of their own hash, again after each task has resolved its own, and no task gets more than one of a kind per batch.
 
-Nulls: a null text is empty and keeps nothing; a null id comes before all others. Rows with the same id are not earlier
-than each other; rows equal in id and text share one result. Extra columns are only read if named in ``rest``.
+Nulls: a null text is empty and keeps nothing; a null id comes before all others. Rows with the same id, or without one, are
+documents of their own and not earlier than each other; a row is known by its id and 64 bits of its text's hash, so rows
+equal in both share one result. Extra columns are only read if named in ``rest``.
 """
 
 from __future__ import annotations
@@ -43,9 +45,13 @@ HOT = 4096
 MARK = 255
 SLICE = 2 << 20
 _LOW = np.uint64((1 << 24) - 1)
-RECORD = np.dtype([("g", "u8"), ("c", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "i8"), ("high", "u1"), ("low", "u1")])
+RECORD = np.dtype([("g", "u8"), ("c", "u8"), ("c2", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "i8"), ("high", "u1"), ("low", "u1")])
 #: Bytes of these columns that a block carries.
-WIDTH = {"g": 6, "c": 6, "th": 2, "p": 4}
+WIDTH = {"g": 6, "p": 4}
+#: A second hash of the same bytes is that of the bytes with these bits turned.
+OTHER = np.uint8(0x5A)
+#: Columns that are packed as differences.
+STEPS = ("doc", "th")
 
 
 def _runs(data: np.ndarray, places: np.ndarray, length: int) -> pd.DataFrame:
@@ -54,7 +60,7 @@ def _runs(data: np.ndarray, places: np.ndarray, length: int) -> pd.DataFrame:
     ``high`` and ``low`` are the anchor's offsets in the first and in the last window of the run.
     """
     n = len(data) - length + 1
-    names = ["text", "p", "high", "low", "g", "c"]
+    names = ["text", "p", "high", "low", "g", "c", "c2"]
     if n <= 0:
         return pd.DataFrame({k: np.zeros(0, np.int64) for k in names})
     prefix = Prefix(data)
@@ -75,8 +81,9 @@ def _runs(data: np.ndarray, places: np.ndarray, length: int) -> pd.DataFrame:
     stop = np.flatnonzero(np.concatenate([(anchor[1:] != anchor[:-1]) | ~valid[1:], [True]]) & valid)
     a = anchor[first]
     text = np.searchsorted(places, first, "right") - 1
-    whole = mix(prefix.hash(first, stop + length) ^ mix((((a - first) << 8) | (stop - first)).astype(np.uint64)))
-    return pd.DataFrame({"text": text, "p": first - places[text], "high": a - first, "low": a - stop, "g": g[a], "c": whole})
+    shape = mix((((a - first) << 8) | (stop - first)).astype(np.uint64))
+    whole, second = (mix(x.hash(first, stop + length) ^ shape) for x in (prefix, Prefix(data ^ OTHER)))
+    return pd.DataFrame({"text": text, "p": first - places[text], "high": a - first, "low": a - stop, "g": g[a], "c": whole, "c2": second})
 
 
 def _slices(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
@@ -132,9 +139,9 @@ def anchor_records(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 r = np.zeros(len(runs), RECORD)
                 text = rows[runs["text"].to_numpy()]
                 r["doc"], r["th"] = doc[text], th[text]
-                for k in ("g", "c", "p", "high", "low"):
+                for k in ("g", "c", "c2", "p", "high", "low"):
                     r[k] = runs[k]
-                order, _, again = _repeats([r["g"], r["c"]], r["doc"], r["th"], r["p"])
+                order, _, again = _repeats([r["g"], r["c"], r["c2"]], r["doc"], r["th"], r["p"])
                 out: list[tuple[int, bytes]] = []
                 inside = r[order[again]]
                 first = r[np.sort(order[~again])]
@@ -156,12 +163,12 @@ def anchor_records(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _pack(records: np.ndarray) -> bytes:
-    """Columns one after another, ids as differences, 48 bits of either hash, compressed."""
+    """Columns one after another, ids as differences, 48 bits of the anchor's hash, compressed."""
     import zstandard
 
     out = [len(records).to_bytes(8, "little")]
     for k in RECORD.names:
-        column = np.ascontiguousarray(np.diff(records[k], prepend=0) if k == "doc" else records[k])
+        column = np.ascontiguousarray(np.diff(records[k], prepend=0) if k in STEPS else records[k])
         out.append(column.view(np.uint8).reshape(len(records), -1)[:, : WIDTH.get(k)].tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
@@ -179,7 +186,7 @@ def _unpack(block: bytes) -> np.ndarray:
         whole = np.zeros((n, RECORD[k].itemsize), np.uint8)
         whole[:, :wide] = column
         column = whole.view(RECORD[k]).ravel()
-        out[k] = np.cumsum(column) if k == "doc" else column
+        out[k] = np.cumsum(column) if k in STEPS else column
     return out
 
 
@@ -202,7 +209,7 @@ def meet(blocks: DataFrame, parts_: int) -> DataFrame:
         marked = np.unique(r["g"][r["low"] == MARK])
         g, many = np.unique(r["g"], return_counts=True)
         r = r[(many > 1)[np.searchsorted(g, r["g"])] & (r["low"] != MARK)]
-        order, new, again = _repeats([r["g"], r["c"]], r["doc"], r["th"], r["p"])
+        order, new, again = _repeats([r["g"], r["c"], r["c2"]], r["doc"], r["th"], r["p"])
         r = r[order]
         d = r[again]
         yield _spans(0, d["doc"], d["th"], d["p"], d["high"], d["low"])
@@ -371,7 +378,7 @@ def contexts(asked: DataFrame, length: int) -> DataFrame:
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
                 at = begin[row] + nth
                 w1 = mix(Prefix(data).hash(at, at + length)).view(np.int64)
-                w2 = mix(Prefix(data ^ np.uint8(0x5A)).hash(at, at + length)).view(np.int64)
+                w2 = mix(Prefix(data ^ OTHER).hash(at, at + length)).view(np.int64)
                 doc, th, p = doc[row], th[row], p[row] + nth
                 by, _, again = _repeats([w1, w2], doc, th, p)
                 i, zero = np.sort(by[~again]), np.zeros(len(row), np.int32)
@@ -448,7 +455,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, rest: tuple[str, ...] = (),
     parts_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     named = docs.select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("th"), text.alias("text"), "doc_id", F.struct(F.lit(0).alias("_"), *rest).alias("rest")
+        F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"), "doc_id", F.struct(F.lit(0).alias("_"), *rest).alias("rest")
     )
     spans = keep(meet(anchor_records(named, length, 2 * parts_), parts_))
     gather = lambda df, name: df.groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "p", "high", "low")).alias(name))

@@ -35,7 +35,7 @@ def docs(spark):
     near = base[3].split()
     near[20] = "changed"
     shared = prose(99, 40)
-    texts = [*base, None, "", "one two", "é" * 150, base[2], base[2], " ".join(near), prose(50, 30) + shared + prose(51, 30), shared + prose(52, 60), (prose(53, 20) + "\n") * 6, prose(54, 6000), "  \n "]
+    texts = [*base, None, "", "one two", "é" * 150, base[2], base[2], " ".join(near), prose(50, 30) + shared + prose(51, 30), shared + prose(52, 60), (prose(53, 20) + "\n") * 6, prose(54, 6000), "  \n ", "one<|endoftext|> <|endoftext|>two"]
     df = table(spark, texts)
     extra = spark.createDataFrame([(None, "no id " + prose(60, 40), None, None, None), (3, base[3], "en", "s3", 1), (3, base[3], "en", "s3", 1)], SCHEMA)
     return df.unionByName(extra).withColumns({c: F.lit(1) for c in ("bucket", "size", "shard", "start", "p", "doc", "word", "score")}).cache()
@@ -138,14 +138,13 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, t
 
 
 def test_encoder_equals_the_tokenizer(tokenizer):
     path, pattern, t = tokenizer
     encoder = packing.Encoder(path, pattern, memory=8)
-    texts = ["", " ", "a", " a", "a ", "a  b", "don't  stop", "it's 'quoted' 12,345", "line\nline two\n\n x", "tab\t x \ty", "<|endoftext|> x", "né à ü  x", "日本 語 x", "x" * 300 + " y", prose(1, 50), "a \nb", "a\n b", "\x1c x \x1f"]
+    texts = ["", " ", "a", " a", "a ", "a  b", "don't  stop", "it's 'quoted' 12,345", "line\nline two\n\n x", "tab\t x \ty", "<|endoftext|> x", "a<|endoftext|>b <|endoftext|><|endoftext|>", "in<|endoftext|>side <|endoftext|", "  <|endoftext|>  x", "né à ü  x", "日本 語 x", "x" * 300 + " y", prose(1, 50), "a \nb", "a\n b", "\x1c x \x1f"]
     for text in texts + texts:
         assert list(np.frombuffer(encoder.ids(text), "<u4")) == t.encode(text, add_special_tokens=False).ids, text
 
@@ -242,6 +241,26 @@ def test_suffix_dedup(spark, docs, local, length):
     assert suffix_dedup.suffix_dedup(empty(spark), length).count() == 0
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    """2000 texts without an id that share a passage lose nothing to each other; those with an id that come after do."""
+    shared = prose(70, 30)
+    texts = [f"{i} {shared} {prose(7000 + i, 3)}" for i in range(2000)]
+    rows = [(None, t, "en", "s", 0) for t in texts] + [(d, f"{shared} {k}", "en", "s", 0) for d in (1, 2) for k in "ab"]
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, SCHEMA), 100, ("text",), "digest").collect()
+    want = brute_dedup([r[:2] for r in rows], 100)
+    for r in found:
+        d = -(2**63) if r["doc_id"] is None else r["doc_id"]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).hex()) == want[d, r["text"]]
+        assert (r["n_removed"] > 0) == (r["doc_id"] is not None)
+
+
+def test_whole_records_with_one_hash_are_told_apart(spark, docs, local, monkeypatch):
+    """The first hash of whole records always collides: the second decides."""
+    plain = suffix_dedup._runs
+    monkeypatch.setattr(suffix_dedup, "_runs", lambda *x: plain(*x).assign(c=np.uint64(1)))
+    test_suffix_dedup(spark, docs, local, 100)
+
+
 def test_without_repeats_keeps_clashing_columns(spark, docs, local):
     clash = docs.withColumns({c: F.lit(7) for c in ("kept", "spans", "n_bytes", "rest")})
     rows = suffix_dedup.without_repeats(clash)
