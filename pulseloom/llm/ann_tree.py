@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on at most ``sample`` rows (a documented bound); every row is then put into its leaf. A query walks
+The tree is fitted on at most ``sample`` rows, or five for each leaf (documented bounds); every row is then put into its leaf. A query walks
 the tree with a priority queue of nodes by distance to their centres and takes leaves in that order. How many leaves
 is calibrated: for ``probes`` rows the true neighbours among all rows are found by brute force, and the number of
-leaves is widened until the wanted share of them lies in the leaves taken. A leaf is cut into blocks of bounded size.
+leaves is widened until the wanted share of them lies in the leaves taken. Leaves number four times the square root of
+the rows, 16,384 at most. A leaf is cut into blocks of bounded size; queries go in lots by the leaf they lie in, and a row
+is copied to the lots that ask for its block.
 
 Nulls: rows whose vector is null, all zero, or has a null or non-finite component take no part, nor do null ids.
 Repeated ids: as a query an id counts once (its smallest vector); as candidates all its rows count but for its own.
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exact_topk import block_size
-from .vectors import matrix, nearest, per_batch, ranked, search_blocks, usable
+from .vectors import Blocks, binary, matrix, nearest, per_batch, ranked, search_blocks, usable
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -108,18 +110,20 @@ def fit_tree(x: np.ndarray, branch: int = 8, leaf: int = 40, most: int = 1024, r
 
 
 def approximate_topk(
-    table: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97, sample: int = 20_000, probes: int = 128, lot: int = 4096
+    table: DataFrame, is_query: Column, k: int = 5, recall: float = 0.95, sample: int = 20_000, probes: int = 128, lot: int = 4096
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine in double precision) of each query's k nearest rows found."""
     spark = table.sparkSession
-    rows = table.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable() & F.exists("embedding", lambda x: x != 0))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"), F.count_if(is_query).alias("q")).first()
+    rows = table.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("vec_id").isNotNull() & usable() & F.exists("embedding", lambda x: x != 0))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"), F.count_if("asks").alias("q")).first()
     if not size["n"] or not size["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = size["width"]
+    most = min(16_384, max(64, 4 * math.isqrt(size["n"])))
+    sample = max(sample, 5 * most)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).toArrow()
     points = matrix(drawn["embedding"], width)
-    tree = fit_tree(_unit(points))
+    tree = fit_tree(_unit(points), leaf=max(5, min(40, len(points) // most)), most=most)
 
     # the probes' true neighbours among all rows: each batch offers its k best, with their leaves
     probe, own = points[:probes], np.asarray(drawn["vec_id"], np.int64)[:probes]
@@ -138,39 +142,35 @@ def approximate_topk(
         return pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[j]), pa.array(near[i, j]), pa.array(leaf)], names=["query_id", "vec_id", "score", "leaf"])
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        leaf, n = np.unique(tree.assign(_unit(matrix(b["embedding"], width))), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n)], names=["leaf", "n"])
+        leaf, at = np.unique(tree.assign(_unit(matrix(b["embedding"], width))), return_inverse=True)
+        asks = np.bincount(at, weights=b["asks"].to_numpy(zero_copy_only=False), minlength=len(leaf)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.bincount(at)), pa.array(asks)], names=["leaf", "n", "q"])
 
-    counted = rows.mapInArrow(per_batch(count), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()
-    tree.rows = np.zeros(tree.leaves, np.int64)
+    counted = rows.mapInArrow(per_batch(count), "leaf long, n long, q long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).collect()
+    tree.rows, asking = np.zeros((2, tree.leaves), np.int64)
     for r in counted:
-        tree.rows[r["leaf"]] = r["n"]
+        tree.rows[r["leaf"]], asking[r["leaf"]] = r["n"], r["q"]
     true = ranked(rows.mapInArrow(per_batch(offer), "query_id long, vec_id long, score double, leaf long"), k).collect()
     order = [{leaf: at for at, leaf in enumerate(tree.visits(q, tree.leaves, 0), 1)} for q in _unit(probe)]
     depth = np.sort([order[r["query_id"]][r["leaf"]] for r in true])
     leaves = int(depth[max(0, math.ceil(recall * len(depth)) - 1)]) if len(depth) else tree.leaves
 
-    parts = np.maximum(1, -(-tree.rows // block_size(size["n"])))
-    lots = math.ceil(size["q"] / lot)
+    blocks = Blocks(tree.rows, asking, block_size(size["n"]), lot)
 
     def walk(b: pa.RecordBatch) -> pa.RecordBatch:
         x = matrix(b["embedding"], width)
-        found = [tree.visits(q, leaves, k + 1) for q in _unit(x)]
-        i = np.repeat(np.arange(len(x)), [len(f) for f in found])
-        c = np.concatenate(found).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c), pa.array(parts[c]), b["query_id"].take(pa.array(i)), pa.array([x[j].tobytes() for j in i], pa.binary())], names=["cell", "parts", "query_id", "vector"]
-        )
+        unit = _unit(x)
+        # rows of the query's own id do not count as found
+        asked = [np.array(tree.visits(q, leaves, k + own)) for q, own in zip(unit, b["own"].to_pylist())]
+        ids = np.asarray(b["query_id"], np.int64)
+        return pa.RecordBatch.from_arrays([b["query_id"], binary(x), *blocks.of_queries(ids, tree.assign(unit), asked)], names=["query_id", "vector", "lot", "blocks"])
 
     def placed(b: pa.RecordBatch) -> pa.RecordBatch:
         x = matrix(b["embedding"], width)
-        c = tree.assign(_unit(x))
-        return pa.RecordBatch.from_arrays([pa.array(c), pa.array(parts[c]), b["vec_id"], pa.array([r.tobytes() for r in x], pa.binary())], names=["cell", "parts", "vec_id", "vector"])
-
-    asked = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
-    queries = asked.mapInArrow(per_batch(walk), "cell long, parts long, query_id long, vector binary")
-    queries = queries.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(lots)).alias("lot"), "query_id", "vector")
-    data = rows.mapInArrow(per_batch(placed), "cell long, parts long, vec_id long, vector binary")
-    data = data.select("cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("lot"), "vec_id", "vector")
+        return pa.RecordBatch.from_arrays([blocks.of_rows(np.asarray(b["vec_id"], np.int64), tree.assign(_unit(x))), b["vec_id"], binary(x)], names=["block", "vec_id", "vector"])
+
+    asked = rows.filter("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"), F.count(F.lit(1)).alias("own"))
+    queries = asked.mapInArrow(per_batch(walk), "query_id long, vector binary, lot int, blocks array<int>")
+    data = rows.mapInArrow(per_batch(placed), "block int, vec_id long, vector binary")
     found = ranked(search_blocks(queries, data, width, k, _cosine, 1e-9, unit=True), k)
     return found.select("query_id", "rank", "vec_id", "score")

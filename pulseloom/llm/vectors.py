@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import keep
+from .text import mix
+
 
 def usable(column: str = "embedding") -> Column:
     """Not null, and no component null, infinite or not a number."""
@@ -38,10 +42,10 @@ def unpack(column: pd.Series, width: int) -> np.ndarray:
 def search_blocks(
     queries: DataFrame, rows: DataFrame, width: int, k: int, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], slack: float, unit: bool = False
 ) -> DataFrame:
-    """query_id, vec_id, score: for each (cell, part, lot) the k best rows of the block for each of its queries.
+    """query_id, vec_id, score: for each block and lot the k best rows of the block for each query of the lot.
 
-    ``queries`` (cell, part, lot, query_id, vector) meet ``rows`` (cell, part, lot, vec_id, vector) in blocks of
-    bounded size. A product of matrices finds the candidates, with ``slack`` below the k-th so that rounding drops
+    ``queries`` (query_id, vector, lot, blocks: those it asks for) meet ``rows`` (block, vec_id, vector). A row is copied only
+    to the lots that ask for its block, and blocks and lots have a bounded size. A product of matrices finds the candidates, with ``slack`` below the k-th so that rounding drops
     none; ``measure`` (pairs of rows) gives their scores. ``unit``: candidates are compared at length 1. Ties go to the
     smaller vec_id. A row with the query's own id is no candidate.
     """
@@ -64,8 +68,48 @@ def search_blocks(
                 out.append(found.groupby("query_id").head(k))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
 
-    keys = ["cell", "part", "lot"]
-    return queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score double")
+    asking = keep(queries)
+    asked = asking.select(F.explode("blocks").alias("block"), "lot")
+    copied = rows.join(asked.distinct(), "block").select(F.col("block").alias("at"), F.col("lot").alias("by"), "vec_id", "vector")
+    left = asking.select(F.explode("blocks").alias("block"), "lot", "query_id", "vector")
+    return left.groupBy("block", "lot").cogroup(copied.groupBy("at", "by")).applyInPandas(solve, "query_id long, vec_id long, score double")
+
+
+@dataclass
+class Blocks:
+    """Cells cut into blocks of at most about ``most`` rows, numbered end to end, and the queries at home in them into lots.
+
+    A lot takes the queries of cells that stand side by side, ``lot`` of them at most, so that they ask for much the same
+    blocks; a cell with more queries has several lots.
+    """
+
+    rows: np.ndarray
+    queries: np.ndarray
+    most: int
+    lot: int
+
+    def __post_init__(self):
+        self.parts = np.maximum(1, -(-self.rows // self.most))
+        self.first = np.cumsum(self.parts) - self.parts
+        end = np.cumsum(self.queries)
+        self.low = (end - self.queries) // self.lot
+        self.lots = np.maximum(0, (end - 1) // self.lot - self.low) + 1
+
+    def of_queries(self, query_id: np.ndarray, home: np.ndarray, asked: list[np.ndarray]) -> list[pa.Array]:
+        """lot and blocks of each query, from the cell it is at home in and the cells it asks for."""
+        lot = self.low[home] + (mix(query_id.astype(np.uint64)) % self.lots[home].astype(np.uint64)).astype(np.int64)
+        blocks = [(np.repeat(self.first[c] - np.cumsum(self.parts[c]) + self.parts[c], self.parts[c]) + np.arange(self.parts[c].sum())) for c in asked]
+        ends = np.cumsum([0, *map(len, blocks)]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int64), *blocks]).astype(np.int32)
+        return [pa.array(lot.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+
+    def of_rows(self, vec_id: np.ndarray, cell: np.ndarray) -> pa.Array:
+        part = (mix(vec_id.astype(np.uint64) + np.uint64(1)) % self.parts[cell].astype(np.uint64)).astype(np.int64)
+        return pa.array((self.first[cell] + part).astype(np.int32))
+
+
+def binary(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

@@ -254,11 +254,15 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
         assert (r["n_removed"] > 0) == (r["doc_id"] is not None)
 
 
-def test_whole_records_with_one_hash_are_told_apart(spark, docs, local, monkeypatch):
-    """The first hash of whole records always collides: the second decides."""
-    plain = suffix_dedup._runs
-    monkeypatch.setattr(suffix_dedup, "_runs", lambda *x: plain(*x).assign(c=np.uint64(1)))
-    test_suffix_dedup(spark, docs, local, 100)
+def test_whole_records_with_one_hash_are_told_apart():
+    """Where the first hash of whole records collides, the second decides."""
+    text = [prose(71, 60), prose(72, 60), prose(71, 60)]
+    data, places = data_of(pa.array(text))
+    runs = suffix_dedup._runs(data, places, 100)
+    zero = np.zeros(len(runs), np.int64)
+    key = [runs["g"].to_numpy() * 0, zero, runs["c2"].to_numpy()]
+    order, _, again = suffix_dedup._repeats(key, runs["text"].to_numpy(), zero, runs["p"].to_numpy())
+    assert set(runs["text"].to_numpy()[order[again]]) == {2} and again.sum() == (runs["text"] == 2).sum()
 
 
 def test_without_repeats_keeps_clashing_columns(spark, docs, local):
@@ -589,6 +593,39 @@ def test_approximate_topk(spark, vectors):
     assert ann_tree.approximate_topk(vectors.filter("vec_id in (0, 3)"), F.col("vec_id") == 0).count() == 1
 
 
+def test_rows_are_copied_to_the_lots_that_ask(spark, monkeypatch):
+    """Far clusters: a block goes to the lots of its own cluster, not to all."""
+    random = np.random.default_rng(12)
+    rows = [(i, (random.normal(size=8) + 60 * np.eye(8)[i % 8]).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    copies = []
+    for module, search in ((exact_topk, exact_topk.exact_topk), (ann_tree, ann_tree.approximate_topk)):
+        whole = module.search_blocks
+
+        def counted(queries, data, *how, **more):
+            asked = queries.select(F.explode("blocks").alias("block"), "lot").distinct()
+            assert queries.groupBy("lot").count().agg(F.max("count")).first()[0] <= 4 * 8
+            copies.append((queries.select("lot").distinct().count(), data.join(asked, "block").count()))
+            return whole(queries, data, *how, **more)
+
+        monkeypatch.setattr(module, "search_blocks", counted)
+        found = search(df, F.col("vec_id") % 5 == 0, 3, lot=8)
+        assert found.count() == 320 * 3
+    for lots, rows_copied in copies:
+        assert lots > 20 and rows_copied < lots * 1600 / 3
+
+
+def test_own_rows_do_not_raise_the_bound(spark):
+    """A query far from all else with 12 rows of its own id."""
+    random = np.random.default_rng(13)
+    rows = [(i, random.normal(size=4).tolist()) for i in range(1, 300)] + [(1000, [50.0, 0.0, 0.0, 0.0])] * 12
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_topk.exact_topk(df, F.col("vec_id") == 1000, 10, pivots=200).orderBy("rank").collect()
+    want = sorted(rows[:299], key=lambda r: (-50 * r[1][0], r[0]))[:10]
+    assert [r["vec_id"] for r in got] == [r[0] for r in want]
+    assert ann_tree.approximate_topk(df, F.col("vec_id") == 1000, 5).count() == 5
+
+
 # ---- classifiers
 
 
