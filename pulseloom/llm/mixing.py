@@ -112,10 +112,16 @@ def mix_sources(
     sized = keep(sized_documents(docs))  # the regular expression is the dear part
     sources = keep(source_targets(sized, weights, share, repeats))
     stream = block_stream(sized, sources)
+    return stream, with_slots(pieces(stream, block, repeats), sources, block).drop("slots")
+
+
+def with_slots(rows: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """Add slot, the place in the mix of the block ``rank`` of the source ``sno``, and slots, that of its last one at most."""
     line = sources.select("sno", F.ceil(F.col("quota") / block).alias("blocks"))
-    line = line.select("sno", (F.sum("blocks").over(Window.partitionBy()) + F.sum("blocks").over(Window.orderBy("sno")) - F.col("blocks")).alias("tail"))
-    mix = pieces(stream, block, repeats).join(schedule(sources, block), ["sno", "rank"], "left").join(F.broadcast(line), "sno")
-    return stream, mix.withColumn("slot", F.coalesce("slot", F.col("tail") + F.col("rank"))).drop("tail")
+    n, before = F.sum("blocks").over(Window.partitionBy()), F.sum("blocks").over(Window.orderBy("sno")) - F.col("blocks")
+    line = line.select("sno", (n + before).alias("tail"), (2 * n).alias("slots"))
+    found = rows.join(schedule(sources, block), ["sno", "rank"], "left").join(F.broadcast(line), "sno")
+    return found.withColumn("slot", F.coalesce("slot", F.col("tail") + F.col("rank"))).drop("tail")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -133,16 +139,24 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     )
 
 
-def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """The documents as the mix takes them, all columns: one row for each time a document is read, none if it is not.
+def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2, block: int = 1024) -> DataFrame:
+    """The documents in the order of the mix, all columns: one row for each time a document is read, none if it is not.
 
-    The read at which a source's quota ends has the text's first words only. These are the reads that ``mix_sources``
-    cuts into blocks; which slot each block gets orders the mix but not this table.
+    A read stands where the schedule puts the block in which it begins; those that begin in one block follow each other as in the
+    source's stream. The read at which a source's quota ends has the text's first words only. A partition holds runs of
+    slots, in order. The schedule is made on row numbers (set once and written); texts move twice, to their numbers
+    and to their slots.
     """
     columns = docs.columns
-    sized = sized_documents(docs, F.struct(*columns).alias("rest"))
-    sources = keep(source_targets(sized.select("source", "size"), weights, share, repeats))
-    rows = reads(block_stream(sized, sources), repeats).select("rest.*", (F.col("high") - F.col("low")).cast("int").alias("_words"), F.col("size").alias("_size"))
-    stretch = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(stretch, 1, F.col("_words")), "")).otherwise(F.col("text"))
-    return rows.withColumn("text", cut).select(*columns)
+    row, whole = F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("rest")
+    numbered = keep(sized_documents(docs.select("doc_id", "source", "text", row, whole), "row", "rest"))
+    sized = numbered.drop("rest")
+    sources = keep(source_targets(sized, weights, share, repeats))
+    read = reads(block_stream(sized, sources), repeats).withColumn("rank", F.expr(f"low div {block}"))
+    read = with_slots(read, sources, block).select("row", "slot", "slots", "sno", "low", (F.col("high") - F.col("low")).cast("int").alias("words"), "size")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = numbered.select("row", "rest").join(read, "row").repartition(parts, F.floor(F.col("slot") * parts / F.col("slots")))
+    rows = rows.sortWithinPartitions("slot", "sno", "low")
+    stretch = F.regexp_extract_all("rest.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(stretch, 1, F.col("words")), "")).otherwise(F.col("rest.text"))
+    return rows.select(*[(cut if c == "text" else F.col(f"rest.`{c}`")).alias(c) for c in columns])

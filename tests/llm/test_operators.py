@@ -129,6 +129,52 @@ def test_mixed_texts(spark, docs):
     assert {r["doc_id"]: r["taken"] for r in plan if r["taken"]} == {d: sum(map(count, t)) for d, t in got.items()}
 
 
+def slots_by_hand(sizes, block):
+    """The slot of each block of each source: golden-ratio points through the sources' blocks, what is left over at the end."""
+    named = sorted(sizes, key=lambda x: (x is None, x or ""))
+    blocks = [-(-math.floor(waterfill(sizes)[x] + 0.5) // block) for x in named]
+    n, ends, out = sum(blocks), np.cumsum(blocks), {}
+    seen = Counter()
+    for i in range(n):
+        point = (i + 0.5) * (math.sqrt(5) - 1) / 2 % 1
+        k = int(np.searchsorted(ends, math.floor(point * n), "right"))
+        if seen[k] < blocks[k]:
+            out[named[k], seen[k]] = i
+        seen[k] += 1
+    for k, x in enumerate(named):
+        for r in range(blocks[k]):
+            out.setdefault((x, r), n + int(ends[k]) - blocks[k] + r)
+    return out
+
+
+def test_mixed_texts_stand_in_the_order_of_the_schedule(spark, docs):
+    docs = docs.filter("doc_id is not null and doc_id <> 3")
+    rows = docs.select("doc_id", "source", "text").collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, at, want = Counter(), Counter(), []
+    for r in rows:
+        sizes[r["source"]] += words(r["text"])
+    slot, target = slots_by_hand(sizes, 64), waterfill(sizes)
+    for r in sorted(rows, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"])):
+        s = r["source"]
+        for low in (at[s], at[s] + sizes[s]):
+            if words(r["text"]) and low < math.floor(target[s] + 0.5):
+                want.append((slot[s, low // 64], s is None, s or "", low, r["doc_id"]))
+        at[s] += words(r["text"])
+    want = [x[4] for x in sorted(want)]
+    got = defaultdict(list)
+    for r in mixing.mixed_texts(docs, block=64).withColumn("_part", F.spark_partition_id()).collect():
+        got[r["_part"]].append(r["doc_id"])
+    place = "".join(f",{d}" for d in want) + ","
+    assert sum(map(len, got.values())) == len(want)
+    for part in got.values():  # runs of the whole order: two runs of slots may share a partition
+        cuts = [0]
+        while cuts[-1] < len(part):
+            k = max(k for k in range(cuts[-1] + 1, len(part) + 1) if "".join(f",{d}" for d in part[cuts[-1] : k]) + "," in place)
+            cuts.append(k)
+        assert len(cuts) <= 4
+
+
 # ---- packing
 
 
