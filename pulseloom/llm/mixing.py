@@ -143,7 +143,7 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     """The documents in the order of the mix, all columns: one row for each time a document is read, none if it is not.
 
     A read stands where the schedule puts the block in which it begins; those that begin in one block follow each other as in the
-    source's stream. The read at which a source's quota ends has the text's first words only. A partition holds runs of
+    source's stream. The read at which a source's quota ends has the text's first words only. Every partition is a run of
     slots, in order. The schedule is made on row numbers (set once and written); texts move twice, to their numbers
     and to their slots.
     """
@@ -155,7 +155,7 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     read = reads(block_stream(sized, sources), repeats).withColumn("rank", F.expr(f"low div {block}"))
     read = with_slots(read, sources, block).select("row", "slot", "slots", "sno", "low", (F.col("high") - F.col("low")).cast("int").alias("words"), "size")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = numbered.select("row", "rest").join(read, "row").repartition(parts, F.floor(F.col("slot") * parts / F.col("slots")))
+    rows = numbered.select("row", "rest").join(read.drop("slots"), "row").repartitionByRange(parts, "slot", "sno", "low")
     rows = rows.sortWithinPartitions("slot", "sno", "low")
     stretch = F.regexp_extract_all("rest.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(stretch, 1, F.col("words")), "")).otherwise(F.col("rest.text"))
