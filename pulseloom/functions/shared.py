@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset: a temporary folder on one machine, an error on a cluster."""
     context = spark.sparkContext
     if (folder := spark.conf.get("spark.checkpoint.dir", None)) is None:
         current = context._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return folder

@@ -39,9 +39,13 @@ def patient_labels(df: DataFrame, key: str = "pid", labels: str = "encoded") ->
 
 
 def stratify_patients(df: DataFrame, n_folds: int, seed: int = 0, key: str = "pid", labels: str = "encoded") -> DataFrame:
-    """key, fold: patients dealt out in a snake by stratum, most records first, so that records stay balanced too."""
+    """key, fold: patients dealt out in a snake by stratum, most records first, so that records stay balanced too.
+
+    Patients of a stratum and number of records are cut by the first byte of the md5, so many of them are many tasks' work.
+    """
     patients = _strata(patient_labels(df, key, labels), key, "labels").withColumn("_md5", seeded(seed, key))
-    bucket = F.col("stratum") * 1024 + 1023 - F.least(F.col("n_records"), F.lit(1023))
+    byte = F.conv(F.substring("_md5", 1, 2), 16, 10).cast("long")
+    bucket = (F.col("stratum") * 1024 + 1023 - F.least(F.col("n_records"), F.lit(1023))) * 256 + F.when(F.col("n_records") < 1023, byte).otherwise(0)
     order = [F.desc("n_records"), "_md5", key]
     rows = running_total(patients.withColumn("_bucket", bucket), {"_place": F.lit(1).cast("long")}, "_bucket", order)
     turn, lap = F.col("_place") % n_folds, F.floor(F.col("_place") / n_folds)

@@ -38,7 +38,9 @@ def join_metadata(sample: DataFrame, table: DataFrame, key: str = "filepath") ->
 
 
 def attach_folds(records: DataFrame, folds: DataFrame, key: str) -> DataFrame:
-    """Each record's patient fold, -1 where there is none."""
+    """Each record's patient fold, -1 where there is none; a column ``fold`` that the records have is replaced."""
+    if key != "fold":
+        records = records.drop("fold")
     return records.join(folds.select(key, "fold"), key, "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
 
 

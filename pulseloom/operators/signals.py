@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,14 @@ def expand_segments(df: DataFrame, seg_idx: int | None = None, all_segments: boo
 
 
 def to_lead_major(df: DataFrame, layout: str, col: str = "signal") -> DataFrame:
-    """``samples``: (T, C) to leads by samples; ``leads``: kept."""
+    """``samples``: (T, C) to leads by samples; ``leads``: kept. A first axis of length 1, as in (1, T, C), is left out."""
+    if df.schema[col].dataType.simpleString().startswith("array<array<array<"):
+        df = df.withColumn(col, F.get(col, F.lit(0)))
     if layout == "leads":
         return df
     lead = F.sequence(F.lit(1), F.size(F.col(col)[0]))
     turned = F.transform(lead, lambda i: F.transform(F.col(col), lambda sample: F.element_at(sample, i)))
-    return df.withColumn(col, F.when(F.size(col) > 0, turned).otherwise(F.col(col)))
+    return df.withColumn(col, F.when((F.size(col) > 0) & (F.size(F.get(col, F.lit(0))) > 0), turned).otherwise(F.col(col)))
 
 
 def resampled_length(n: Column, fs: Column, target_fs: float) -> Column:
@@ -43,6 +46,8 @@ def fourier(x: np.ndarray, m: int) -> np.ndarray:
     n = x.shape[-1]
     if m == n or n == 0:
         return x
+    if m == 0:
+        return x[..., :0]
     spectrum = np.fft.rfft(x, axis=-1)
     few = min(n, m)
     out = np.zeros((*x.shape[:-1], m // 2 + 1), complex)
@@ -61,25 +66,45 @@ def linear(x: np.ndarray, m: int) -> np.ndarray:
     return x[..., left] * (1 - w) + x[..., np.minimum(left + 1, n - 1)] * w
 
 
-def _per_signal(df: DataFrame, change) -> DataFrame:
-    """Apply ``change(signal array, fs)`` to every row in Arrow batches; rows of one length and rate are worked off together."""
-    names = df.columns
+#: The rate of a record that names none.
+RATE = 500
+
+
+def _per_lead(df: DataFrame, change) -> DataFrame:
+    """Apply ``change(leads, fs)`` to the leads in Arrow batches, those of one length and rate at once.
+
+    Leads of a record may differ in length. A null signal or lead stays null, an empty lead empty, a null sample is not
+    a number, and a missing rate is ``RATE``.
+    """
+    names, types = df.columns, dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            signals = [None if s is None else np.array(s, float) for s in b["signal"].to_pylist()]
-            rates = b["fs"].to_pylist()
-            groups: dict[tuple, list[int]] = {}
-            for i, s in enumerate(signals):
-                if s is not None and s.ndim == 2 and s.shape[1]:
-                    groups.setdefault((*s.shape, rates[i]), []).append(i)
-            for (*_, fs), rows in groups.items():
-                for i, s in zip(rows, change(np.stack([signals[i] for i in rows]), fs)):
-                    signals[i] = s
-            column = pa.array([None if s is None else s.tolist() for s in signals], pa.list_(pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays([column if c == "signal" else b[c] for c in names], names=names)
-
-    kinds = ", ".join(f"`{f.name}` {'array<array<double>>' if f.name == 'signal' else f.dataType.simpleString()}" for f in df.schema)
+            signals = b["signal"].cast(pa.list_(pa.list_(pa.float64())))
+            many = np.asarray(pc.fill_null(signals.value_lengths(), 0), np.int64)
+            leads = signals.flatten()
+            size = np.asarray(pc.fill_null(leads.value_lengths(), 0), np.int64)
+            x = np.asarray(pc.fill_null(leads.flatten(), np.nan), np.float64)
+            rate = np.repeat(np.asarray(pc.fill_null(b["fs"].cast(pa.float64()), float(RATE))), many)
+            begin = np.cumsum(size) - size
+            kinds, at = np.unique(np.stack([size, rate]), axis=1, return_inverse=True)
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            new = size.copy()
+            for k, (n, fs) in enumerate(kinds.T):
+                own = np.flatnonzero(at.ravel() == k)
+                if n:
+                    out.append((own, np.asarray(change(x[begin[own][:, None] + np.arange(int(n))], fs), float)))
+                    new[own] = out[-1][1].shape[1]
+            begin = np.cumsum(new) - new
+            flat = np.zeros(int(new.sum()))
+            for own, y in out:
+                flat[(begin[own][:, None] + np.arange(y.shape[1])).ravel()] = y.ravel()
+            nothing = lambda a: pa.array(np.asarray(a.is_null()))
+            inner = pa.ListArray.from_arrays(pa.array(np.append(begin, new.sum()).astype(np.int32)), pa.array(flat), mask=nothing(leads))
+            outer = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), inner, mask=nothing(signals))
+            yield pa.RecordBatch.from_arrays([outer if c == "signal" else b[c] for c in names], names=names)
+
+    kinds = ", ".join(f"`{c}` {'array<array<double>>' if c == 'signal' else types[c]}" for c in names)
     return df.mapInArrow(run, kinds)
 
 
@@ -88,12 +113,12 @@ def fourier_resample(df: DataFrame, target_fs: int) -> DataFrame:
     def change(x: np.ndarray, fs: float) -> np.ndarray:
         return x if fs == target_fs else fourier(x, round(x.shape[-1] * target_fs / fs))
 
-    return _per_signal(df, change).withColumn("fs", F.lit(target_fs).cast(dict(df.dtypes)["fs"]))
+    return _per_lead(df, change).withColumn("fs", F.lit(target_fs).cast(dict(df.dtypes)["fs"]))
 
 
 def linear_resample(df: DataFrame, m: int) -> DataFrame:
     """Every lead at ``m`` samples by linear interpolation; a shared numpy helper, because array lambdas are slow on long signals."""
-    return _per_signal(df, lambda x, _: linear(x, m))
+    return _per_lead(df, lambda x, _: linear(x, m))
 
 
 def _each_lead(df: DataFrame, change, col: str = "signal") -> DataFrame:
@@ -159,10 +184,15 @@ def select_leads(df: DataFrame, idx: tuple[int, ...] = EIGHT, full: int = 12) ->
 def lead_stats(df: DataFrame, limit: int = 5000, order: tuple[str, ...] = ("record_id",)) -> DataFrame:
     """lead, mean, std over the first ``limit`` rows in order: the mean of the rows' means, and the root of the mean of their mean squares less its square.
 
-    The limit is the statistic's definition. Only the first rows' signals leave their tasks. A negative variance is null.
+    The limit is the statistic's definition. The first rows are found by their keys (ties by a hash of the signal) and
+    only sums leave their tasks, no signals. A negative variance is null.
     """
-    first = df.orderBy(*order).limit(limit)
-    leads = fill_nan(first).select(F.posexplode("signal").alias("lead", "x"))
+    keys = [f"_k{i}" for i in range(len(order))] + ["_hash"]
+    named = df.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], F.xxhash64("signal").alias("_hash"), "signal")
+    first = named.select(*keys).orderBy(*keys).limit(limit).distinct()
+    same = [named[k].eqNullSafe(F.col(f"{k}_")) for k in keys]
+    leads = named.join(first.withColumnsRenamed({k: f"{k}_" for k in keys}), same, "left_semi")
+    leads = fill_nan(leads).select(F.posexplode("signal").alias("lead", "x"))
     n = F.nullif(F.size("x"), F.lit(0))
     total = lambda f: F.aggregate("x", F.lit(0.0), lambda a, v: a + f(v)) / n
     stats = leads.select("lead", total(lambda v: v).alias("m"), total(lambda v: v * v).alias("q")).groupBy("lead").agg(F.avg("m").alias("mean"), F.avg("q").alias("q"))

@@ -51,10 +51,10 @@ def read_table(spark: SparkSession, d: str) -> DataFrame:
 def read_header_codes(spark: SparkSession, d: str) -> DataFrame:
     keys = F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ",")
     rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(keys.alias("k"))
-    text = rows.select(F.concat(F.lit("# Age: 50\n# DX: "), "k", F.lit("\n# Dx: 1,2")).alias("value"), F.col("n_name").alias("record"))
+    text = rows.select(F.concat(F.lit("# Age: 50\n# DX: "), "k", F.lit(", none\n# Dx: 1,2")).alias("value"), F.col("n_name").alias("record"))
     path = _folder(spark)
     text.repartition("record").write.partitionBy("record").text(path)
-    return tables.read_header_codes(spark, path, r"record=([^/]+)/")
+    return tables.read_header_codes(spark, path, r"record=([^/]+)/").withColumn("codes", F.array_join("codes", ","))
 
 
 @query("SELECT vec_id AS record_id, 0 AS seg_idx, 16 AS fs, 4 AS n_leads, 16 AS n_samples FROM embeddings")

@@ -186,7 +186,9 @@ def to_lead_major(spark: SparkSession, d: str) -> DataFrame:
     return digest(signals.to_lead_major(turned, "samples"), "record_id")
 
 
-@query()
+@query(f"""WITH {WAVES}, grid AS (SELECT i, j, j / 25.0::DOUBLE - i / 16.0::DOUBLE AS t FROM range(0, 16) a(i), range(0, 25) b(j)),
+  kernel AS (SELECT i, sum((j + 1) * (1 + 2 * list_sum(list_transform(range(1, 8), lambda k: cos(2 * pi() * k * t))) + cos(16 * pi() * t)) / 16) AS w FROM grid GROUP BY i)
+SELECT record_id, (l - 1)::INTEGER AS lead, 25 AS n, round(sum(signal[l][i + 1] * w), 5) AS total FROM waves, range(1, 5) s(l), kernel GROUP BY 1, 2""")
 def fourier_resample(spark: SparkSession, d: str) -> DataFrame:
     return digest(signals.fourier_resample(waves(spark, d), 25), "record_id")
 
@@ -303,7 +305,7 @@ def bce_loss(spark: SparkSession, d: str) -> DataFrame:
 def linear_probe_fit(spark: SparkSession, d: str) -> DataFrame:
     targets = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: (F.col("label") == c).cast("int"))
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("ecg_id"), F.col("embedding").alias("pooled"), targets.alias("targets"))
-    weights, bias, _ = features.linear_probe_fit(rows.filter("ecg_id % 5 <> 0"), rows.filter("ecg_id % 5 = 0"), 3, ((0.01, 20), (0.1, 20)))
+    weights, bias, _ = features.linear_probe_fit(rows.filter("ecg_id % 5 <> 0"), rows.filter("ecg_id % 5 = 0"), 3)
     scored = features.linear_score(rows, weights, bias)
     return scored.select("ecg_id", F.posexplode("scores").alias("class_idx", "score"))
 
@@ -347,9 +349,10 @@ def check_counts(spark: SparkSession, d: str) -> DataFrame:
     return joins.check_counts(rows, rows.filter("o_orderkey % 50 <> 7 or split > '3'"))
 
 
-@query("SELECT user_id AS record_id, count(DISTINCT event_type)::INTEGER AS n_leads FROM events WHERE event_id % 3 = 0 GROUP BY 1 HAVING count(DISTINCT event_type) <> 5")
+@query("SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS record_id, count(DISTINCT event_type)::INTEGER AS n_leads FROM events GROUP BY 1 HAVING count(DISTINCT event_type) <> 5")
 def check_leads(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").filter("event_id % 3 = 0").groupBy(F.col("user_id").alias("record_id")).agg(F.collect_set("event_type").alias("signal"))
+    day = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    rows = table(spark, d, "events").groupBy(day.alias("record_id")).agg(F.collect_set("event_type").alias("signal"))
     return joins.check_leads(rows, 5)
 
 

@@ -26,14 +26,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_header_codes(spark: SparkSession, path: str, name: str = r"([^/]+)\.[^./]+$") -> DataFrame:
-    """record_name, codes (text after the first line that starts with ``dx:``, in any case; null without one).
+    """record_name, codes: the whole numbers, as text, of the first line that starts with ``dx:`` (in any case); empty without one.
 
-    Header lines may begin with ``#``. The record's name is what ``name`` finds in the path, else the file's name.
+    Header lines may begin with ``#``; what is no whole number between the commas is left out, leading zeros too. The
+    record's name is what ``name`` finds in the path, else the file's name.
     """
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     line = F.regexp_extract("value", r"(?im)^#?[ \t]*dx:[ \t]*([^\r\n]*)", 1)
-    found = F.regexp_like("value", F.lit(r"(?im)^#?[ \t]*dx:"))
-    return text.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("record_name"), F.when(found, line).alias("codes"))
+    whole = F.filter(F.transform(F.split(line, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^[+-]?[0-9]{1,38}$"))
+    codes = F.transform(whole, lambda x: x.cast("decimal(38,0)").cast("string"))
+    return text.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("record_name"), codes.alias("codes"))
 
 
 def read_waveforms(spark: SparkSession, path: str) -> DataFrame:

@@ -119,3 +119,41 @@ def test_metric_lines(spark, tmp_path):
 def test_best_epoch(spark):
     df = spark.createDataFrame([("x", 1, 0.5), ("x", 2, 0.7), ("x", 3, 0.7), ("x", 4, float("nan")), ("y", 1, None)], "experiment string, epoch int, val_auroc_macro double")
     assert rows(best_epoch(df)) == [("x", 2, 0.7)]
+
+
+def test_patients_of_one_kind_are_many_buckets(spark, monkeypatch):
+    """No bucket of patients with one label and one record holds more than a small part of them."""
+    seen = []
+    whole = folds.running_total
+    monkeypatch.setattr(folds, "running_total", lambda df, *rest: seen.append(df.groupBy("_bucket").count().agg(F.max("count")).first()[0]) or whole(df, *rest))
+    df = spark.range(20_000).select(F.col("id").alias("pid"), F.array(F.lit(3)).alias("encoded"))
+    sizes = [r["count"] for r in folds.stratify_patients(df, 10).groupBy("fold").count().collect()]
+    assert seen[0] < 200 and max(sizes) - min(sizes) <= 1
+
+
+def test_small_scores_are_many_buckets_and_nan_is_undefined(spark, monkeypatch):
+    from pulseloom.operators import metrics
+
+    seen = []
+    whole = metrics.running_total
+    monkeypatch.setattr(metrics, "running_total", lambda df, *rest: seen.append(df.groupBy("_step").count().agg(F.max("count")).first()[0]) or whole(df, *rest))
+    score = F.pow(F.lit(10.0), -2 - 4 * (F.col("id") / 20_000))
+    df = spark.range(20_000).select(F.col("id").alias("ecg_id"), F.lit(0).alias("class_idx"), (F.col("id") % 50 == 0).cast("int").alias("target"), score.alias("score"))
+    assert 0.4 < metrics.auroc_macro(df).first()[0] < 0.6 and seen[0] < 200
+    odd = df.unionByName(spark.createDataFrame([(1, 1, 1, 0.5), (2, 1, 0, float("nan")), (3, 2, 1, 1.5), (4, 2, 0, -3.0)], "ecg_id long, class_idx int, target int, score double"))
+    per = {r["class_idx"]: r["auroc"] for r in metrics.auroc_per_class(odd).collect()}
+    assert per[1] is None and per[2] == 1.0 and metrics.auroc_macro(odd).first()[0] is None
+    assert metrics.auroc_micro(odd).first()[0] is None and metrics.auprc_macro(odd).first()[0] is None and metrics.f1_macro(odd).first()[0] is not None
+
+
+def test_folds_replace_a_column_of_their_name(spark):
+    records = spark.createDataFrame([(1, 10, 7), (2, 11, 7)], "record_id int, pid int, fold int")
+    found = joins.attach_folds(records, spark.createDataFrame([(10, 3)], "pid int, fold int"), "pid")
+    assert {(r["record_id"], r["fold"]) for r in found.collect()} == {(1, 3), (2, -1)}
+
+
+def test_header_codes_are_lists(spark, tmp_path):
+    for name, text in (("a", "x 12\n#Age: 3\n#dx: 007, 12,none,, 5\n#Dx: 1\n"), ("b", "x\n"), ("c", "#Dx:\n")):
+        (tmp_path / f"{name}.hea").write_text(text)
+    found = {r["record_name"]: r["codes"] for r in tables.read_header_codes(spark, str(tmp_path)).collect()}
+    assert found == {"a": ["7", "12", "5"], "b": [], "c": []}

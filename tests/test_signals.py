@@ -104,3 +104,27 @@ def test_probe_separates(spark):
     df = spark.createDataFrame(rows, "ecg_id long, pooled array<double>, targets array<int>")
     weights, bias, scores = features.linear_probe_fit(df, df, 2, ((0.01, 20),))
     assert scores.first()["auroc_macro"] == pytest.approx(1.0) and bias[1] == -20.0
+
+
+def test_odd_signals(spark):
+    """Leads of unequal length, null leads and samples, no rate, no samples left, one more axis."""
+    kinds = "record_id int, seg_idx int, fs int, signal array<array<double>>"
+    up, down = [float(i % 7) for i in range(20)], [float(i % 5) for i in range(40)]
+    rows = [(1, 0, 20, [up, down, []]), (2, 0, None, [up]), (3, 0, 20, None), (4, 0, 40, [None, down]), (5, 0, 20, []), (6, 0, 20, [[1.0]])]
+    df = spark.createDataFrame(rows, kinds)
+    got = {r["record_id"]: r["signal"] for r in signals.fourier_resample(df, 10).collect()}
+    assert [len(x) for x in got[1]] == [10, 20, 0] and got[3] is None and got[5] == [] and got[6] == [[]]
+    assert got[2] == [[]] and got[4][0] is None and len(got[4][1]) == 10  # 20 samples at 500 Hz are none at 10 Hz
+    assert np.allclose(got[1][0], signals.fourier(np.array([up]), 10)[0])
+    line = {r["record_id"]: r["signal"] for r in signals.linear_resample(df, 8).collect()}
+    assert np.allclose(line[1][1], signals.linear(np.array([down]), 8)[0]) and line[1][2] == []
+    deep = spark.createDataFrame([(1, [[[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]])], "record_id int, signal array<array<array<double>>>")
+    assert signals.to_lead_major(deep, "samples").first()["signal"] == [[1.0, 3.0, 5.0], [2.0, 4.0, 6.0]]
+    assert signals.to_lead_major(deep, "leads").first()["signal"] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
+
+
+def test_lead_stats_takes_the_first_rows(spark):
+    df = spark.createDataFrame([(i, [[float(i), float(i + 1)]]) for i in range(50)], "record_id int, signal array<array<double>>")
+    r = signals.lead_stats(df, limit=10).first()
+    x = np.array([[i, i + 1] for i in range(10)], float)
+    assert abs(r["mean"] - x.mean()) < 1e-9 and abs(r["std"] - np.sqrt((x**2).mean() - x.mean() ** 2)) < 1e-9
