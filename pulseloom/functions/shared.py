@@ -26,8 +26,9 @@ def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Later plans start from the files, so a lost executor costs no recomputation and a value such as a partition
-    number stays what it was. The files belong to the folder's own retention.
+    number stays what it was. All tables of an application lie in one folder, which can go when the application has ended.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/pulseloom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/pulseloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

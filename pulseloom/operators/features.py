@@ -57,11 +57,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def linear_score(df: DataFrame, weights: list[list[float]], bias: list[float], col: str = "pooled") -> DataFrame:
-    """Add logits and scores: W x + b per class, NaN to 0, and its logistic function."""
-    rows = [F.array(*[F.lit(float(x)) for x in w]) for w in weights]
+    """Add logits and scores: W x + b per class, NaN to 0, and its logistic function. The weights are a table of one row, broadcast."""
+    table = [([{"w": [float(x) for x in w], "b": float(b)} for w, b in zip(weights, bias)],)]
+    one = df.sparkSession.createDataFrame(table, "_weights array<struct<w:array<double>,b:double>>")
     x = F.transform(col, lambda v: v.cast("double"))
-    logits = F.array(*[F.coalesce(F.nanvl(dot(x, w) + float(b), F.lit(0.0)), F.lit(0.0)) for w, b in zip(rows, bias)])
-    return df.withColumn("logits", logits).withColumn("scores", F.transform("logits", lambda v: 1 / (1 + F.exp(-v))))
+    logits = F.transform("_weights", lambda c: F.coalesce(F.nanvl(dot(x, c["w"]) + c["b"], F.lit(0.0)), F.lit(0.0)))
+    rows = df.crossJoin(F.broadcast(one)).withColumn("logits", logits).drop("_weights")
+    return rows.withColumn("scores", F.transform("logits", lambda v: 1 / (1 + F.exp(-v))))
 
 
 def bce_loss(df: DataFrame) -> DataFrame:
