@@ -4,8 +4,8 @@ Two zstandard dictionaries are built from labelled training texts, one per label
 (size with bad - size with good) / its bytes, together with its length, goes through a logistic curve that is fitted
 on other labelled training rows than those of the dictionaries.
 
-The fit uses at most ``most`` labelled rows, and of them texts of at most ``longest`` bytes for the dictionaries
-(documented bounds); every text is scored whole. Nulls: a null text is scored as empty, that is by the curve at a
+The fit uses at most ``most`` labelled rows, and of them for either dictionary at most ``texts`` texts of at most ``longest``
+bytes and ``times`` times the dictionary's size in all (documented bounds); every text is scored whole. Nulls: a null text is scored as empty, that is by the curve at a
 difference of 0. Without labels of both kinds the score is the share of label 1 (1/2 without any). Repeated rows are
 scored alike.
 """
@@ -60,7 +60,7 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"".join(texts)[-size:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, longest: int = 65_536, size: int = 112_640, every: int = 5, held: int = 0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, longest: int = 65_536, size: int = 112_640, texts: int = 3000, times: int = 100, every: int = 5, held: int = 0) -> Model:
     """Learn from at most ``most`` labelled rows whose crc32(doc_id) mod ``every`` is not ``held``."""
     sample = keep(labelled_sample(docs, labels, "quality", F.pmod(id_crc(), F.lit(every)) != held, most))
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
@@ -69,21 +69,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, longest: int = 6
     if not sizes["n0"] or not sizes["n1"]:
         model.weights[-1] = 0.0 if not (sizes["n0"] or sizes["n1"]) else (3.0 if sizes["n1"] else -3.0)
         return model
-    # as many texts of each class reach the driver as fit in 100 times a dictionary's size
-    texts: list[list[bytes]] = []
+    # these texts reach the driver
+    chosen: list[list[bytes]] = []
     for k in (0, 1):
         fits = sample.filter((half == 0) & (F.col("y") == k) & (F.octet_length("text") <= longest)).orderBy(F.xxhash64("doc_id"), "doc_id")
         own, total = [], 0
-        for r in fits.select(F.encode("text", "UTF-8").alias("b")).limit(3000).toLocalIterator():
+        for r in fits.select(F.encode("text", "UTF-8").alias("b")).limit(texts).toLocalIterator():
             own.append(bytes(r["b"]))
             total += len(own[-1])
-            if total > 100 * size:
+            if total > times * size:
                 break
-        texts.append(own)
+        chosen.append(own)
     # lines that both classes have tell nothing, and would sit in the dictionary of the smaller class only
-    lines = [{line for t in own for line in t.split(b"\n")} for own in texts]
+    lines = [{line for t in own for line in t.split(b"\n")} for own in chosen]
     both = lines[0] & lines[1]
-    model.bad, model.good = (_dictionary([b"\n".join(x for x in t.split(b"\n") if x not in both) for t in own], size) for own in texts)
+    model.bad, model.good = (_dictionary([b"\n".join(x for x in t.split(b"\n") if x not in both) for t in own], size) for own in chosen)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = model.compressors()

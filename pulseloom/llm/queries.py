@@ -1,4 +1,8 @@
-"""The registered queries of the training-data operators, and SQL where it can express them."""
+"""The registered queries of the training-data operators, and SQL where it can express them.
+
+Each reads its whole table and gives one row per document, piece, or query and rank. What the operators do with nulls, ties,
+repeated rows and further columns (their modules say it) holds here too; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op3_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its source's size and target and the words that the mix takes of it; a null text has none."""
     return mixing.mixed_documents(_read(spark, sf_dir, "documents"))
 
 
@@ -62,6 +67,7 @@ FROM stream s LEFT JOIN mixed m ON s.sno = m.sno AND s.start = m.start AND s.siz
 
 
 def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's shard of near equal bytes and its place there; a null text has no bytes."""
     rows = sharding.shard_by_bytes(_read(spark, sf_dir, "documents"), 24)
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -75,23 +81,27 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every row's tokens and its place; a null or empty text is one piece with the end token."""
     path, pattern = tokenizer()
     return packing.pack_documents(_read(spark, sf_dir, "documents"), path, pattern)
 
 
 def op5_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's toxicity; a null or empty text gets the score of a text without words."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
     return scored.select("doc_id", (F.pmod(id_crc(), F.lit(3)) == 1).alias("held_out"), "score", "predicted")
 
 
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's quality; a null or empty text gets the curve's value at a difference of 0."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     scored = quality.score_documents(docs, quality.fit(docs, labels))
     return scored.select("doc_id", (F.pmod(id_crc(), F.lit(5)) == 0).alias("held_out"), "score", "predicted")
 
 
 def op1_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's 10 largest integer inner products, ties to the smaller vec_id; rows with an unusable vector or no id take no part."""
     rows = _read(spark, sf_dir, "embeddings")
     whole = F.transform("embedding", lambda x: F.floor(1024 * x.cast("double")).cast("double"))
     usable = rows.filter(vectors.usable()).select("vec_id", whole.alias("embedding"))
@@ -113,19 +123,23 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 
 def op7_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's 5 nearest rows found by cosine, ties to the smaller vec_id; rows with an unusable vector or no id take no part."""
     return ann_tree.approximate_topk(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every row: its least doc_id, or a number below -2^62 if none has an id."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with what its text loses to earlier strings of 100 bytes; a null text is empty."""
     rows = suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"), 100, form="digest")
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
 def op6_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's log10 probability; a null or empty text is one end token."""
     docs = _read(spark, sf_dir, "documents")
     held_out = F.pmod(id_crc(), F.lit(7)) == 2
     scored = brown_lm.score_documents(docs, brown_lm.fit(docs.filter(~held_out)))

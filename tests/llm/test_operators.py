@@ -739,6 +739,40 @@ def test_quality(spark):
     assert quality.score_documents(docs, quality.fit(docs, labels.limit(0))).first()["score"] == 0.5
 
 
+def test_quality_scores_are_the_compressed_sizes(spark):
+    """Each score by hand from the two dictionaries and the curve."""
+    import zstandard
+
+    def junk(words, random):
+        return [w + "%%%" for w in words]
+
+    docs, labels, _ = labelled(spark, junk, "quality")
+    model = quality.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    for r in quality.score_documents(docs, model).limit(50).collect():
+        t = texts[r["doc_id"]]
+        size = [len(zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False).compress(t)) for d in (model.bad, model.good)]
+        x = [10 * (size[0] - size[1]) / (len(t) + 20), 10 * (size[0] - size[1]) / (len(t) + 300), min(size) / (len(t) + 20), math.log1p(len(t)) / 10, 1.0]
+        assert abs(r["score"] - 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))) < 1e-9
+
+
+def test_posterior_by_hand():
+    """Three voters that err apart: the posterior is Bayes' rule with the rates that it implies itself."""
+    random = np.random.default_rng(5)
+    y = random.random(3000) < 0.4
+    votes = np.stack([np.where(random.random(3000) < p, np.where(y, 1, -1), np.where(y, -1, 1)) for p in (0.9, 0.8, 0.7)], axis=1).astype(np.int8)
+    q, accuracy_, correlation = toxicity.label_model(votes, 0.4, rounds=400)
+    weight = np.where(correlation > 0.1, correlation, 0).sum(axis=1)
+    odds = np.full(len(y), math.log(0.4 / 0.6))
+    for k in range(3):
+        for v in (-1, 1):
+            own = votes[:, k] == v
+            rate = [(w[own].sum() + 0.1) / (w.sum() + 0.3) for w in (1 - q, q)]
+            odds[own] += (math.log(rate[1]) - math.log(rate[0])) / weight[k]
+    assert np.abs(1 / (1 + np.exp(-odds)) - q).max() < 0.01
+    assert abs(accuracy_[0] - 0.9) < 0.05 and ((q > 0.5) == y).mean() > 0.88
+
+
 def test_no_text_is_read_beyond_its_rows(spark, docs, local):
     """Every query gives one row per document."""
     model = toxicity.fit(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
