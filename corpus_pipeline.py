@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed token sequences, in five stages."""
+"""A corpus from raw documents to packed token sequences, in five stages.
+
+Every stage takes all rows that the one before kept. Nulls: a null text is an empty one, a null source a source of its own,
+and rows without an id are documents of their own. Rows that repeat are near duplicates. Further columns stay as they are
+up to the mix; an empty table passes through every stage and gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +16,13 @@ from pulseloom.llm.queries import tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.7; the model learns from the labelled ones among them."""
+    """Documents whose toxicity score is under 0.7; the model learns from the labelled ones among them. Without labels the general lexicon decides."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each class of near duplicates (five-word shingles, similarity 0.8): that of the least id."""
     return minhash.one_of_each(docs)
 
 
@@ -28,7 +33,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of sources takes them."""
+    """The documents as often as the mix of sources takes them, in the order of its schedule; those without words are in no mix."""
     mixed = mixing.mixed_texts(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long"))
 
