@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running_total
 from ..functions.scalars import truthy
+from ..functions.shared import keep
 
 
 def replaced(df: DataFrame, key: str, col: str, mapping: DataFrame, by: str, values: list[str]) -> DataFrame:
@@ -76,11 +78,12 @@ def first_seen(df: DataFrame, col: str = "names", order: str = "record_id") -> D
 def label_vocab(counts: DataFrame, min_cnt: int = 10, order: str = "name") -> DataFrame:
     """label_idx, label, n of labels seen at least ``min_cnt`` times: by name, or by count with ties by first seen.
 
-    The window is over the vocabulary, which is small.
+    The vocabulary is cut into ranges of that order and written once; places are running totals over these, so one of any
+    size is many tasks' work.
     """
     by = ["label"] if order == "name" else [F.desc("n"), "seen" if "seen" in counts.columns else "label"]
-    kept = counts.filter(F.col("n") >= min_cnt)
-    return kept.select((F.row_number().over(Window.orderBy(*by)) - 1).alias("label_idx"), "label", "n")
+    kept = keep(counts.filter(F.col("n") >= min_cnt).repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    return running_total(kept, {"label_idx": F.lit(1).cast("long")}, "_range", by).select(F.col("label_idx").cast("int"), "label", "n")
 
 
 def filter_encode_labels(df: DataFrame, vocab: DataFrame, col: str = "names", key: str = "record_id") -> DataFrame:
