@@ -20,7 +20,7 @@ place of their own hash, again after each task has resolved its own, and no task
 
 Nulls: a null text is empty and keeps nothing; a null id comes before all others. Rows with the same id, or without one, are
 documents of their own and not earlier than each other; a row is known by its id and 64 bits of its text's hash, so rows
-equal in both share one result. Extra columns are only read if named in ``rest``.
+equal in both share one result, and a batch works on one of them. Extra columns are only read if named in ``rest``.
 """
 
 from __future__ import annotations
@@ -123,6 +123,13 @@ def _spans(kind: int, doc: np.ndarray, th: np.ndarray, p: np.ndarray, high: np.n
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *longs, *ints], names=["kind", "doc", "th", "p", "high", "low"])
 
 
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with one of its rows equal in id and text, which have one result."""
+    keys = pd.DataFrame({k: np.asarray(batch[k], np.int64) for k in ("doc", "th")})
+    again = keys.duplicated().to_numpy()
+    return batch.filter(pa.array(~again)) if again.any() else batch
+
+
 def anchor_records(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """bucket, block: packed records by anchor hash.
 
@@ -131,7 +138,7 @@ def anchor_records(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_once, batches):
             doc, th = np.asarray(batch["doc"], np.int64), np.asarray(batch["th"], np.int64)
             for rows, runs in _slices(batch, length):
                 if not len(runs):
@@ -356,7 +363,7 @@ def contexts(asked: DataFrame, length: int) -> DataFrame:
     two hashes of its own; kind 0, windows that repeat inside this batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_once, batches):
             out: dict[int, list[tuple]] = {1: [], 2: []}
             for doc, th, text, spans in zip(batch["doc"].to_pylist(), batch["th"].to_pylist(), batch["text"], batch["spans"].to_pylist()):
                 raw = text.as_py().encode()
@@ -458,7 +465,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, rest: tuple[str, ...] = (),
         F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"), "doc_id", F.struct(F.lit(0).alias("_"), *rest).alias("rest")
     )
     spans = keep(meet(anchor_records(named, length, 2 * parts_), parts_))
-    gather = lambda df, name: df.groupBy("doc", "th").agg(F.collect_list(F.struct("kind", "p", "high", "low")).alias(name))
+    gather = lambda df, name: df.groupBy("doc", "th").agg(F.collect_set(F.struct("kind", "p", "high", "low")).alias(name))
     # both joins ask for all columns of the texts, so that Spark shuffles these once and reads them twice
     asked = named.join(gather(spans.filter("kind > 0"), "spans"), ["doc", "th"])
     more = compare(contexts(asked, length), parts_, length)

@@ -300,6 +300,25 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
         assert (r["n_removed"] > 0) == (r["doc_id"] is not None)
 
 
+def test_rows_equal_in_id_and_text_are_worked_on_once(spark):
+    """However often such a row stands in a batch, it sends the records of one; each copy gets the result."""
+    row = (None, prose(71, 200), "en", "s", 0)
+
+    def records(n):
+        named = spark.createDataFrame([row] * n, SCHEMA).selectExpr("-1L AS doc", "xxhash64(text) AS th", "text").coalesce(1)
+        return sum(len(suffix_dedup._unpack(r["block"])) for r in suffix_dedup.anchor_records(named, 100, 8).collect())
+
+    assert records(500) == records(1) > 0
+    rows = [row] * 500 + [(5, row[1], "en", "s", 0)] * 50
+    want = brute_dedup([r[:2] for r in rows], 100)
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, SCHEMA), 100, ("text",), "digest").collect()
+    assert len(found) == 550
+    for r in found:
+        d = -(2**63) if r["doc_id"] is None else r["doc_id"]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).hex()) == want[d, r["text"]]
+        assert (r["n_removed"] > 0) == (r["doc_id"] is not None)
+
+
 def test_whole_records_with_one_hash_are_told_apart():
     """Where the first hash of whole records collides, the second decides."""
     text = [prose(71, 60), prose(72, 60), prose(71, 60)]
