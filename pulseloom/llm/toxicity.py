@@ -34,7 +34,11 @@ PATTERNS = (
     re.compile(r"[A-Z]{4,}!{2,}"),
     re.compile(r"!{3,}"),
 )
+#: Stretches of which a text that matches the pattern holds at least one.
+NEEDED = ((), ("*", "@", "#", "$"), ("!!",), ("!!!",))
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
+#: Words whose features a task remembers, none longer than this.
+REMEMBERED, LONGEST = 100_000, 40
 LEXICONS = 8
 #: Columns that follow the mined features: lexicon hits, hits per 100 words, insults, patterns, log of words.
 EXTRA = 3 + len(PATTERNS) + 1
@@ -54,6 +58,16 @@ class Model:
     scale: tuple[float, float] = (1.0, 0.0)
     accuracy: np.ndarray = field(default_factory=lambda: np.zeros(0))
     correlation: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    def known(self, word: str) -> tuple[int, ...]:
+        """The mined features of a word, which are remembered."""
+        found = tuple(i for f in features_of(word) if (i := self.index.get(f)) is not None) if word[:3] in self.heads else ()
+        if len(word) <= LONGEST:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[word] = found
+        return found
 
     def look(self, text: str) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
         """Columns that aren't 0 of the mined features, further columns, and the votes (1 toxic, -1 clean, 0 none) on one text.
@@ -63,16 +77,16 @@ class Model:
         words = Counter(LETTERS.findall(text.lower()))
         n = sum(words.values())
         found: dict[int, int] = {}
-        insults = hits = 0
-        for w, c in words.items():
-            if w in INSULTS:
-                insults += c
-            if w[:3] in self.heads:
-                known = [i for f in features_of(w) if (i := self.index.get(f)) is not None]
-                hits += c * bool(known)
+        insults, hits = sum(words[w] for w in INSULTS if w in words), 0
+        for (w, c), known in zip(words.items(), map(self.seen.get, words)):
+            if known is None:
+                known = self.known(w)
+            if known:
+                hits += c
                 for i in known:
                     found[i] = found.get(i, 0) + c
-        patterns = [len(p.findall(text)) if i else bool(insults and p.search(text)) for i, p in enumerate(PATTERNS)]
+        patterns = [bool(insults and PATTERNS[0].search(text))]
+        patterns += [len(p.findall(text)) if any(x in text for x in need) else 0 for p, need in zip(PATTERNS[1:], NEEDED[1:])]
         more = np.array([min(hits, 8), min(100 * hits / max(n, 20), 8), min(insults, 4), *(min(x, 2) for x in patterns), np.log1p(n) / 5])
         votes = np.zeros(2 * LEXICONS + 1 + len(PATTERNS) + 2, np.int8)
         votes[self.lexicon[list(found)]] = 1
