@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, brown_lm, exact_topk, minhash, mixing, packing, quality, sharding, suffix_dedup, toxicity, vectors
+from . import ann_tree, brown_lm, exact_topk, minhash, mixing, packing, quality, sharding, suffix_dedup, token_counts, toxicity, vectors
 from .labelled import id_crc
 
 
@@ -146,6 +146,14 @@ def op6_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's tokens by the lower-case word tokenizer, and whether they are over 2048; a null or empty text has none."""
+    import public_tokenizers
+
+    rows = token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES = {
     "op1_voronoi_topk": op1_voronoi_topk,
     "op2_dart_minhash": op2_dart_minhash,
@@ -156,6 +164,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_compression_quality": op10_compression_quality,
     "op3_source_schedule": op3_source_schedule,
+    "op11_token_counts": op11_token_counts,
     "op8_prefix_sum_shards": op8_prefix_sum_shards,
 }
 ORACLE_SQL = {"op1_voronoi_topk": OP1_SQL, "op3_source_schedule": OP3_SQL}
