@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, brown_lm, exact_topk, minhash, mixing, packing, quality, sharding, suffix_dedup, token_counts, toxicity, vectors
+from . import ann_tree, brown_lm, exact_topk, lexical_scan, minhash, mixing, packing, quality, sharding, suffix_dedup, token_counts, toxicity, vectors, whitening
 from .labelled import id_crc
 
 
@@ -154,6 +154,44 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op12_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's 50 highest-scoring documents; an item without terms has none."""
+    return lexical_scan.ranked_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable row's whitened entries on up to 16 components."""
+    rows = _read(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, 16)
+    shares = F.array(*[F.lit(float(x)) for x in model.values / model.trace]) if len(model.values) else F.lit([]).cast("array<double>")
+    each = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("_at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("_at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+OP12_SQL = """
+WITH upper_to_lower AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+d AS (SELECT doc_id, row, len(terms)::BIGINT AS n, terms FROM upper_to_lower WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, coalesce(sum(n), 0)::BIGINT AS words FROM d),
+i AS (SELECT item_id, row_number() OVER () AS item, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM benchmark),
+asked AS (SELECT item_id, item, unnest(terms) AS term FROM i),
+tf AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY 1),
+gains AS (
+  SELECT row, doc_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS gain
+  FROM tf JOIN df USING (term), total),
+scores AS (SELECT item, item_id, row, doc_id, sum(gain)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER w)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW w AS (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER w <= 50
+"""
+
+
 QUERIES = {
     "op1_voronoi_topk": op1_voronoi_topk,
     "op2_dart_minhash": op2_dart_minhash,
@@ -165,6 +203,8 @@ QUERIES = {
     "op10_compression_quality": op10_compression_quality,
     "op3_source_schedule": op3_source_schedule,
     "op11_token_counts": op11_token_counts,
+    "op12_lexical_scan": op12_lexical_scan,
+    "op13_spectrum_whitening": op13_spectrum_whitening,
     "op8_prefix_sum_shards": op8_prefix_sum_shards,
 }
-ORACLE_SQL = {"op1_voronoi_topk": OP1_SQL, "op3_source_schedule": OP3_SQL}
+ORACLE_SQL = {"op1_voronoi_topk": OP1_SQL, "op3_source_schedule": OP3_SQL, "op12_lexical_scan": OP12_SQL}
