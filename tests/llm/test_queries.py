@@ -35,7 +35,7 @@ def vectors():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
@@ -144,3 +144,37 @@ def test_kept_bytes_are_those_that_are_left(spark, documents):
     texts = dict(documents)
     for r in queries.op4_suffix_array_dedup(spark, SF).filter("n_removed = 0").collect():
         assert r["kept_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_op11(spark, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for d, text in documents:
+        n = len(t.encode(text or "", add_special_tokens=False).ids)
+        want[d, len((text or "").encode()), n, n > 2048] += 1
+    rows = queries.op11_token_counts(spark, SF).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows) == want
+
+
+def test_op13(spark, vectors):
+    x = np.array([np.floor(64 * v).astype(np.int64) + 1_000_000 for _, v in vectors])
+    distinct = np.unique(x, axis=0)
+    n, sums = len(distinct), distinct.sum(axis=0)
+    centred = (n * distinct - sums) / n
+    values, turn = np.linalg.eigh(centred.T @ centred / n)
+    want = ((n * x - sums) / n) @ turn[:, ::-1][:, :16] / np.sqrt(values[::-1][:16])
+    got = defaultdict(dict)
+    for r in queries.op13_spectrum_whitening(spark, SF).collect():
+        got[r["vec_id"]][r["component"]] = r
+    assert sorted(got) == sorted(i for i, _ in vectors)
+    sign = None
+    for k, (i, _) in enumerate(vectors):
+        mine = np.array([got[i][c]["whitened"] for c in range(1, 17)])
+        sign = np.sign(mine * want[k]) if sign is None else sign
+        assert len(got[i]) == 16 and np.allclose(mine * sign, want[k], atol=1e-9)
+        for c, r in got[i].items():
+            assert r["n"] == n and r["deviation"] == int(((n * x[k] - sums) ** 2).sum()) and r["identity_error"] < 1e-9
+            assert abs(r["explained"] - values[::-1][c - 1] / values.sum()) < 1e-9
