@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,20 +15,56 @@ from ..functions.scalars import truthy
 from ..functions.shared import keep
 
 
-def replaced(df: DataFrame, key: str, col: str, mapping: DataFrame, by: str, values: list[str]) -> DataFrame:
+#: A mapping of at most so many entries and bytes is broadcast and looked up inside the rows.
+LOOKUP_ROWS, LOOKUP_BYTES = 200_000, 32 << 20
+
+
+def replaced(df: DataFrame, col: str, mapping: DataFrame, by: str, values: list[str], most: int = LOOKUP_ROWS) -> DataFrame:
     """Replace the entries of the array ``col`` by the mapping's values, order and repeats kept, unmapped ones dropped.
 
-    Adds one array per value column. Rows are exploded to narrow (key, place, entry), meet the mapping in a join whose
-    kind Spark picks by size, and are gathered per key; only the key and the arrays move.
+    Adds one array per value column, named in the plural; a null array gives empty ones. Of a key that the mapping holds more than
+    once the least values count. A mapping whose size is checked to be small goes to the executors and is looked up in
+    the row, so no row moves. A larger one meets the exploded (row, place, entry) in a join whose kind Spark picks; the row
+    is a number of our own, so records may share a key or lack one.
     """
-    entries = df.select(key, F.posexplode(col).alias("_place", "_entry"))
-    hit = entries.join(mapping.select(F.col(by).alias("_entry"), *values), "_entry")
-    gathered = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_place", *values))).alias("_hits"))
+    unique = mapping.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("_entry")).agg(F.min(F.struct(*values)).alias("_v")).select("_entry", "_v.*")
+    found = unique.limit(most + 1).toArrow()
+    if found.num_rows <= most and found.nbytes <= LOOKUP_BYTES:
+        return _looked_up(df, col, found, {v: unique.schema[v].dataType.simpleString() for v in values})
+    return _joined(df, col, unique, values)
+
+
+def _looked_up(df: DataFrame, col: str, mapping: pa.Table, kinds: dict[str, str]) -> DataFrame:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, mapping.schema) as writer:
+        writer.write_table(mapping)
+    sent = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    held: list[pa.Table] = []  # in a worker: the table of this function, read once
+
+    def look(lists: pa.Array) -> pa.Array:
+        if not held:
+            held.append(pa.ipc.open_stream(sent.value).read_all().combine_chunks())
+        table = held[0]
+        size = np.asarray(pc.fill_null(lists.value_lengths(), 0), np.int64)
+        at = pc.index_in(lists.flatten(), value_set=table["_entry"])
+        ends = np.append(0, np.cumsum(np.asarray(at.is_valid()))) if len(at) else np.zeros(1, np.int64)
+        offsets = pa.array(ends[np.append(0, np.cumsum(size))].astype(np.int32))
+        hits = at.drop_null()
+        parts = [pa.ListArray.from_arrays(offsets, pc.take(table[v], hits).combine_chunks()) for v in kinds]
+        return pa.StructArray.from_arrays(parts, names=list(kinds))
+
+    found = F.arrow_udf(look, ", ".join(f"`{v}` array<{t}>" for v, t in kinds.items()))
+    rows = df.withColumn("_hits", found(F.col(col)))
+    return rows.withColumns({f"{v}s": F.col(f"_hits.{v}") for v in kinds}).drop("_hits")
+
+
+def _joined(df: DataFrame, col: str, mapping: DataFrame, values: list[str]) -> DataFrame:
+    rows = keep(df.withColumn("_row", F.monotonically_increasing_id()))
+    hit = rows.select("_row", F.posexplode(col).alias("_place", "_entry")).join(mapping, "_entry")
+    gathered = hit.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_place", *values))).alias("_hits"))
     types = dict(mapping.dtypes)
-    out = df.join(gathered, key, "left")
-    for v in values:
-        out = out.withColumn(f"{v}s", F.coalesce(F.col(f"_hits.{v}"), F.lit([]).cast(f"array<{types[v]}>")))
-    return out.drop("_hits")
+    out = rows.join(gathered, "_row", "left")
+    return out.withColumns({f"{v}s": F.coalesce(F.col(f"_hits.{v}"), F.lit([]).cast(f"array<{types[v]}>")) for v in values}).drop("_row", "_hits")
 
 
 def unique_mapping(mapping: DataFrame, on_dup: str, order: str = "pos") -> DataFrame:
@@ -35,9 +74,9 @@ def unique_mapping(mapping: DataFrame, on_dup: str, order: str = "pos") -> DataF
     return rows.groupBy("code").agg(pick("name", order).alias("name"))
 
 
-def map_codes(df: DataFrame, mapping: DataFrame, on_dup: str, col: str = "codes", key: str = "record_id") -> DataFrame:
+def map_codes(df: DataFrame, mapping: DataFrame, on_dup: str, col: str = "codes", most: int = LOOKUP_ROWS) -> DataFrame:
     """Add names: each code's name in order, repeats kept, unmapped codes dropped; a record with none keeps an empty list."""
-    return replaced(df, key, col, unique_mapping(mapping, on_dup), "code", ["name"])
+    return replaced(df, col, unique_mapping(mapping, on_dup), "code", ["name"], most)
 
 
 def mapping_override(mapping: DataFrame, extra: DataFrame) -> DataFrame:
@@ -52,16 +91,16 @@ def explode_mapping(df: DataFrame, key: str, val: str, order: str = "pos") -> Da
     return cells.groupBy("code").agg(F.max_by("name", order).alias("name"))
 
 
-def code_subsets(df: DataFrame, statements: DataFrame, flag: str, col: str = "codes", key: str = "record_id") -> DataFrame:
+def code_subsets(df: DataFrame, statements: DataFrame, flag: str, col: str = "codes", most: int = LOOKUP_ROWS) -> DataFrame:
     """The codes whose statement has ``flag`` above 0; a code without the flag leaves the list, the record stays."""
-    flagged = statements.filter(F.col(flag) > 0).select(F.col("code"), F.col("code").alias("kept")).distinct()
-    return replaced(df, key, col, flagged, "code", ["kept"]).withColumn(col, F.col("kepts")).drop("kepts")
+    flagged = statements.filter(F.col(flag) > 0).select(F.col("code"), F.col("code").alias("kept"))
+    return replaced(df, col, flagged, "code", ["kept"], most).withColumn(col, F.col("kepts")).drop("kepts")
 
 
-def class_rollup(df: DataFrame, statements: DataFrame, level: str, col: str = "codes", key: str = "record_id") -> DataFrame:
+def class_rollup(df: DataFrame, statements: DataFrame, level: str, col: str = "codes", most: int = LOOKUP_ROWS) -> DataFrame:
     """Add names: each code's class at ``level``; codes without one dropped, repeats kept."""
     classes = statements.filter(F.col(level).isNotNull()).select("code", F.col(level).alias("name"))
-    return replaced(df, key, col, classes, "code", ["name"])
+    return replaced(df, col, classes, "code", ["name"], most)
 
 
 def label_counts(df: DataFrame, col: str = "names") -> DataFrame:
@@ -86,10 +125,10 @@ def label_vocab(counts: DataFrame, min_cnt: int = 10, order: str = "name") -> Da
     return running_total(kept, {"label_idx": F.lit(1).cast("long")}, "_range", by).select(F.col("label_idx").cast("int"), "label", "n")
 
 
-def filter_encode_labels(df: DataFrame, vocab: DataFrame, col: str = "names", key: str = "record_id") -> DataFrame:
+def filter_encode_labels(df: DataFrame, vocab: DataFrame, col: str = "names", most: int = LOOKUP_ROWS) -> DataFrame:
     """Add filtered (labels of the vocabulary) and encoded (their indexes); order and repeats kept, may be empty."""
     kept = vocab.select("label", F.col("label").alias("filtered"), F.col("label_idx").alias("encoded"))
-    out = replaced(df, key, col, kept, "label", ["filtered", "encoded"])
+    out = replaced(df, col, kept, "label", ["filtered", "encoded"], most)
     return out.withColumnsRenamed({"filtereds": "filtered", "encodeds": "encoded"})
 
 

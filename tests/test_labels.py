@@ -1,5 +1,6 @@
 """Codes, labels and joins on hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.functions import scalars as s
@@ -157,3 +158,36 @@ def test_header_codes_are_lists(spark, tmp_path):
         (tmp_path / f"{name}.hea").write_text(text)
     found = {r["record_name"]: r["codes"] for r in tables.read_header_codes(spark, str(tmp_path)).collect()}
     assert found == {"a": ["7", "12", "5"], "b": [], "c": []}
+
+
+def coded(spark):
+    """Records that share a key, lack one, repeat as a whole, have no list, an empty one, null entries."""
+    data = [(7, ["1"]), (7, ["2", "1"]), (None, ["2", "x", "2"]), (None, ["1"]), (8, ["1", None, "2"]), (8, ["1", None, "2"]), (9, None), (10, [])]
+    return spark.createDataFrame(data, "record_id long, codes array<string>").withColumn("names", F.lit("own"))
+
+
+@pytest.mark.parametrize("most", [labels.LOOKUP_ROWS, 1])
+def test_lists_are_mapped_row_by_row(spark, most):
+    """In the row and by the join for a large mapping: the same rows, whatever the keys."""
+    mapping = spark.createDataFrame([("1", "a", 1), ("2", "b", 2), ("3", "c", 3)], "code string, name string, pos int")
+    got = labels.map_codes(coded(spark), mapping, "first", most=most)
+    assert got.columns == ["record_id", "codes", "names"]
+    want = [(7, ["a"]), (7, ["b", "a"]), (None, ["b", "b"]), (None, ["a"]), (8, ["a", "b"]), (8, ["a", "b"]), (9, []), (10, [])]
+    assert rows(got.select("record_id", "names")) == sorted(want, key=repr)
+    flagged = spark.createDataFrame([("1", 1.0, "x"), ("1", 1.0, "w"), ("2", 0.0, None), ("3", None, "z")], "code string, form double, level string")
+    kept = [(7, ["1"]), (7, ["1"]), (None, []), (None, ["1"]), (8, ["1"]), (8, ["1"]), (9, []), (10, [])]
+    assert rows(labels.code_subsets(coded(spark), flagged, "form", most=most).select("record_id", "codes")) == sorted(kept, key=repr)
+    assert rows(labels.class_rollup(coded(spark), flagged, "level", most=most).filter("record_id = 7").select("names")) == [(["w"],)] * 2
+    vocab = spark.createDataFrame([("2", 0, 5), ("1", 1, 9)], "label string, label_idx int, n long")
+    encoded = labels.filter_encode_labels(coded(spark), vocab, "codes", most=most)
+    assert rows(encoded.filter("record_id = 8").select("filtered", "encoded")) == [(["1", "2"], [1, 0])] * 2
+    assert labels.map_codes(coded(spark).limit(0), mapping, "last", most=most).count() == 0
+
+
+def test_a_small_mapping_moves_no_rows(spark):
+    """The plan has no exchange, explode or join."""
+    mapping = spark.createDataFrame([("1", "a", 1)], "code string, name string, pos int")
+    plan = labels.map_codes(coded(spark), mapping, "first")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Generate", "Join")) and "ArrowEvalPython" in plan
+    plan = labels.map_codes(coded(spark), mapping.unionByName(mapping.withColumn("code", F.lit("2"))), "first", most=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Generate" in plan
