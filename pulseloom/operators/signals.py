@@ -1,16 +1,21 @@
-"""Waveforms: rows (record_id, seg_idx, fs, signal) with signal as leads by samples."""
+"""Waveforms: rows (record_id, seg_idx, fs, signal) with signal as leads by samples.
+
+What changes samples works on ``Signals``, the contiguous samples of an Arrow batch: no sample becomes a Python object, and a chain
+such as ``prepare_windows`` is one pass over the batch. Leads of a record may differ in length. A null signal or lead stays null, an
+empty lead empty, a null sample is not a number.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import seeded
+from .waves import RATE, Signals, at_rate, linear
 
 #: Leads 0, 1 and 6 to 11 of twelve.
 EIGHT = (0, 1, 6, 7, 8, 9, 10, 11)
@@ -35,102 +40,41 @@ def to_lead_major(df: DataFrame, layout: str, col: str = "signal") -> DataFrame:
     return df.withColumn(col, F.when((F.size(col) > 0) & (F.size(F.get(col, F.lit(0))) > 0), turned).otherwise(F.col(col)))
 
 
-def resampled_length(n: Column, fs: Column, target_fs: float) -> Column:
-    """n * target / fs, halves to even."""
-    return F.rint(n * F.lit(float(target_fs)) / fs).cast("int")
-
-
-def fourier(x: np.ndarray, m: int) -> np.ndarray:
-    """Rows of x at m samples by the Fourier method: spectra are cut or padded; the middle bin of an even length is
-    doubled when shrinking and halved when growing."""
-    n = x.shape[-1]
-    if m == n or n == 0:
-        return x
-    if m == 0:
-        return x[..., :0]
-    spectrum = np.fft.rfft(x, axis=-1)
-    few = min(n, m)
-    out = np.zeros((*x.shape[:-1], m // 2 + 1), complex)
-    out[..., : few // 2 + 1] = spectrum[..., : few // 2 + 1]
-    if few % 2 == 0:
-        out[..., few // 2] *= 2 if m < n else 0.5
-    return np.fft.irfft(out, m, axis=-1) * (m / n)
-
-
-def linear(x: np.ndarray, m: int) -> np.ndarray:
-    """Rows of x at m samples by linear interpolation between half-pixel centres."""
-    n = x.shape[-1]
-    place = np.maximum(0, (np.arange(m) + 0.5) * n / m - 0.5)
-    left = np.minimum(place.astype(int), n - 1)
-    w = place - left
-    return x[..., left] * (1 - w) + x[..., np.minimum(left + 1, n - 1)] * w
-
-
-#: The rate of a record that names none.
-RATE = 500
-
-
-def _per_lead(df: DataFrame, change) -> DataFrame:
-    """Apply ``change(leads, fs)`` to the leads in Arrow batches, those of one length and rate at once.
-
-    Leads of a record may differ in length. A null signal or lead stays null, an empty lead empty, a null sample is not
-    a number, and a missing rate is ``RATE``.
-    """
+def _per_batch(df: DataFrame, change: Callable[[Signals, pa.RecordBatch], tuple[Signals, np.ndarray | None]], more: dict[str, str] | None = None) -> DataFrame:
+    """``change`` over the signals of each Arrow batch. It gives the new signals and, where rows multiply, the row that each comes from;
+    then a further column ``more`` counts the rows from the same one."""
     names, types = df.columns, dict(df.dtypes)
+    added = list(more or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            signals = b["signal"].cast(pa.list_(pa.list_(pa.float64())))
-            many = np.asarray(pc.fill_null(signals.value_lengths(), 0), np.int64)
-            leads = signals.flatten()
-            size = np.asarray(pc.fill_null(leads.value_lengths(), 0), np.int64)
-            x = np.asarray(pc.fill_null(leads.flatten(), np.nan), np.float64)
-            rate = np.repeat(np.asarray(pc.fill_null(b["fs"].cast(pa.float64()), float(RATE))), many)
-            begin = np.cumsum(size) - size
-            kinds, at = np.unique(np.stack([size, rate]), axis=1, return_inverse=True)
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            new = size.copy()
-            for k, (n, fs) in enumerate(kinds.T):
-                own = np.flatnonzero(at.ravel() == k)
-                if n:
-                    out.append((own, np.asarray(change(x[begin[own][:, None] + np.arange(int(n))], fs), float)))
-                    new[own] = out[-1][1].shape[1]
-            begin = np.cumsum(new) - new
-            flat = np.zeros(int(new.sum()))
-            for own, y in out:
-                flat[(begin[own][:, None] + np.arange(y.shape[1])).ravel()] = y.ravel()
-            nothing = lambda a: pa.array(np.asarray(a.is_null()))
-            inner = pa.ListArray.from_arrays(pa.array(np.append(begin, new.sum()).astype(np.int32)), pa.array(flat), mask=nothing(leads))
-            outer = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), inner, mask=nothing(signals))
-            yield pa.RecordBatch.from_arrays([outer if c == "signal" else b[c] for c in names], names=names)
-
-    kinds = ", ".join(f"`{c}` {'array<array<double>>' if c == 'signal' else types[c]}" for c in names)
-    return df.mapInArrow(run, kinds)
+            signals, source = change(Signals.of(b["signal"]), b)
+            if source is not None:
+                b = b.take(pa.array(source))
+            columns = [signals.arrow() if c == "signal" else b[c] for c in names]
+            if added:
+                place = np.arange(len(source)) - np.searchsorted(source, source)
+                columns.append(pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
+    kinds = [f"`{c}` {'array<array<double>>' if c == 'signal' else types[c]}" for c in names]
+    return df.mapInArrow(run, ", ".join([*kinds, *(f"`{c}` {t}" for c, t in (more or {}).items())]))
 
-def fourier_resample(df: DataFrame, target_fs: int) -> DataFrame:
-    """Every lead at ``target_fs`` by the Fourier method; rows already at it are unchanged."""
-    def change(x: np.ndarray, fs: float) -> np.ndarray:
-        return x if fs == target_fs else fourier(x, round(x.shape[-1] * target_fs / fs))
 
-    return _per_lead(df, change).withColumn("fs", F.lit(target_fs).cast(dict(df.dtypes)["fs"]))
+def fourier_resample(df: DataFrame, target_fs: int) -> DataFrame:
+    """Every lead at ``target_fs`` by the Fourier method; rows already at it are unchanged. A missing rate is ``RATE``."""
+    resampled = _per_batch(df, lambda signals, b: (at_rate(signals, b["fs"], target_fs), None))
+    return resampled.withColumn("fs", F.lit(target_fs).cast(dict(df.dtypes)["fs"]))
 
 
 def linear_resample(df: DataFrame, m: int) -> DataFrame:
-    """Every lead at ``m`` samples by linear interpolation; a shared numpy helper, because array lambdas are slow on long signals."""
-    return _per_lead(df, lambda x, _: linear(x, m))
-
-
-def _each_lead(df: DataFrame, change, col: str = "signal") -> DataFrame:
-    return df.withColumn(col, F.transform(col, change))
+    """Every lead at ``m`` samples by linear interpolation."""
+    return _per_batch(df, lambda signals, _: (signals.by_length(lambda x, _: linear(x, m)), None))
 
 
 def adjust_length(df: DataFrame, length: int) -> DataFrame:
     """The first ``length`` samples, or zeros at the end."""
-    def change(lead: Column) -> Column:
-        return F.concat(F.slice(lead, 1, length), F.array_repeat(F.lit(0.0), F.greatest(F.lit(length) - F.size(lead), F.lit(0))))
-
-    return _each_lead(df, change)
+    return _per_batch(df, lambda signals, _: (signals.fitted(length), None))
 
 
 def windowed(length: int, chunk: int | None) -> bool:
@@ -141,8 +85,7 @@ def fixed_windows(df: DataFrame, length: int, chunk: int | None) -> DataFrame:
     """length // chunk windows side by side per row, the tail dropped; one whole window unless 0 < chunk < length."""
     if not windowed(length, chunk):
         return df.withColumn("chunk_idx", F.lit(0))
-    rows = df.withColumn("chunk_idx", F.explode(F.sequence(F.lit(0), F.lit(length // chunk - 1))))
-    return _each_lead(rows, lambda lead: F.slice(lead, F.col("chunk_idx") * chunk + 1, F.lit(chunk)))
+    return _per_batch(df, lambda signals, _: signals.windows(chunk, length // chunk), {"chunk_idx": "int"})
 
 
 def random_window(df: DataFrame, length: int, chunk: int | None, epoch: int, seed: int, key: str = "record_id") -> DataFrame:
@@ -151,7 +94,7 @@ def random_window(df: DataFrame, length: int, chunk: int | None, epoch: int, see
         return df.withColumn("offset", F.lit(0))
     digest = seeded(seed, F.concat_ws(":", F.lit(epoch), F.col(key).cast("string")))
     offset = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % (length - chunk + 1)).cast("int")
-    return _each_lead(df.withColumn("offset", offset), lambda lead: F.slice(lead, F.col("offset") + 1, F.lit(chunk)))
+    return _per_batch(df.withColumn("offset", offset), lambda signals, b: (signals.cut(np.asarray(b["offset"], np.int64), chunk), None))
 
 
 def chunk_length(models: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -165,14 +108,12 @@ def zscore(df: DataFrame, mean: list[float] | None, std: list[float] | None) ->
     """(x - mean) / (std + 1e-8) per lead, if both are given; one number per lead."""
     if mean is None or std is None:
         return df
-    m, s = F.array(*[F.lit(float(x)) for x in mean]), F.array(*[F.lit(float(x)) for x in std])
-    scaled = F.transform("signal", lambda lead, i: F.transform(lead, lambda x: (x - F.get(m, i)) / (F.get(s, i) + 1e-8)))
-    return df.withColumn("signal", scaled)
+    return _per_batch(df, lambda signals, _: (signals.scaled(mean, std), None))
 
 
 def fill_nan(df: DataFrame) -> DataFrame:
     """NaN and null samples to 0."""
-    return _each_lead(df, lambda lead: F.transform(lead, lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))))
+    return _per_batch(df, lambda signals, _: (signals.cleaned(), None))
 
 
 def select_leads(df: DataFrame, idx: tuple[int, ...] = EIGHT, full: int = 12) -> DataFrame:
@@ -181,37 +122,80 @@ def select_leads(df: DataFrame, idx: tuple[int, ...] = EIGHT, full: int = 12) ->
     return df.withColumn("signal", F.when(F.size("signal") == full, chosen).otherwise(F.col("signal")))
 
 
+def first_keys(df: DataFrame, limit: int, order: tuple[str, ...]) -> DataFrame:
+    """_k0, _k1, ...: the order columns of the first rows, and no other column is read."""
+    named = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)])
+    return named.orderBy(*named.columns).limit(limit)
+
+
 def lead_stats(df: DataFrame, limit: int = 5000, order: tuple[str, ...] = ("record_id",)) -> DataFrame:
     """lead, mean, std over the first ``limit`` rows in order: the mean of the rows' means, and the root of the mean of their mean squares less its square.
 
-    The limit is the statistic's definition. The first rows are found by their keys (ties by a hash of the signal) and
-    only sums leave their tasks, no signals. A negative variance is null.
+    The limit is the statistic's definition. A first scan reads the order columns alone and finds the last key of the first
+    rows. The wide scan keeps rows up to that key, a condition of literals that reaches the files. Where more rows have the last
+    key than belong to the first, those of the least hashes of the signal count; rows of one hash are alike, so they count
+    by their share. Only sums leave their tasks, no signals. A negative variance is null.
     """
-    keys = [f"_k{i}" for i in range(len(order))] + ["_hash"]
-    named = df.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], F.xxhash64("signal").alias("_hash"), "signal")
-    first = named.select(*keys).orderBy(*keys).limit(limit).distinct()
-    same = [named[k].eqNullSafe(F.col(f"{k}_")) for k in keys]
-    leads = named.join(first.withColumnsRenamed({k: f"{k}_" for k in keys}), same, "left_semi")
-    leads = fill_nan(leads).select(F.posexplode("signal").alias("lead", "x"))
-    n = F.nullif(F.size("x"), F.lit(0))
-    total = lambda f: F.aggregate("x", F.lit(0.0), lambda a, v: a + f(v)) / n
-    stats = leads.select("lead", total(lambda v: v).alias("m"), total(lambda v: v * v).alias("q")).groupBy("lead").agg(F.avg("m").alias("mean"), F.avg("q").alias("q"))
+    sums = lambda rows: rows.select("signal").mapInArrow(_lead_sums, "lead int, n double, m double, q double")
+    first = first_keys(df, limit, order).collect()
+    smaller, same = F.lit(False), F.lit(bool(first))
+    for c, v in zip(order, first[-1] if first else ()):
+        smaller = smaller | (same & (F.lit(False) if v is None else F.col(c).isNull() | (F.col(c) < F.lit(v))))  # nulls come first
+        same = same & (F.col(c).isNull() if v is None else F.col(c) == F.lit(v))
+    need = sum(r == first[-1] for r in first)
+    if first and df.filter(same).select(*order).count() > need:
+        hashed = df.filter(same).withColumn("_hash", F.xxhash64("signal"))
+        least = [r[0] for r in hashed.select("_hash").orderBy("_hash").limit(need).collect()]
+        alike = hashed.filter(F.col("_hash") == least[-1])
+        share = least.count(least[-1]) / alike.select("_hash").count()
+        found = sums(df.filter(smaller)).unionByName(sums(hashed.filter(F.col("_hash") < least[-1])))
+        found = found.unionByName(sums(alike).select("lead", *[(F.col(c) * share).alias(c) for c in ("n", "m", "q")]))
+    else:
+        found = sums(df.filter(smaller | same))
+    stats = found.groupBy("lead").agg((F.sum("m") / F.sum("n")).alias("mean"), (F.sum("q") / F.sum("n")).alias("q"))
     variance = F.col("q") - F.col("mean") * F.col("mean")
     return stats.select("lead", "mean", F.when(variance >= 0, F.sqrt(variance)).alias("std"))
 
 
+def _lead_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each lead: the rows that have samples of it, and the sums of their means and mean squares, of all batches of a task."""
+    total = np.zeros((3, 0))
+    for b in batches:
+        signals = Signals.of(b["signal"]).cleaned()
+        full = signals.size > 0
+        lead, size = signals.lead[full], signals.size[full]
+        if not len(lead):
+            continue
+        if lead.max() >= total.shape[1]:
+            total = np.pad(total, ((0, 0), (0, int(lead.max()) + 1 - total.shape[1])))
+        begin = signals.begin[full]
+        for row, x in enumerate((np.ones(len(lead)), np.add.reduceat(signals.x, begin) / size, np.add.reduceat(signals.x**2, begin) / size)):
+            total[row] += np.bincount(lead, weights=x, minlength=total.shape[1])
+    at = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at]), pa.array(total[2, at])], names=["lead", "n", "m", "q"])
+
+
 def prepare_windows(
-    records: DataFrame, waves: DataFrame, labels: DataFrame, *, target_fs: int, length: int, chunk: int | None = None, mean: list[float] | None = None, std: list[float] | None = None, fold_col: str | None = None, folds: list[int] | None = None
+    records: DataFrame, waves: DataFrame, labels: DataFrame, *, target_fs: int, length: int, chunk: int | None = None, mean: list[float] | None = None, std: list[float] | None = None, fold_col: str | None = None, folds: list[int] | None = None, n_labels: int | None = None
 ) -> DataFrame:
     """One row per window: record_id, seg_idx, chunk_idx, signal, labels.
 
     Records and labels meet first and without waveforms, after the fold filter; waveforms then join the narrow result,
-    which Spark broadcasts where it is small, and are resampled, fitted to length, cut, scaled and cleaned in their tasks.
+    which Spark broadcasts where it is small. In their tasks, in one pass over each batch, they are resampled, fitted to length,
+    cut, scaled, and last cleaned: what is not a number stays so until then, as scaling would move a zero. A record without
+    labels gets ``n_labels`` zeros (by default as many as the longest list of labels has).
     """
     if fold_col is not None and folds is not None:
         records = records.filter(F.col(fold_col).isin(*folds))
-    chosen = records.join(labels.select("record_id", "labels"), "record_id", "left").select("record_id", "labels")
+    if n_labels is None:
+        n_labels = labels.agg(F.max(F.size("labels"))).first()[0] or 0
+    chosen = records.join(labels.select("record_id", "labels"), "record_id", "left")
+    chosen = chosen.select("record_id", F.coalesce("labels", F.array_repeat(F.lit(0.0), n_labels).cast(labels.schema["labels"].dataType)).alias("labels"))
     rows = waves.join(chosen, "record_id").select("record_id", "seg_idx", "fs", "signal", "labels")
-    rows = adjust_length(fourier_resample(fill_nan(rows), target_fs), length)
-    rows = fill_nan(zscore(fixed_windows(rows, length, chunk), mean, std))
-    return rows.select("record_id", "seg_idx", "chunk_idx", "signal", "labels")
+
+    def change(signals: Signals, b: pa.RecordBatch) -> tuple[Signals, np.ndarray]:
+        signals = at_rate(signals, b["fs"], target_fs).fitted(length)
+        signals, source = signals.windows(chunk, length // chunk) if windowed(length, chunk) else (signals, np.arange(b.num_rows))
+        return (signals.scaled(mean, std) if mean is not None and std is not None else signals).cleaned(), source
+
+    return _per_batch(rows, change, {"chunk_idx": "int"}).select("record_id", "seg_idx", "chunk_idx", "signal", "labels")

@@ -254,12 +254,14 @@ def lead_stats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(signals.lead_stats(waves(spark, d)), "mean", "std")
 
 
-@query(f"""WITH {WAVES}, r AS (SELECT record_id, signal, label FROM waves JOIN embeddings ON vec_id = record_id WHERE record_id % 10 IN (1, 2)),
-  y AS (SELECT record_id, c::INTEGER AS chunk_idx, label, list_transform(range(1, 5), lambda k: list_transform(list_concat(signal[k], [0.0, 0.0, 0.0, 0.0])[c * 10 + 1 : c * 10 + 10], lambda v: (v - 0.1::DOUBLE) / (0.5::DOUBLE + 1e-8))) AS signal FROM r, range(0, 2) t(c)) """ + digest_sql("y", "record_id", "chunk_idx", "label"))
+@query(f"""WITH {WAVES}, r AS (SELECT record_id, signal, CASE WHEN record_id % 3 <> 0 THEN label ELSE 0 END AS label FROM waves JOIN embeddings ON vec_id = record_id WHERE record_id % 10 IN (1, 2)),
+  y AS (SELECT record_id, c::INTEGER AS chunk_idx, label, list_transform(range(1, 5), lambda k: list_transform(list_concat(signal[k], [0.0, 0.0, 0.0, 0.0])[c * 10 + 1 : c * 10 + 10],
+    lambda v: CASE WHEN v < -1 THEN 0 ELSE (v - 0.1::DOUBLE) / (0.5::DOUBLE + 1e-8) END)) AS signal FROM r, range(0, 2) t(c)) """ + digest_sql("y", "record_id", "chunk_idx", "label"))
 def prepare_windows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), "label", (F.col("vec_id") % 10).alias("fold"))
-    target = rows.select("record_id", F.array(F.col("label").cast("double")).alias("labels"))
-    out = signals.prepare_windows(rows.select("record_id", "fold"), waves(spark, d), target, target_fs=16, length=20, chunk=10, mean=[0.1] * 4, std=[0.5] * 4, fold_col="fold", folds=[1, 2])
+    target = rows.filter("record_id % 3 <> 0").select("record_id", F.array(F.col("label").cast("double")).alias("labels"))  # a third is unlabelled
+    holes = waves(spark, d).withColumn("signal", F.transform("signal", lambda x: F.transform(x, lambda v: F.when(v < -1, float("nan")).otherwise(v))))
+    out = signals.prepare_windows(rows.select("record_id", "fold"), holes, target, target_fs=16, length=20, chunk=10, mean=[0.1] * 4, std=[0.5] * 4, fold_col="fold", folds=[1, 2])
     return digest(out.withColumn("label", F.col("labels")[0].cast("int")), "record_id", "chunk_idx", "label")
 
 

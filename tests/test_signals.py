@@ -6,16 +6,17 @@ import numpy as np
 import pytest
 
 from pulseloom.operators import features, metrics, signals
+from pulseloom.operators.waves import Signals, fourier, linear
 
 
 @pytest.mark.parametrize(("n", "m"), [(4096, 5120), (2000, 5000), (10000, 5000), (257, 500), (500, 257)])
 def test_fourier_keeps_sines(n, m):
     wave = lambda k: np.sin(2 * math.pi * 5 * np.arange(k) / k + 0.3)
-    assert np.allclose(signals.fourier(wave(n)[None], m)[0], wave(m), atol=1e-9)
+    assert np.allclose(fourier(wave(n)[None], m)[0], wave(m), atol=1e-9)
 
 
 def test_linear_ends():
-    assert np.allclose(signals.linear(np.array([[0.0, 1.0]]), 4), [[0, 0.25, 0.75, 1]])
+    assert np.allclose(linear(np.array([[0.0, 1.0]]), 4), [[0, 0.25, 0.75, 1]])
 
 
 def waves(spark, *leads):
@@ -45,6 +46,58 @@ def test_prepare_windows(spark):
     assert out.count() == 4 and len(out.first()["signal"][0]) == 5
 
 
+def prepared(x, fs, target, length, chunk, mean, std):
+    """The chain on one record by hand: rate, length, window, scale, and what is not a number to 0 at the end."""
+    x = np.array([[np.nan if v is None else v for v in lead] for lead in x], float)
+    if fs != target:
+        x = fourier(x, round(x.shape[1] * target / fs))
+    x = np.pad(x[:, :length], ((0, 0), (0, max(0, length - x.shape[1]))))
+    cuts = [x[:, i * chunk : (i + 1) * chunk] for i in range(length // chunk)] if chunk else [x]
+    return [np.nan_to_num((c - np.array(mean)[:, None]) / (np.array(std)[:, None] + 1e-8)) for c in cuts]
+
+
+@pytest.mark.parametrize(("target", "chunk"), [(10, None), (10, 4), (5, 2), (20, 5)])
+def test_not_a_number_is_zero_after_scaling_and_unlabelled_records_have_zeros(spark, target, chunk):
+    nan = float("nan")
+    data = [(1, 0, 10, [[nan, 1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0]]), (2, 0, 10, [[1.0, None, 5.0] * 7, [2.0] * 21]), (3, 0, None, [[1.0] * 400, [nan] * 400]), (2, 1, 5, [[3.0, 4.0], [5.0, 6.0]])]
+    df = spark.createDataFrame(data, "record_id long, seg_idx int, fs int, signal array<array<float>>")
+    labels = spark.createDataFrame([(1, [1.0, 0.0]), (9, [1.0, 1.0])], "record_id long, labels array<double>")
+    records = spark.createDataFrame([(1,), (2,), (3,)], "record_id long")
+    out = signals.prepare_windows(records, df, labels, target_fs=target, length=8, chunk=chunk, mean=[1.0, 2.0], std=[1.0, 0.5])
+    got = {(r["record_id"], r["seg_idx"], r["chunk_idx"]): r for r in out.collect()}
+    n = 8 // chunk if chunk else 1
+    assert len(got) == 4 * n
+    for record, seg, fs, x in data:
+        for k, want in enumerate(prepared(x, fs or 500, target, 8, chunk, [1, 2], [1, 0.5])):
+            r = got[record, seg, k]
+            assert np.allclose(r["signal"], want, atol=1e-6) and r["labels"] == ([1.0, 0.0] if record == 1 else [0.0, 0.0])
+    if target == 10:
+        assert got[1, 0, 0]["signal"][0][0] == 0.0  # not (0 - mean) / std
+
+
+def test_the_chain_is_one_python_stage(spark):
+    labels = spark.createDataFrame([(1, [1.0])], "record_id long, labels array<double>")
+    records = spark.createDataFrame([(1, 0)], "record_id long, fold int")
+    out = signals.prepare_windows(records, waves(spark, range(10)), labels, target_fs=20, length=20, chunk=5, mean=[0.0], std=[1.0], n_labels=1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "lambda" not in plan and "Generate" not in plan
+
+
+def test_signals_round_trip(spark):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.list_(pa.float64()))
+    data = pa.array([[[1.0, 2.0], [3.0]], None, [], [None, [4.0]], [[], [5.0, 6.0, 7.0]]], kind)
+    for column, want in ((data, data.to_pylist()), (data[2:], data[2:].to_pylist()), (data[:0], [])):
+        assert Signals.of(column).arrow().to_pylist() == want
+    s = Signals.of(data)
+    assert s.take(np.array([4, 0, 4])).arrow().to_pylist() == [data.to_pylist()[i] for i in (4, 0, 4)]
+    windows, source = s.windows(2, 2)
+    assert source.tolist() == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4] and windows.arrow().to_pylist()[8:] == [[[], [5.0, 6.0]], [[], [7.0]]]
+    assert s.fitted(2).arrow().to_pylist() == [[[1.0, 2.0], [3.0, 0.0]], None, [], [None, [4.0, 0.0]], [[0.0, 0.0], [5.0, 6.0]]]
+    assert s.cut(np.array([1, 0, 0, 0, 2]), 2).arrow().to_pylist() == [[[2.0], []], None, [], [None, [4.0]], [[], [7.0]]]
+
+
 def preds(spark, rows):
     return spark.createDataFrame(rows, "ecg_id long, class_idx int, target int, score double")
 
@@ -115,9 +168,9 @@ def test_odd_signals(spark):
     got = {r["record_id"]: r["signal"] for r in signals.fourier_resample(df, 10).collect()}
     assert [len(x) for x in got[1]] == [10, 20, 0] and got[3] is None and got[5] == [] and got[6] == [[]]
     assert got[2] == [[]] and got[4][0] is None and len(got[4][1]) == 10  # 20 samples at 500 Hz are none at 10 Hz
-    assert np.allclose(got[1][0], signals.fourier(np.array([up]), 10)[0])
+    assert np.allclose(got[1][0], fourier(np.array([up]), 10)[0])
     line = {r["record_id"]: r["signal"] for r in signals.linear_resample(df, 8).collect()}
-    assert np.allclose(line[1][1], signals.linear(np.array([down]), 8)[0]) and line[1][2] == []
+    assert np.allclose(line[1][1], linear(np.array([down]), 8)[0]) and line[1][2] == []
     deep = spark.createDataFrame([(1, [[[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]])], "record_id int, signal array<array<array<double>>>")
     assert signals.to_lead_major(deep, "samples").first()["signal"] == [[1.0, 3.0, 5.0], [2.0, 4.0, 6.0]]
     assert signals.to_lead_major(deep, "leads").first()["signal"] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
@@ -128,3 +181,24 @@ def test_lead_stats_takes_the_first_rows(spark):
     r = signals.lead_stats(df, limit=10).first()
     x = np.array([[i, i + 1] for i in range(10)], float)
     assert abs(r["mean"] - x.mean()) < 1e-9 and abs(r["std"] - np.sqrt((x**2).mean() - x.mean() ** 2)) < 1e-9
+
+
+def test_lead_stats_reads_keys_first_and_counts_ties_by_share(spark, tmp_path):
+    random = np.random.default_rng(4)
+    x = random.standard_normal((60, 2, 5))
+    data = [(None if i < 3 else i // 10, x[i].tolist()) for i in range(60)] + [(5, x[59].tolist())] * 20
+    spark.createDataFrame(data, "record_id int, signal array<array<double>>").write.parquet(str(tmp_path / "w"))
+    df = spark.read.parquet(str(tmp_path / "w"))
+    scan = signals.first_keys(df, 10, ("record_id",))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<record_id:int>" in scan and "signal" not in scan
+    for limit, rows in ((3, x[:3]), (10, x[:10]), (60 + 20, [*x, *[x[59]] * 20]), (1000, [*x, *[x[59]] * 20])):
+        got = {r["lead"]: r for r in signals.lead_stats(df, limit).collect()}
+        for lead in (0, 1):
+            own = np.array([r[lead] for r in rows])
+            assert abs(got[lead]["mean"] - own.mean()) < 1e-9 and abs(got[lead]["std"] - np.sqrt((own**2).mean() - own.mean() ** 2)) < 1e-9
+    same = spark.createDataFrame([(1, x[0].tolist())] * 30 + [(1, x[1].tolist())] * 30, "record_id int, signal array<array<double>>")
+    for limit in (1, 31, 45):
+        hashes = sorted((r[0], np.array(r[1])) for r in same.selectExpr("xxhash64(signal)", "signal").collect()[::30])
+        own = np.array([hashes[0][1][0]] * min(30, limit) + [hashes[1][1][0]] * max(0, limit - 30))
+        assert abs(signals.lead_stats(same, limit).filter("lead = 0").first()["mean"] - own.mean()) < 1e-9
+    assert signals.lead_stats(df.limit(0)).count() == 0
