@@ -6,7 +6,7 @@ and rank, about one on each unit cell of each shingle; those under the shingle's
 probability of their weighted Jaccard similarity, sum min / sum max. Darts are thrown up to a rank at which about
 K (ln K + 3) have fallen on the whole text, whatever its length, and further where a coordinate is still empty.
 
-Texts that share all values of a band are candidates. Equal texts are collapsed before. Inside a bucket nobody is paired
+Texts that share all values of a band are candidates. Texts of equal words, by a cryptographic digest of 128 bits, are collapsed before. Inside a bucket nobody is paired
 with everybody: members are compared with the bucket's leaders, the one that meets most other texts and the least id,
 which joins nearly all that belongs together. What is left is taken by classes, not by members:
 
@@ -29,6 +29,7 @@ Repeated rows fall into one class.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import keep
 from .components import connected
-from .text import Prefix, data_of, mix, parts, words_of
+from .text import data_of, mix, parts, word_hashes, words_of
 
 WIDE = 5
 K = 128
@@ -57,24 +58,41 @@ _AT_MOST = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 16)]))
 _U = np.uint64
 
 
-def shingles(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text and hash of every shingle occurrence, and two hashes of each text's words in order."""
+def shingles(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every shingle occurrence."""
     start, end, at = words_of(data, places)
-    word = mix(Prefix(data).hash(start, end) + (end - start).astype(_U))
+    word = word_hashes(data, start, end)
     many = np.diff(at)
     doc = np.repeat(np.arange(len(many)), many)
-    nth = (np.arange(len(word)) - np.repeat(at[:-1], many)).astype(_U)
-    sums = np.zeros((2, len(word) + 1), _U)
-    np.cumsum(mix(word + nth * _U(0xD1B54A32D192ED03)), out=sums[0, 1:])
-    np.cumsum(mix(word ^ mix(nth + _U(77))), out=sums[1, 1:])
-    content = mix(sums[:, at[1:]] - sums[:, at[:-1]] + many.astype(_U))
+    nth = np.arange(len(word)) - np.repeat(at[:-1], many)
     n = max(0, len(word) - WIDE + 1)
     value = np.zeros(n, _U)
     for j in range(WIDE):
-        value = value * _U(0x9FB21C651E98DF25) + word[j : j + n]
-    inside = nth[:n].astype(np.int64) + WIDE <= many[doc[:n]]
+        value = mix(value + word[j : j + n])
+    inside = nth[:n] + WIDE <= many[doc[:n]]
     short = np.flatnonzero((many > 0) & (many < WIDE))
-    return np.concatenate([doc[:n][inside], short]), np.concatenate([mix(value[inside]), content[0][short]]), content[0], content[1]
+    brief = np.zeros(len(short), _U)
+    for j in range(WIDE - 1):
+        more = many[short] > j
+        brief[more] = mix(brief[more] + word[at[short[more]] + j] + _U(j + 1))
+    return np.concatenate([doc[:n][inside], short]), np.concatenate([value[inside], brief])
+
+
+def contents(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Two numbers for each text, from a cryptographic digest of its words in order: equal only for equal words."""
+    start, end, at = words_of(data, places)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start] = 1
+    inside[end] -= 1
+    flat = memoryview(data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)])
+    size = np.ascontiguousarray(end - start)
+    byte, word, sizes = np.append(0, np.cumsum(size))[at].tolist(), (8 * at).tolist(), memoryview(size.view(np.uint8))
+    out = bytearray()
+    for i in range(len(places) - 1):
+        digest = hashlib.blake2b(flat[byte[i] : byte[i + 1]], digest_size=16)
+        digest.update(sizes[word[i] : word[i + 1]])
+        out += digest.digest()
+    return np.frombuffer(bytes(out), np.int64).reshape(-1, 2)
 
 
 def weighted(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +146,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
-    """doc, c1, c2 (hashes of the words in order), bands (empty without words)."""
+    """doc, c1, c2 (a digest of the words in order), bands (empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,14 +154,15 @@ def signed_documents(docs: DataFrame) -> DataFrame:
                 for a in range(a0, b0, 2**DOC_BITS):
                     b = min(b0, a + 2**DOC_BITS)
                     data, places = data_of(batch["text"].slice(a, b - a))
-                    doc, value, c1, c2 = shingles(data, places)
+                    doc, value = shingles(data, places)
+                    content = contents(data, places)
                     doc, value, count = weighted(doc, value)
                     keys = band_keys(dart_signatures(doc, value, count.astype(float), b - a))
                     some = np.bincount(doc, minlength=b - a) > 0
                     offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                     bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
                     yield pa.RecordBatch.from_arrays(
-                        [batch["doc"].slice(a, b - a), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), bands], names=["doc", "c1", "c2", "bands"]
+                        [batch["doc"].slice(a, b - a), pa.array(content[:, 0]), pa.array(content[:, 1]), bands], names=["doc", "c1", "c2", "bands"]
                     )
 
     return docs.select("doc", "text").mapInArrow(run, "doc long, c1 long, c2 long, bands array<long>")
@@ -171,7 +190,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, threshold: float, most: int
             for a0, b0 in parts(batch, most=AT_ONCE):
                 for a in range(a0, b0, 2**DOC_BITS):
                     b = min(b0, a + 2**DOC_BITS)
-                    doc, value, _, _ = shingles(*data_of(batch["text"].slice(a, b - a)))
+                    doc, value = shingles(*data_of(batch["text"].slice(a, b - a)))
                     doc, value, count = weighted(doc, value)
                     by = np.argsort(doc, kind="stable")
                     value, count = value[by], count[by]
@@ -204,7 +223,7 @@ def summaries(texts: DataFrame) -> DataFrame:
             for a0, b0 in parts(batch, most=AT_ONCE):
                 for a in range(a0, b0, 2**DOC_BITS):
                     b = min(b0, a + 2**DOC_BITS)
-                    doc, value, _, _ = shingles(*data_of(batch["text"].slice(a, b - a)))
+                    doc, value = shingles(*data_of(batch["text"].slice(a, b - a)))
                     at = doc * BINS + (value & _U(BINS - 1)).astype(np.int64)
                     many = np.bincount(at, minlength=(b - a) * BINS).reshape(-1, BINS)
                     bins = np.minimum(many, 255).astype(np.uint8)

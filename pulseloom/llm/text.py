@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: ASCII white space ends a word.
 SPACE = np.zeros(256, bool)
@@ -83,3 +84,34 @@ def words_of(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarr
     closes[edge - 1] = inside[1:-1][edge - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     return start, end, np.searchsorted(start, places)
+
+
+#: Longer words are hashed one by one.
+_LONG = 64
+_tail = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes after eight bytes through ``mix``.
+
+    No polynomial: those modulo 2^64 give one value to some words of 1024 letters whatever the base.
+    """
+    size = end - start
+    eight = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))  # the eight bytes from each place on
+    out = mix(size.astype(np.uint64) + np.uint64(BASE))
+    left = np.arange(len(size))
+    for k in range(0, _LONG, 8):
+        left = left[(size[left] > k) & (size[left] <= _LONG)]
+        if not len(left):
+            break
+        chunk = eight[start[left] + k] & _tail[np.minimum(size[left] - k, 8)]
+        out[left] = mix((out[left] ^ chunk) * np.uint64(0x9FB21C651E98DF25) + np.uint64(k))
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 (64 bits) of each stretch."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
