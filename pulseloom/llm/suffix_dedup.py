@@ -4,9 +4,9 @@
 
 1. Every window of ``length`` bytes names an anchor: the position in it whose 32-byte hash is least (the leftmost).
    Equal windows name the same anchor at the same offset, so only anchors with equal hashes need to meet: about 3
-   positions in 100 instead of all. A run of windows with one anchor is one record with a hash of all its bytes.
-2. Records meet by the anchor's hash. A record equal to an earlier one as a whole, by two hashes of 64 bits that have
-   nothing in common, is repeated altogether. Where equal anchors have different surroundings, the first record of each
+   positions in 100 instead of all. A run of windows with one anchor is one record with two hashes of all its bytes.
+2. Records meet by the anchor's hash. A record equal to an earlier one as a whole, by two hashes of 64 bits of different
+   kinds (a polynomial and XXH3), is repeated altogether. Where equal anchors have different surroundings, the first record of each
    kind asks for its bytes.
 3. Those records' suffixes from the anchor are sorted by a merge sort whose comparisons take a logarithmic number of
    steps: the common extension of two suffixes is found by binary search over prefix polynomial hashes. At depth d the
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import keep
-from .text import Prefix, data_of, mix, parts
+from .text import Prefix, data_of, hashes, mix, parts
 
 ANCHOR = 32
 #: Kinds of surroundings of one anchor, in a run of documents and in all, beyond which its windows are hashed one by one.
@@ -48,8 +48,6 @@ _LOW = np.uint64((1 << 24) - 1)
 RECORD = np.dtype([("g", "u8"), ("c", "u8"), ("c2", "u8"), ("doc", "i8"), ("th", "i8"), ("p", "i8"), ("high", "u1"), ("low", "u1")])
 #: Bytes of these columns that a block carries.
 WIDTH = {"g": 6, "p": 4}
-#: A second hash of the same bytes is that of the bytes with these bits turned.
-OTHER = np.uint8(0x5A)
 #: Columns that are packed as differences.
 STEPS = ("doc", "th")
 
@@ -82,7 +80,7 @@ def _runs(data: np.ndarray, places: np.ndarray, length: int) -> pd.DataFrame:
     a = anchor[first]
     text = np.searchsorted(places, first, "right") - 1
     shape = mix((((a - first) << 8) | (stop - first)).astype(np.uint64))
-    whole, second = (mix(x.hash(first, stop + length) ^ shape) for x in (prefix, Prefix(data ^ OTHER)))
+    whole, second = mix(prefix.hash(first, stop + length) ^ shape), hashes(data, first, stop + length) ^ shape
     return pd.DataFrame({"text": text, "p": first - places[text], "high": a - first, "low": a - stop, "g": g[a], "c": whole, "c2": second})
 
 
@@ -385,7 +383,7 @@ def contexts(asked: DataFrame, length: int) -> DataFrame:
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
                 at = begin[row] + nth
                 w1 = mix(Prefix(data).hash(at, at + length)).view(np.int64)
-                w2 = mix(Prefix(data ^ OTHER).hash(at, at + length)).view(np.int64)
+                w2 = hashes(data, at, at + length).view(np.int64)
                 doc, th, p = doc[row], th[row], p[row] + nth
                 by, _, again = _repeats([w1, w2], doc, th, p)
                 i, zero = np.sort(by[~again]), np.zeros(len(row), np.int32)
