@@ -2,11 +2,11 @@
 
 The mix is a row of slots, each of which holds one block of ``block`` words of one source. Slot n looks up the
 golden-ratio point frac((n + 1/2) / phi) in the cumulative weights of the sources, so after any number of slots every
-source has had its share to within a few blocks. A source's documents, in the order of the md5 of their ids, form
+source has had its share to within a few blocks. A source's documents, in the order of the md5 of their ids and texts, form
 a stream of words that may be read ``repeats`` times; the r-th slot of a source takes the r-th block of the stream.
 
 Nulls: a null text has 0 words, a null source is a source of its own and sorts last, a null id hashes as empty text.
-Repeated rows are rows. No words at all, or no rows, give targets of 0 and an empty schedule.
+Repeated rows are rows, however many: those of one digest are counted per run of rows of the written table, so they are many tasks' work. No words at all, or no rows, give targets of 0 and an empty schedule.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ FAR_STEP = (2**FAR_BITS * STEP) % 1.0
 
 
 def sized_documents(docs: DataFrame, *rest: str) -> DataFrame:
-    """doc_id, source, size (words), md5 of the id, and further columns."""
+    """doc_id, source, size (words), md5 of the id and the text's md5, row (a number of our own), and further columns."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.select("doc_id", "source", size.alias("size"), digest.alias("digest"), *rest)
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+    return docs.select("doc_id", "source", size.alias("size"), digest.alias("digest"), F.monotonically_increasing_id().alias("row"), *rest)
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -57,12 +57,21 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def block_stream(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every document with its source's numbers and ``start``, its place in the source's stream of words."""
+    """Every document with its source's numbers and ``start``, its place in the source's stream of words.
+
+    The stream is in order of the digest. Rows of one digest are alike, and may be many: they are numbered inside the runs of rows
+    (``row`` has the run in its upper bits) in which the sized table was written, and the runs' totals give the places.
+    """
     rows = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("run", F.shiftright("row", 33))
+    kinds = rows.groupBy("sno", "digest", "run").agg(F.sum("size").alias("words"), F.max("source_rows").alias("source_rows"))
     # about the square root of the source's rows in buckets, each a range of the digest, so that a large source spreads
     buckets = F.ceil(F.sqrt("source_rows"))
-    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") * buckets / 2**32))
-    return running_total(rows, {"start": "size"}, "bucket", ["digest", "doc_id", "size"], ["sno"])
+    kinds = kinds.withColumn("bucket", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") * buckets / 2**32))
+    placed = running_total(kinds, {"first": "words"}, "bucket", ["digest", "run"], ["sno"]).select("sno", "digest", "run", "first")
+    nth = F.row_number().over(Window.partitionBy("sno", "digest", "run").orderBy("row")) - 1
+    rows = rows.withColumn("nth", nth).join(placed, ["sno", "digest", "run"])
+    return rows.withColumn("start", F.col("first") + F.col("nth") * F.col("size")).drop("run", "nth", "first")
 
 
 def reads(stream: DataFrame, repeats: int) -> DataFrame:
@@ -148,8 +157,7 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     and to their slots.
     """
     columns = docs.columns
-    row, whole = F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("rest")
-    numbered = keep(sized_documents(docs.select("doc_id", "source", "text", row, whole), "row", "rest"))
+    numbered = keep(sized_documents(docs.select("doc_id", "source", "text", F.struct(*columns).alias("rest")), "rest"))
     sized = numbered.drop("rest")
     sources = keep(source_targets(sized, weights, share, repeats))
     read = reads(block_stream(sized, sources), repeats).withColumn("rank", F.expr(f"low div {block}"))
