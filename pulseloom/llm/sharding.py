@@ -21,8 +21,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, overhead: int = 8, id_col: st
     shard, slot (place in the shard, from 0).
 
     Only (id, size, crc) move. They are range-partitioned once and written, each partition is a bucket, and bucket
-    totals give the global byte and row offsets; no task sees more than a bucket. Equal rows that fill a bucket
-    share its order columns, so any order of them is the same result.
+    totals give the global byte and row offsets; no task sees more than a bucket. Rows equal in all of these may fill many buckets
+    (a row number cuts them); any order of them is the same result.
     """
     spark = docs.sparkSession
     text = F.encode(F.col(text_col), "UTF-8")
@@ -30,7 +30,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, overhead: int = 8, id_col: st
     narrow = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text), F.lit(0).cast("long")).alias("text_crc32"))
     order = ["doc_id", "size", "text_crc32"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = keep(narrow.repartitionByRange(parts, *order).withColumn("bucket", F.spark_partition_id()))
+    cut = keep(narrow.repartitionByRange(parts, *order, F.monotonically_increasing_id()).withColumn("bucket", F.spark_partition_id()))
     total = cut.agg(F.coalesce(F.sum("size"), F.lit(1)).alias("total"))
     placed = running_total(cut, {"start": "size", "place": F.lit(1).cast("long")}, "bucket", order)
     # the middle of the row in half bytes, times shards, over all half bytes; whole numbers throughout
