@@ -222,13 +222,14 @@ def place_runs(counts: dict[int, int], capacity: int) -> pd.DataFrame:
 def pack_pieces(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """Add sequence_id and offset to pieces of at most ``capacity`` tokens (the columns of ``cut_pieces``).
 
-    The counts by length and the runs are the only things that reach the driver; both are bounded by the capacity.
+    The counts by length and the runs are the only things that reach the driver; both are bounded by the capacity. Pieces alike in
+    everything (empty texts without an id) are dealt out by ``_run``, a number that ``cut`` has besides: the task that wrote them.
     """
     rows = cut.groupBy("length").count().collect()
     runs = place_runs({r["length"]: r["count"] for r in rows}, capacity)
     spark = cut.sparkSession
     many = F.broadcast(spark.createDataFrame([(r["length"], r["count"]) for r in rows], "length long, _many long"))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.ceil(F.sqrt("_many")))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_run"), F.ceil(F.sqrt("_many")))
     ranked = running_total(
         cut.join(many, "length").withColumn("_bucket", bucket), {"_rank": F.lit(1).cast("long")}, "_bucket", ["doc_id", "piece", "ids_crc32"], ["length"]
     ).drop("_bucket", "_many")
@@ -249,4 +250,4 @@ def pack_pieces(cut: DataFrame, capacity: int = 1024) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end: int = 2) -> DataFrame:
     """Tokenize each document once, keep the pieces (not the ids), and pack them."""
-    return pack_pieces(keep(cut_pieces(docs, path, pattern, capacity, end)), capacity)
+    return pack_pieces(keep(cut_pieces(docs, path, pattern, capacity, end).withColumn("_run", F.spark_partition_id())), capacity)
