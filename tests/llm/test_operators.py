@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.llm import ann_tree, brown_lm, exact_topk, minhash, mixing, packing, quality, sharding, suffix_dedup, toxicity
-from pulseloom.llm.text import data_of
+from pulseloom.llm.text import Prefix, data_of, hashes, word_hashes, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in a is that it for on was as with be by this are at from".split()
@@ -155,7 +155,8 @@ def test_mixed_texts_stand_in_the_order_of_the_schedule(spark, docs):
     for r in rows:
         sizes[r["source"]] += words(r["text"])
     slot, target = slots_by_hand(sizes, 64), waterfill(sizes)
-    for r in sorted(rows, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"])):
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for r in sorted(rows, key=lambda r: (md5(f"{r['doc_id']}:{md5(r['text'] or '')}"), r["doc_id"])):
         s = r["source"]
         for low in (at[s], at[s] + sizes[s]):
             if words(r["text"]) and low < math.floor(target[s] + 0.5):
@@ -796,3 +797,66 @@ def test_no_text_is_read_beyond_its_rows(spark, docs, local):
     """Every query gives one row per document."""
     model = toxicity.fit(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
     assert toxicity.score_documents(docs, model).count() == len(local)
+
+
+# ---- hashes and hot keys
+
+
+def twins() -> tuple[str, str]:
+    """Two words of 1024 letters (the Thue-Morse word and its complement) with one value under every polynomial modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_polynomial_value_are_two_classes(spark):
+    a, b = twins()
+    data, places = data_of(pa.array([a, b]))
+    start, end, _ = words_of(data, places)
+    assert len(set(Prefix(data).hash(start, end).tolist())) == 1  # the pair is one
+    assert len(set(word_hashes(data, start, end).tolist())) == 2 == len(set(hashes(data, start, end).tolist()))
+    rows = table(spark, [a, b, f"{a} one two three four five", f"{b} one two three four five", a])
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(rows).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(rows).collect()) == [0, 1, 2, 3]
+    texts = [a + prose(70, 30), b + prose(71, 30)]
+    local = list(enumerate(texts))
+    want = brute_dedup(local, 100)
+    for r in suffix_dedup.suffix_dedup(table(spark, texts), 100, form="digest").collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == want[r["doc_id"], texts[r["doc_id"]]][:3]
+
+
+def test_word_hashes_tell_words_apart():
+    random = np.random.default_rng(12)
+    words = {bytes(random.integers(97, 99, n).astype(np.uint8)).decode() for n in [*range(1, 90)] * 40}
+    data, places = data_of(pa.array([" ".join(sorted(words))]))
+    start, end, _ = words_of(data, places)
+    own = word_hashes(data, start, end)
+    assert len(own) == len(words) == len(set(own.tolist()))
+    data, places = data_of(pa.array(["\n".join(["pad", *sorted(words)])]))  # at other places, with other neighbours
+    start, end, _ = words_of(data, places)
+    assert (word_hashes(data, start, end)[1:] == own).all()
+
+
+def test_contents_are_those_of_the_words():
+    texts = ["a b", "a  b\n", "ab", "a", "", None, "b a", "a b c", " a b"]
+    found = [tuple(x) for x in minhash.contents(*data_of(pa.array(texts))).tolist()]
+    same = {}
+    for t, c in zip(texts, found):
+        same.setdefault(tuple((t or "").split()), set()).add(c)
+    assert all(len(x) == 1 for x in same.values()) and len({c for x in same.values() for c in x}) == len(same)
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_rows_without_an_id_are_many_buckets_of_the_mix(spark, monkeypatch, alike):
+    """A third of the rows without an id, of one text or of many: no window holds more than a small part of them."""
+    seen = []
+    whole = mixing.running_total
+    monkeypatch.setattr(mixing, "running_total", lambda df, v, bucket, order, groups=(): seen.append(df.groupBy(*groups, bucket).count().agg(F.max("count")).first()[0]) or whole(df, v, bucket, order, groups))
+    text = F.lit("one two three") if alike else F.concat(F.lit("word "), F.col("id").cast("string"))
+    rows = spark.range(0, 6000, 1, 20).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("one two")).otherwise(text).alias("text"), F.lit("s").alias("source"))
+    got = mixing.mixed_documents(rows, block=64)
+    taken = got.agg(F.sum("taken").alias("t"), F.count("*").alias("n"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"), F.max("target").alias("target")).first()
+    assert taken["n"] == 6000 and taken["over"] <= 0 and taken["t"] == math.floor(taken["target"] + 0.5)
+    assert seen[0] < 400
+    if alike:
+        kinds = mixing.sized_documents(rows).withColumn("run", F.shiftright("row", 33)).groupBy("digest", "run").count()
+        assert kinds.agg(F.max("count")).first()[0] <= 6000 / 20  # one row to number for each run, and a run's rows in a window
