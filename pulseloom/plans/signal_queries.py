@@ -271,10 +271,10 @@ def prepare_windows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {WAVES}, s AS (SELECT record_id, list_transform(signal, lambda x: list_sum(x) / 16) AS pooled FROM waves)
 SELECT record_id, i::INTEGER AS dim, round(pooled[i + 1], 6) AS value, 4 AS steps FROM s, range(0, 4) r(i)""")
 def encode_windows(spark: SparkSession, d: str) -> DataFrame:
-    def encode(batch):
-        return [(x, x.mean(axis=1)) for x in batch]  # a sequence (4 x 16) to be turned, and a pooled vector of 4
+    def make():
+        return lambda batch: [(x, x.mean(axis=1)) for x in batch]  # sequences (4 x 16), and pooled vectors of 4
 
-    rows = features.encode_windows(waves(spark, d).withColumn("signal", F.transform("signal", lambda x: F.slice(x, 1, 16))), encode, 16, ("record_id",))
+    rows = features.encode_windows(waves(spark, d).withColumn("signal", F.transform("signal", lambda x: F.slice(x, 1, 16))), make, 16, ("record_id",))
     return rows.select("record_id", F.size("seq").alias("steps"), F.posexplode("pooled").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
@@ -303,13 +303,22 @@ def bce_loss(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(features.bce_loss(_scored(spark, d).withColumn("targets", targets)), "loss")
 
 
-@query()
+@query("""WITH x AS (SELECT label, list_concat([1.0::DOUBLE], list_transform(embedding, lambda v: v::DOUBLE)) AS e FROM embeddings WHERE vec_id % 5 <> 0)
+SELECT c::INTEGER AS class_idx, d::INTEGER AS dim, round(avg(CASE WHEN label = c THEN e[d + 1] ELSE 0 END), 4) + 0.0 AS moment, true AS best FROM x, range(0, 3) k(c), range(0, 65) r(d) GROUP BY 1, 2""")
 def linear_probe_fit(spark: SparkSession, d: str) -> DataFrame:
+    """What holds at the optimum and nowhere else: the scores' moments with each feature (dim 0: the bias), plus penalty times weight, are the labels'."""
     targets = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda c: (F.col("label") == c).cast("int"))
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("ecg_id"), F.col("embedding").alias("pooled"), targets.alias("targets"))
-    weights, bias, _ = features.linear_probe_fit(rows.filter("ecg_id % 5 <> 0"), rows.filter("ecg_id % 5 = 0"), 3)
-    scored = features.linear_score(rows, weights, bias)
-    return scored.select("ecg_id", F.posexplode("scores").alias("class_idx", "score"))
+    train, grid = rows.filter("ecg_id % 5 <> 0"), ((0.003, 100), (0.03, 100), (0.3, 100))
+    weights, bias, scores = features.linear_probe_fit(train, rows.filter("ecg_id % 5 = 0"), 3, grid, tolerance=1e-9)
+    order = scores.orderBy(F.desc_nulls_last("auroc_macro"), "candidate").first()
+    own = spark.createDataFrame([(c, i, float(w)) for c in range(3) for i, w in enumerate([0.0, *weights[c]])], "class_idx int, dim int, weight double")
+    scored = features.linear_score(train, weights, bias).select("ecg_id", "pooled", F.posexplode("scores").alias("class_idx", "score"))
+    each = scored.select("class_idx", "score", F.posexplode(F.concat(F.array(F.lit(1.0)), F.transform("pooled", lambda v: v.cast("double")))).alias("dim", "x"))
+    sums = each.groupBy("class_idx", "dim").agg(F.avg(F.col("score") * F.col("x")).alias("m"))
+    moment = F.round(F.col("m") + grid[order["candidate"]][0] * F.col("weight"), 4) + F.lit(0.0)
+    best = scores.agg(F.max("auroc_macro")).first()[0] == order["auroc_macro"]
+    return sums.join(own, ["class_idx", "dim"]).select("class_idx", "dim", moment.alias("moment"), F.lit(best).alias("best"))
 
 
 # ---- results and checks

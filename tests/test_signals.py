@@ -143,8 +143,32 @@ def test_encoder_shapes(spark):
         "pooled": lambda b: [x.mean(axis=1) for x in b],
         "sequence": lambda b: [x.T for x in b],
     }
-    for fn in shapes.values():
-        assert features.encode_windows(df, fn, 2).first()["pooled"] == [2.0, 5.0]
+    for name, fn in shapes.items():
+        got = features.encode_windows(df, lambda fn=fn: fn, 2).first()
+        assert got["pooled"] == [2.0, 5.0] and got["seq"] == (None if name in ("dict", "pooled") else [[1.0, 4.0], [2.0, 5.0], [3.0, 6.0]])
+
+
+def test_an_encoder_is_made_once_in_a_worker_and_gets_tensors(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def encode(x):
+            assert isinstance(x, np.ndarray) and x.ndim == 3 and len(x) <= 7
+            return x.mean(axis=2)
+
+        return encode
+
+    df = spark.createDataFrame([(i, 0, [[float(i)] * 4, [1.0] * 4]) for i in range(100)], "record_id int, chunk_idx int, signal array<array<float>>").repartition(9)
+    for _ in range(2):
+        got = {r["record_id"]: r["pooled"] for r in features.encode_windows(df, make, 2, at_once=7).collect()}
+        assert got == {i: [float(i), 1.0] for i in range(100)}
+    workers = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(workers) <= 2 * len(set(workers)) and len(workers) < 2 * 9  # twice: two broadcasts
 
 
 def test_stable_loss(spark):
@@ -152,6 +176,20 @@ def test_stable_loss(spark):
     assert features.bce_loss(df).first()[0] == pytest.approx(0)
 
 
+def test_linear_score_is_the_product(spark):
+    random = np.random.default_rng(6)
+    x, w, b = random.standard_normal((50, 9)), random.standard_normal((4, 9)) * 3, random.standard_normal(4)
+    odd = [None, [1.0] * 8, [], [float("nan")] + [1.0] * 8, [None] + [1.0] * 8]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*x.tolist(), *odd])], "logit long, pooled array<double>")
+    out = features.linear_score(df, w.tolist(), b.tolist())
+    assert out.columns == ["logit", "pooled", "logits", "scores"]
+    got = {r["logit"]: r for r in out.collect()}
+    want = x @ w.T + b
+    assert all(np.allclose(got[i]["logits"], want[i]) and np.allclose(got[i]["scores"], 1 / (1 + np.exp(-want[i]))) for i in range(50))
+    assert all(got[50 + i]["logits"] == [0.0] * 4 and got[50 + i]["scores"] == [0.5] * 4 for i in range(len(odd)))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_probe_separates(spark):
     rows = [(i, [float(i % 2), float(i % 3)], [i % 2, 0]) for i in range(60)]
     df = spark.createDataFrame(rows, "ecg_id long, pooled array<double>, targets array<int>")
@@ -159,6 +197,34 @@ def test_probe_separates(spark):
     assert scores.first()["auroc_macro"] == pytest.approx(1.0) and bias[1] == -20.0
 
 
+def test_probe_is_at_the_optimum(spark, monkeypatch):
+    """The slope is 0 there, a Newton fit by hand gives the same, and jobs don't grow with labels or candidates."""
+    random = np.random.default_rng(11)
+    x = random.standard_normal((400, 5)) * [1, 10, 0.1, 3, 1] + [0, 5, 0, 0, 0]
+    y = (random.random((400, 3)) < 1 / (1 + np.exp(-(x @ random.standard_normal((5, 3)) * 0.4 - [0, 2, 4])))).astype(int)
+    y[0] = [1, 1, 1]
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "ecg_id long, pooled array<double>, targets array<int>")
+    passes = []
+    whole = features.probe_pass
+    monkeypatch.setattr(features, "probe_pass", lambda *a: passes.append(len(a[1])) or whole(*a))
+    for grid in (((0.0, 200),), ((0.05, 200),), ((0.0, 200), (0.05, 200), (3.0, 200))):
+        passes.clear()
+        weights, bias, scores = features.linear_probe_fit(df, df, 3, grid, tolerance=1e-9)
+        values = [r["auroc_macro"] for r in scores.orderBy("candidate").collect()]
+        reg = grid[int(np.argmax(values))][0]
+        assert passes[0] == 3 * len(grid) and len(passes) < 40
+        for c in range(3):
+            w, one = np.append(weights[c], bias[c]), np.column_stack([x, np.ones(400)])
+            ridge = np.append(np.full(5, reg), 0)
+            p = 1 / (1 + np.exp(-one @ w))
+            assert np.abs(one.T @ (p - y[:, c]) / 400 + ridge * w).max() < 1e-8
+            v = np.zeros(6)
+            for _ in range(50):
+                p = 1 / (1 + np.exp(-one @ v))
+                v -= np.linalg.solve((one * (p * (1 - p))[:, None]).T @ one / 400 + np.diag(ridge) + 1e-12 * np.eye(6), one.T @ (p - y[:, c]) / 400 + ridge * v)
+            assert np.allclose(v, w, atol=1e-5)
+
+
 def test_odd_signals(spark):
     """Leads of unequal length, null leads and samples, no rate, no samples left, one more axis."""
     kinds = "record_id int, seg_idx int, fs int, signal array<array<double>>"
