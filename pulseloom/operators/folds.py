@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import running_total
+from ..functions.shared import keep
+from .dealing import deal, evened, joined
+
+#: Units that one task deals out; the driver gets about three kilobytes for each block (ten folds, forty labels).
+BLOCK = 16_384
 
 
 def seeded(seed: int, col: str | Column) -> Column:
@@ -13,24 +20,52 @@ def seeded(seed: int, col: str | Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(col).cast("string") if isinstance(col, str) else col.cast("string")))
 
 
-def _strata(df: DataFrame, key: str, labels: str) -> DataFrame:
-    """Add stratum: the row's rarest label over all rows (ties: the smallest index), -1 without labels."""
-    entries = df.select(key, F.explode(F.array_distinct(labels)).alias("_label"))
-    counts = entries.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = entries.join(counts, "_label").groupBy(key).agg(F.min(F.struct("_n", "_label"))["_label"].alias("stratum"))
-    return df.join(rarest, key, "left").withColumn("stratum", F.coalesce("stratum", F.lit(-1)).cast("long"))
-
-
-def stratify_records(df: DataFrame, n_folds: int, seed: int = 0, key: str = "record_id", labels: str = "encoded") -> DataFrame:
-    """key, fold: folds of equal size with balanced labels.
-
-    Records lie in order of stratum and md5 and are dealt out in turn, so fold sizes differ by at most one, and so do
-    each stratum's. A stratum is cut by the first byte of the md5, so a large one is many tasks' work.
+def _stratified(units: DataFrame, key: str, n_folds: int, seed: int, block: int) -> DataFrame:
+    """key, fold of units (key, labels with repeats, weight)."""
+    rows = units.select(key, F.coalesce("labels", F.lit([]).cast("array<int>")).alias("labels"), F.col("weight").cast("long").alias("weight"), F.coalesce(seeded(seed, key), F.lit("0" * 32)).alias("_md5"))
+    rows = keep(rows)
+    classes = np.array(sorted(r[0] for r in rows.select(F.explode("labels")).distinct().collect() if r[0] is not None), np.int64)
+    blocks = max(1, -(-rows.count() // block))
+    own = F.floor(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("double") * blocks / 2**32).cast("int")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("_md5", "ascending"), (key, "ascending")]).combine_chunks()
+        lists, weight = t["labels"].combine_chunks(), np.asarray(t["weight"], np.int64)
+        size, flat = np.asarray(lists.value_lengths(), np.int64), lists.flatten()
+        unit = np.repeat(np.arange(len(size)), size)[np.asarray(flat.is_valid())]
+        pair, times = np.unique(unit * max(1, len(classes)) + np.searchsorted(classes, np.asarray(flat.drop_null(), np.int64)), return_counts=True)
+        unit, label = pair // max(1, len(classes)), pair % max(1, len(classes))
+        ends = np.append(0, np.cumsum(np.bincount(unit, minlength=len(size)))).astype(np.int64)
+        part = deal(ends, label, times, weight, n_folds, len(classes))
+        part = evened(part, ends, label, times, weight, n_folds, len(classes))
+        tally = np.zeros((n_folds, len(classes) + 1), np.int64)
+        np.add.at(tally, (part[unit], label), times)
+        tally[:, -1] = np.bincount(part, weights=weight, minlength=n_folds)
+        n = len(size)
+        sums = pa.array([None] * n + [tally.tobytes()], pa.binary())
+        number = pa.array(np.full(n + 1, pc.min(t["_block"]).as_py(), np.int32))
+        keys = pa.concat_arrays([t[key].combine_chunks(), pa.nulls(1, t.schema.field(key).type)])
+        return pa.table([keys, number, pa.array(np.append(part, -1).astype(np.int32)), sums], names=[key, "_block", "_part", "_tally"])
+
+    placed = keep(rows.withColumn("_block", own).groupBy("_block").applyInArrow(run, f"`{key}` {kind}, _block int, _part int, _tally binary"))
+    sums = {r["_block"]: np.frombuffer(r["_tally"], np.int64).reshape(n_folds, -1) for r in placed.filter("_part < 0").select("_block", "_tally").collect()}
+    numbers = sorted(sums)
+    fold = joined(np.array([sums[b] for b in numbers], float).reshape(len(numbers), n_folds, len(classes) + 1)) if numbers else np.zeros((0, n_folds), int)
+    spark = units.sparkSession
+    found = [(b, p, int(fold[i, p])) for i, b in enumerate(numbers) for p in range(n_folds)]
+    names = F.broadcast(spark.createDataFrame(found, "_block int, _part int, fold int"))
+    return placed.filter("_part >= 0").join(names, ["_block", "_part"]).select(key, "fold")
+
+
+def stratify_records(df: DataFrame, n_folds: int, seed: int = 0, key: str = "record_id", labels: str = "encoded", block: int = BLOCK) -> DataFrame:
+    """key, fold: folds of equal size in which every label is spread evenly, by iterative stratification.
+
+    Records are dealt by the md5 of their keys in blocks of about ``block``, each in one task, and the blocks' parts are matched so that
+    fold sizes differ by at most one and what is uneven in the blocks cancels out.
     """
-    rows = _strata(df.select(key, labels), key, labels).withColumn("_md5", seeded(seed, key))
-    bucket = F.col("stratum") * 256 + F.conv(F.substring("_md5", 1, 2), 16, 10).cast("long")
-    rows = running_total(rows.withColumn("_bucket", bucket), {"_place": F.lit(1).cast("long")}, "_bucket", ["_md5", key])
-    return rows.select(key, (F.col("_place") % n_folds).cast("int").alias("fold"))
+    rows = df.select(key, F.array_distinct(labels).alias("labels"), F.lit(1).alias("weight"))
+    return _stratified(rows, key, n_folds, seed, block)
 
 
 def patient_labels(df: DataFrame, key: str = "pid", labels: str = "encoded") -> DataFrame:
@@ -38,18 +73,14 @@ def patient_labels(df: DataFrame, key: str = "pid", labels: str = "encoded") ->
     return df.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(labels))).alias("labels"), F.count(F.lit(1)).alias("n_records"))
 
 
-def stratify_patients(df: DataFrame, n_folds: int, seed: int = 0, key: str = "pid", labels: str = "encoded") -> DataFrame:
-    """key, fold: patients dealt out in a snake by stratum, most records first, so that records stay balanced too.
+def stratify_patients(df: DataFrame, n_folds: int, seed: int = 0, key: str = "pid", labels: str = "encoded", block: int = BLOCK) -> DataFrame:
+    """key, fold: as ``stratify_records`` for patients, who fill a fold by their records and count for a label as often as their records have it.
 
-    Patients of a stratum and number of records are cut by the first byte of the md5, so many of them are many tasks' work.
+    A label counts once a record. All records of a patient share a fold; patients with most records are dealt first.
     """
-    patients = _strata(patient_labels(df, key, labels), key, "labels").withColumn("_md5", seeded(seed, key))
-    byte = F.conv(F.substring("_md5", 1, 2), 16, 10).cast("long")
-    bucket = (F.col("stratum") * 1024 + 1023 - F.least(F.col("n_records"), F.lit(1023))) * 256 + F.when(F.col("n_records") < 1023, byte).otherwise(0)
-    order = [F.desc("n_records"), "_md5", key]
-    rows = running_total(patients.withColumn("_bucket", bucket), {"_place": F.lit(1).cast("long")}, "_bucket", order)
-    turn, lap = F.col("_place") % n_folds, F.floor(F.col("_place") / n_folds)
-    return rows.select(key, F.when(lap % 2 == 0, turn).otherwise(n_folds - 1 - turn).cast("int").alias("fold"))
+    once = df.withColumn(labels, F.array_distinct(labels))
+    patients = patient_labels(once, key, labels)
+    return _stratified(patients.select(key, "labels", F.col("n_records").alias("weight")), key, n_folds, seed, block)
 
 
 def original_folds(records: DataFrame, names: DataFrame, folds: DataFrame, n_folds: int = 10, labels: str = "encoded") -> DataFrame:
@@ -85,10 +116,44 @@ def auto_split(df: DataFrame, fold_col: str = "fold") -> DataFrame:
 
 
 def balanced_sample(df: DataFrame, a: str, b: str, n: int, seed: int, key: str = "filepath") -> DataFrame:
-    """key, flag: as many rows with a and not b (flag 1) as with b and not a (flag 0), at most ``n`` of each, drawn by md5."""
+    """key, flag: as many rows with a and not b (flag 1) as with b and not a (flag 0), at most ``n`` of each, drawn by md5.
+
+    Rows are not ranked: counts by the digests' first digits, then by the next ones of the digits at the cut, find the digest up to which
+    a flag's rows are taken. That is a filter, whatever ``n`` is. Rows without a key take no part; of rows that share the last key
+    as many are taken as are wanted.
+    """
     is_a, is_b = F.coalesce(F.col(a), F.lit(False)), F.coalesce(F.col(b), F.lit(False))
-    rows = df.select(key, F.when(is_a & ~is_b, 1).when(is_b & ~is_a, 0).alias("flag")).filter("flag is not null")
+    rows = df.select(key, F.when(is_a & ~is_b, 1).when(is_b & ~is_a, 0).alias("flag"), seeded(seed, key).alias("_md5")).filter("flag is not null and _md5 is not null")
     sizes = {r["flag"]: r["n"] for r in rows.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).collect()}
     take = min(n, sizes.get(0, 0), sizes.get(1, 0))
-    parts = [rows.filter(F.col("flag") == f).withColumn("_md5", seeded(seed, key)).orderBy("_md5", key).limit(take).drop("_md5") for f in (1, 0)]
-    return parts[0].unionByName(parts[1])
+    if take <= 0:
+        return rows.limit(0).select(key, "flag")
+    # of each flag: the digits so far of the last digest, and how many of the rows that begin so are wanted
+    cut, open_ = {f: ("", take) for f in (0, 1)}, {0, 1}
+    while open_:
+        at = F.lit(False)
+        for f in open_:
+            at = at | ((F.col("flag") == f) & F.col("_md5").startswith(cut[f][0]))
+        size = F.length(F.when(F.col("flag") == 1, F.lit(cut[1][0])).otherwise(F.lit(cut[0][0])))
+        digits = F.substr("_md5", F.lit(1), size + 4)
+        counts = rows.filter(at).groupBy("flag", digits.alias("digits")).agg(F.count(F.lit(1)).alias("n")).orderBy("flag", "digits").collect()
+        for f in sorted(open_):
+            want = cut[f][1]
+            for r in (r for r in counts if r["flag"] == f):
+                if want <= r["n"]:
+                    break
+                want -= r["n"]
+            cut[f] = (r["digits"], want)
+            if want == r["n"] or len(r["digits"]) >= 32:
+                open_.discard(f)
+    below, last, parts = F.lit(False), F.lit(False), []
+    for f, (digits, want) in cut.items():
+        own = F.col("flag") == f
+        below, last = below | (own & (F.col("_md5") < digits)), last | (own & F.col("_md5").startswith(digits))
+        if len(digits) >= 32:  # rows of one key are alike
+            parts.append(rows.filter(own & (F.col("_md5") == digits)).distinct().select(key, "flag", F.explode(F.sequence(F.lit(1), F.lit(want))).alias("_nth")).drop("_nth"))
+            last = last & ~(own & (F.col("_md5") == digits))
+    out = rows.filter(below | last).select(key, "flag")
+    for p in parts:
+        out = out.unionByName(p)
+    return out

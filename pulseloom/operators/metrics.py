@@ -122,8 +122,11 @@ def long_predictions(wide: DataFrame) -> DataFrame:
 
 
 def aggregate_predictions(windows: DataFrame) -> DataFrame:
-    """ecg_id, class_idx, target (of the first window), score (the mean over windows). Repeated windows count once."""
-    once = windows.dropDuplicates(["ecg_id", "class_idx", "window"])
+    """ecg_id, class_idx, target (of the first window), score (the mean over windows). Repeated windows count once.
+
+    Rows move once: what is dealt out by recording and class holds a window's repeats together, too.
+    """
+    once = windows.repartition("ecg_id", "class_idx").dropDuplicates(["ecg_id", "class_idx", "window"])
     return once.groupBy("ecg_id", "class_idx").agg(F.min_by("target", "window").alias("target"), F.avg("score").alias("score"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 
 def best_epoch(df: DataFrame) -> DataFrame:
     """experiment, epoch, val_auroc_macro of the highest validation score, the earliest on ties; an undefined one never wins."""
@@ -28,9 +30,11 @@ def summary_pivot(results: DataFrame, models: list[str]) -> DataFrame:
 
 
 def age_profile(df: DataFrame, col: str = "age") -> DataFrame:
-    """available, total, median, q25, q75 of ages, exact with linear interpolation; missing ages left out."""
-    quantile = lambda p: F.percentile(col, F.lit(p))
-    return df.agg(F.count(col).alias("available"), F.count(F.lit(1)).alias("total"), quantile(0.5).alias("median"), quantile(0.25).alias("q25"), quantile(0.75).alias("q75"))
+    """available, total, median, q25, q75 of ages, exact with linear interpolation; missing ages (null or NaN) left out."""
+    value = F.col(col).cast("double")
+    counts = df.agg(F.count_if(value.isNotNull() & ~F.isnan(value)).alias("available"), F.count(F.lit(1)).alias("total"))
+    found = exact_quantiles(df, col, [0.5, 0.25, 0.75])
+    return counts.select("available", "total", *[F.lit(v).cast("double").alias(c) for c, v in zip(("median", "q25", "q75"), found)])
 
 
 def age_group_counts(df: DataFrame, names: list[str]) -> DataFrame:

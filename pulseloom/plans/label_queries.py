@@ -11,7 +11,7 @@ from ..functions import scalars as s
 from ..functions.shared import shared_dir
 from ..operators import folds, joins, labels
 from ..operators.results import age_group_counts, age_profile
-from ..sources import tables
+from ..sources import arrays, tables
 from .fixtures import LISTS, lists, named, table, waves
 
 QUERIES: dict = {}
@@ -57,11 +57,14 @@ def read_header_codes(spark: SparkSession, d: str) -> DataFrame:
     return tables.read_header_codes(spark, path, r"record=([^/]+)/").withColumn("codes", F.array_join("codes", ","))
 
 
-@query("SELECT vec_id AS record_id, 0 AS seg_idx, 16 AS fs, 4 AS n_leads, 16 AS n_samples FROM embeddings")
+@query("""SELECT (t // 16)::INTEGER AS lead, (t % 16)::INTEGER AS sample, 4 AS n_leads, 16 AS n_samples, 16 AS fs, count(*) AS n, round(sum(embedding[t + 1]::DOUBLE), 3) + 0.0 AS total
+FROM embeddings, range(0, 64) r(t) GROUP BY 1, 2""")
 def read_waveforms(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
-    waves(spark, d).write.parquet(path)
-    return tables.read_waveforms(spark, path).select("record_id", "seg_idx", "fs", F.size("signal").alias("n_leads"), F.size(F.col("signal")[0]).alias("n_samples"))
+    path = arrays.write_arrays(waves(spark, d), _folder(spark))  # (N, 1, 16, 4)
+    rows = tables.read_waveforms(spark, path, "samples", fs=16)
+    shape = rows.select("fs", F.size("signal").alias("n_leads"), F.size(F.get("signal", F.lit(0))).alias("n_samples"), F.posexplode("signal").alias("lead", "x"))
+    each = shape.select("fs", "n_leads", "n_samples", "lead", F.posexplode("x").alias("sample", "v"))
+    return each.groupBy("lead", "sample", "n_leads", "n_samples", "fs").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(F.col("v").cast("double")), 3) + F.lit(0.0)).alias("total"))
 
 
 def _vocab(spark: SparkSession, d: str) -> DataFrame:
@@ -113,9 +116,9 @@ def append_results(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     runs = runs.groupBy(F.col("c_mktsegment").alias("model"), F.col("n_name").alias("task"), F.col("n_regionkey").alias("part")).agg(F.count(F.lit(1)).alias("num_classes"), F.round(F.avg("c_acctbal"), 4).alias("test_auroc_macro"))
     path = _folder(spark)
-    for even in (True, False):  # two appends to one table
+    for even in (True, False, True):  # to one table, and the first job once more
         tables.append_results(runs.filter((F.col("part") % 2 == 0) == even), path)
-    back = spark.read.parquet(path)
+    back = tables.read_results(spark, path)
     return back.select("model", "task", "num_classes", "best_epoch", "test_auroc_macro", F.isnan("val_auroc_macro").cast("int").alias("missing"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import features, folds, joins, labels, metrics, results, signals
@@ -24,25 +24,46 @@ def query(sql: str | None = None):
 
 # ---- folds and splits
 
-_RARE = f"""{ENTRIES}, once AS (SELECT DISTINCT record_id, label FROM entries), n AS (SELECT label, count(*) AS n FROM once GROUP BY 1),
-  rare AS (SELECT record_id, min_by(label, n * 1000 + label) AS stratum FROM once JOIN n USING (label) GROUP BY 1)"""
+def _evenness(folds_: DataFrame, unit: DataFrame, key: str, most: int) -> DataFrame:
+    """What holds of any right dealing: the folds' sizes, from the largest, and that no label's counts differ by more than ``most``.
 
-
-@query(f"""WITH {_RARE} SELECT o_orderkey AS record_id,
-  ((row_number() OVER (ORDER BY coalesce(stratum, -1), md5('0:' || o_orderkey), o_orderkey) - 1) % 10)::INTEGER AS fold FROM orders LEFT JOIN rare ON record_id = o_orderkey""")
-def stratify_records(spark: SparkSession, d: str) -> DataFrame:
-    return folds.stratify_records(encoded(spark, d), 10)
+    ``unit`` has key, labels (a record's distinct ones, or all of a patient's records) and weight (records).
+    """
+    rows = folds_.join(unit, key)
+    sizes = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    sizes = sizes.select(F.lit("size").alias("kind"), (F.row_number().over(Window.orderBy(F.desc("n"), "fold")) - 1).cast("long").alias("id"), "n", F.lit(True).alias("even"))
+    per = rows.select("fold", F.explode("labels").alias("id")).groupBy("id").pivot("fold", list(range(10))).agg(F.count(F.lit(1))).fillna(0)
+    cells = F.array(*[F.col(str(f)) for f in range(10)])
+    total = F.aggregate(cells, F.lit(0).cast("long"), lambda a, x: a + x)
+    return sizes.unionByName(per.select(F.lit("label").alias("kind"), F.col("id").cast("long").alias("id"), total.alias("n"), (F.array_max(cells) - F.array_min(cells) <= most).alias("even")))
 
 
-_PATIENTS = f"""{ENTRIES}, p AS (SELECT o_custkey AS pid, count(*) AS n_records FROM orders GROUP BY 1),
-  once AS (SELECT DISTINCT pid, label FROM entries), n AS (SELECT label, count(*) AS n FROM once GROUP BY 1),
-  rare AS (SELECT pid, min_by(label, n * 1000 + label) AS stratum FROM once JOIN n USING (label) GROUP BY 1),
-  place AS (SELECT p.pid, row_number() OVER (ORDER BY coalesce(stratum, -1), n_records DESC, md5('0:' || p.pid), p.pid) - 1 AS i FROM p LEFT JOIN rare ON p.pid = rare.pid)"""
+@query(f"""WITH {ENTRIES}, once AS (SELECT DISTINCT record_id, label FROM entries), n AS (SELECT count(*) AS n FROM orders)
+SELECT 'size' AS kind, f::BIGINT AS id, (n // 10 + (CASE WHEN f < n % 10 THEN 1 ELSE 0 END))::BIGINT AS n, true AS even FROM n, range(0, 10) r(f)
+UNION ALL SELECT 'label', label::BIGINT, count(*), true FROM once GROUP BY 2""")
+def stratify_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = encoded(spark, d)
+    dealt = folds.stratify_records(rows, 10)
+    return _evenness(dealt, rows.select("record_id", F.array_distinct("encoded").alias("labels"), F.lit(1).alias("weight")), "record_id", 3)
 
 
-@query(f"WITH {_PATIENTS} SELECT pid, (CASE WHEN (i // 10) % 2 = 0 THEN i % 10 ELSE 9 - i % 10 END)::INTEGER AS fold FROM place")
+@query(f"""WITH {ENTRIES}, once AS (SELECT DISTINCT pid, record_id, label FROM entries), n AS (SELECT count(DISTINCT o_custkey) AS n, count(*) AS w FROM orders)
+SELECT 'patients' AS kind, 0::BIGINT AS id, n::BIGINT AS n, true AS even FROM n UNION ALL SELECT 'records', 0, w, true FROM n
+UNION ALL SELECT 'label', label::BIGINT, count(*), true FROM once GROUP BY 2""")
 def stratify_patients(spark: SparkSession, d: str) -> DataFrame:
-    return folds.stratify_patients(encoded(spark, d), 10)
+    """As above, but sizes are records: neither they nor any label's counts differ between two folds by more than the largest patient has records."""
+    rows = encoded(spark, d)
+    unit = rows.groupBy("pid").agg(F.flatten(F.collect_list(F.array_distinct("encoded"))).alias("labels"), F.count(F.lit(1)).alias("weight"))
+    dealt = folds.stratify_patients(rows, 10).join(unit, "pid")
+    sizes = dealt.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.max("weight").alias("most"))
+    whole = sizes.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), (F.max("w") - F.min("w") <= F.max("most")).alias("even"))
+    row = lambda kind, n, even: whole.select(F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("id"), F.col(n).alias("n"), even.alias("even"))
+    per = dealt.select("fold", F.explode("labels").alias("id")).groupBy("id").pivot("fold", list(range(10))).agg(F.count(F.lit(1))).fillna(0)
+    cells = F.array(*[F.col(str(f)) for f in range(10)])
+    total = F.aggregate(cells, F.lit(0).cast("long"), lambda a, x: a + x)
+    per = per.crossJoin(F.broadcast(sizes.agg(F.max("most").alias("most"))))
+    even = F.array_max(cells) - F.array_min(cells) <= F.col("most")
+    return row("patients", "n", F.lit(True)).unionByName(row("records", "w", F.col("even"))).unionByName(per.select(F.lit("label").alias("kind"), F.col("id").cast("long").alias("id"), total.alias("n"), even.alias("even")))
 
 
 @query(f"WITH {ENTRIES} SELECT o_custkey AS pid, coalesce((SELECT string_agg(label::VARCHAR, '|' ORDER BY label) FROM entries e WHERE e.pid = o_custkey), '') AS labels, count(*) AS n_records FROM orders GROUP BY 1")
@@ -367,10 +388,10 @@ def check_leads(spark: SparkSession, d: str) -> DataFrame:
     return joins.check_leads(rows, 5)
 
 
-@query("SELECT count(l.doc_id) AS n_a, count(d.doc_id) AS n_b, count(*) FILTER (d.doc_id IS NULL) AS only_a, count(*) FILTER (l.doc_id IS NULL) AS only_b, count(*) FILTER (l.quality <> d.n_chars % 2) AS differ FROM (FROM labels WHERE doc_id % 11 <> 0) l FULL JOIN (FROM documents WHERE doc_id % 7 <> 0) d ON l.doc_id = d.doc_id")
+@query("SELECT count(l.doc_id) AS n_a, count(d.doc_id) AS n_b, count(*) FILTER (d.doc_id IS NULL) AS only_a, count(*) FILTER (l.doc_id IS NULL) AS only_b, count(*) FILTER (l.quality <> d.n_chars % 2) AS differ FROM labels l FULL JOIN documents d ON l.doc_id = d.doc_id")
 def check_alignment(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "labels").filter("doc_id % 11 <> 0").select("doc_id", F.col("quality").cast("long").alias("flag"))
-    b = table(spark, d, "documents").filter("doc_id % 7 <> 0").select("doc_id", (F.col("n_chars") % 2).alias("flag"))
+    a = table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("flag"))
+    b = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).alias("flag"))
     return joins.check_alignment(a, b, "doc_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import sanitize_label
+from .arrays import WaveArrays
 
 #: One row per finished experiment.
 RESULTS = T.StructType(
@@ -38,9 +39,21 @@ def read_header_codes(spark: SparkSession, path: str, name: str = r"([^/]+)\.[^.
     return text.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("record_name"), codes.alias("codes"))
 
 
-def read_waveforms(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, seg_idx, fs, signal (leads by samples)."""
-    return spark.read.parquet(path).select("record_id", "seg_idx", "fs", "signal")
+def read_waveforms(spark: SparkSession, path: str, layout: str | None = None, fs: int | None = None, leads: tuple[int, ...] | None = None) -> DataFrame:
+    """record_id, seg_idx, fs, signal (leads by samples).
+
+    From Parquet; with a ``layout`` ("samples" or "leads", the order of the last two axes) from .npy arrays, whose rows are the records and
+    which are read by ranges of rows (see ``sources.arrays``): then record_id is the row's number in its ``file``, one more column.
+    """
+    if layout is None:
+        return spark.read.parquet(path).select("record_id", "seg_idx", "fs", "signal")
+    spark.dataSource.register(WaveArrays)
+    reader = spark.read.format("waves").option("layout", layout)
+    if fs is not None:
+        reader = reader.option("fs", str(fs))
+    if leads is not None:
+        reader = reader.option("leads", ",".join(map(str, leads)))
+    return reader.load(path)
 
 
 def label_columns(vocab: DataFrame, rule: str = "paper") -> list[tuple[str, str]]:
@@ -76,12 +89,27 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.trim(key).alias("metric"), F.trim(value).try_cast("double").alias("value")).filter("value is not null")
 
 
+#: What names a run of an experiment.
+RUN = ("timestamp", "model", "task", "eval_mode", "save_dir")
+
+
 def append_results(df: DataFrame, path: str) -> None:
-    """Append experiments to the growing results table; missing metrics are NaN, a missing best epoch is -1."""
+    """Add experiments to the growing results table; missing metrics are NaN, a missing best epoch is -1.
+
+    Each run (its ``RUN`` columns) is a partition of the table, and a write replaces the partitions it has rows for and no others. So a
+    job that is repeated, as a whole or after a failure, leaves its rows once, and jobs of other runs may write meanwhile.
+    """
     empty = {T.DoubleType(): F.lit(float("nan")), T.IntegerType(): F.lit(-1)}
     columns = []
     for field in RESULTS:
         value = F.col(field.name).cast(field.dataType) if field.name in df.columns else F.lit(None).cast(field.dataType)
         default = empty.get(field.dataType) if field.name == "best_epoch" or field.dataType == T.DoubleType() else None
         columns.append((F.coalesce(value, default) if default is not None else value).alias(field.name))
-    df.select(*columns).write.mode("append").parquet(path)
+    run = F.concat(F.lit("run-"), F.md5(F.to_json(F.struct(*RUN), {"ignoreNullFields": "false"})))
+    rows = df.select(*columns).withColumn("run", run).repartition("run")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results table, one row per run."""
+    return spark.read.schema(RESULTS).parquet(path).select(*RESULTS.names)

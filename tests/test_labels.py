@@ -1,12 +1,16 @@
-"""Codes, labels and joins on hand-made rows."""
+"""Codes, labels, folds, tables and joins on hand-made rows."""
 
+import hashlib
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.functions import scalars as s
 from pulseloom.operators import folds, joins, labels
-from pulseloom.operators.results import age_group_counts, best_epoch
-from pulseloom.sources import tables
+from pulseloom.operators.results import age_group_counts, age_profile, best_epoch
+from pulseloom.sources import arrays, tables
 
 
 def rows(df):
@@ -122,14 +126,119 @@ def test_best_epoch(spark):
     assert rows(best_epoch(df)) == [("x", 2, 0.7)]
 
 
-def test_patients_of_one_kind_are_many_buckets(spark, monkeypatch):
-    """No bucket of patients with one label and one record holds more than a small part of them."""
-    seen = []
-    whole = folds.running_total
-    monkeypatch.setattr(folds, "running_total", lambda df, *rest: seen.append(df.groupBy("_bucket").count().agg(F.max("count")).first()[0]) or whole(df, *rest))
+def spread_of(df, dealt, key):
+    """The largest difference of any label's counts between two folds, and the folds' sizes."""
+    found = df.join(dealt, key)
+    n = dealt.agg(F.max("fold")).first()[0] + 1
+    tally = {}
+    for r in found.select("fold", F.explode(F.array_distinct("encoded")).alias("l")).groupBy("fold", "l").count().collect():
+        tally.setdefault(r["l"], [0] * n)[r["fold"]] = r["count"]
+    sizes = [r["count"] for r in found.groupBy("fold").count().collect()]
+    return max(max(x) - min(x) for x in tally.values()), sizes
+
+
+def labelled(spark, n, per_patient=1):
+    """Records with none to five of forty labels, some of them rare, that often go together."""
+    pick = random.Random(3)
+    rows = []
+    for i in range(n):
+        first = min(int(pick.expovariate(0.15)), 39)
+        rows.append((i, i // per_patient, [(first + k * pick.randint(0, 3)) % 40 for k in range(pick.randint(0, 5))]))
+    return spark.createDataFrame(rows, "record_id long, pid long, encoded array<int>").cache()
+
+
+@pytest.mark.parametrize("block", [100_000, 700])
+def test_every_label_is_spread_evenly(spark, block):
+    """In one block and in several; sizes differ by one at most; the same folds on any partitioning."""
+    df = labelled(spark, 4003)
+    dealt = folds.stratify_records(df, 10, block=block)
+    uneven, sizes = spread_of(df, dealt, "record_id")
+    assert uneven <= 3 and len(sizes) == 10 and max(sizes) - min(sizes) <= 1 and sum(sizes) == 4003
+    if block == 700:
+        assert rows(folds.stratify_records(df.repartition(7), 10, block=block)) == rows(dealt)
+        assert rows(folds.stratify_records(df, 10, seed=1, block=block)) != rows(dealt)
+
+
+def test_patients_fill_folds_by_their_records(spark):
+    df = labelled(spark, 3000).withColumn("pid", F.floor(F.sqrt(F.col("record_id"))))  # up to 109 records
+    dealt = folds.stratify_patients(df, 5)
+    assert dealt.count() == df.select("pid").distinct().count()
+    uneven, sizes = spread_of(df, dealt, "pid")
+    assert sum(sizes) == 3000 and max(sizes) - min(sizes) <= 109 and uneven <= 60
+
+
+def test_units_of_one_kind_are_many_blocks(spark):
+    """However many records look alike, a task deals out no more than a block of them."""
     df = spark.range(20_000).select(F.col("id").alias("pid"), F.array(F.lit(3)).alias("encoded"))
-    sizes = [r["count"] for r in folds.stratify_patients(df, 10).groupBy("fold").count().collect()]
-    assert seen[0] < 200 and max(sizes) - min(sizes) <= 1
+    sizes = [r["count"] for r in folds.stratify_patients(df, 10, block=1000).groupBy("fold").count().collect()]
+    assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1
+    odd = spark.createDataFrame([(None, None), (None, []), (1, [None, 2]), (1, [2])], "record_id long, encoded array<int>")
+    assert sorted(r["fold"] for r in folds.stratify_records(odd, 4).collect()) == [0, 1, 2, 3]
+    assert folds.stratify_records(odd.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("take", [1, 37, 400, 10_000])
+def test_sample_is_a_filter(spark, take):
+    """The rows of least md5, as a ranking gives them, and no top-n or window in the plan."""
+    df = spark.range(3000).select(F.when(F.col("id") % 50 > 0, F.col("id") % 700).cast("string").alias("filepath"), (F.col("id") % 3 == 0).alias("a"), (F.col("id") % 3 == 1).alias("b"))
+    got = folds.balanced_sample(df, "a", "b", take, 5)
+    flagged = [(r["filepath"], 1 if r["a"] else 0) for r in df.filter("(a or b) and filepath is not null").collect()]
+    both = {f: sorted((hashlib.md5(f"5:{k}".encode()).hexdigest(), k, f) for k, x in flagged if x == f) for f in (0, 1)}
+    n = min(take, *map(len, both.values()))
+    assert sorted(map(tuple, got.collect())) == sorted((k, f) for x in both.values() for _, k, f in x[:n])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Window" not in plan and "Sort" not in plan
+    assert folds.balanced_sample(df.filter("a"), "a", "b", 5, 5).count() == 0
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    """Against numpy, on skewed values with ties, and where the sketch misses; no exact percentile is aggregated."""
+    from pulseloom.functions import quantiles
+
+    monkeypatch.setattr(F, "percentile", None)
+    pick = np.random.default_rng(2)
+    for x in (pick.standard_normal(30_001) ** 9, np.round(pick.random(5000), 2), np.full(100, 3.5), np.array([1.0]), np.array([5.0, -7.0]), np.append(np.full(9000, 2.0), pick.random(1000))):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "age double")
+        want = [float(np.quantile(x, p)) for p in (0.5, 0.25, 0.75, 0, 1, 0.999)]
+        assert np.allclose(quantiles.exact_quantiles(df, "age", [0.5, 0.25, 0.75, 0, 1, 0.999]), want, rtol=1e-12)
+    monkeypatch.setattr(F, "percentile_approx", lambda c, ends, n: F.array(*[F.lit(1e9) for _ in ends]))
+    assert quantiles.exact_quantiles(df, "age", [0.25, 0.9]) == pytest.approx([float(np.quantile(x, p)) for p in (0.25, 0.9)])
+    assert age_profile(df).first().asDict()["available"] == 10_000
+    assert tuple(age_profile(df.limit(0)).first()) == (0, 0, None, None, None)
+
+
+def test_a_repeated_job_leaves_its_results_once(spark, tmp_path):
+    path = str(tmp_path / "results")
+    one = spark.createDataFrame([("t1", "m", "a", "probe", "/x", 0.5), ("t1", "m", None, "probe", "/y", 0.6)], "timestamp string, model string, task string, eval_mode string, save_dir string, test_auroc_macro double")
+    two = one.limit(1).withColumn("timestamp", F.lit("t2"))
+    for job in (one, two, one, two):
+        tables.append_results(job, path)
+    back = tables.read_results(spark, path)
+    assert back.schema == tables.RESULTS and back.count() == 3
+    assert {(r["timestamp"], r["task"], r["best_epoch"]) for r in back.collect()} == {("t1", "a", -1), ("t1", None, -1), ("t2", "a", -1)}
+    tables.append_results(one.withColumn("test_auroc_macro", F.lit(0.9)), path)
+    assert sorted(r["test_auroc_macro"] for r in tables.read_results(spark, path).collect()) == [0.5, 0.9, 0.9]
+
+
+@pytest.mark.parametrize(("layout", "shape"), [("samples", (50, 1, 7, 3)), ("samples", (50, 7, 3)), ("leads", (50, 3, 7)), ("leads", (50, 1, 3, 7))])
+def test_arrays_are_read_by_ranges_of_rows(spark, tmp_path, layout, shape):
+    x = np.random.default_rng(1).standard_normal(shape)
+    np.save(tmp_path / "a.npy", x)
+    np.save(tmp_path / "b.npy", x[:0])
+    want = x.reshape(50, *shape[-2:]).astype(np.float32)
+    want = want.transpose(0, 2, 1) if layout == "samples" else want
+    spark.dataSource.register(arrays.WaveArrays)
+    read = spark.read.format("waves").option("layout", layout).option("bytes", 1000).option("at_once", 400)
+    got = read.load(str(tmp_path)).withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == 50 and len({r["part"] for r in got}) > 5
+    assert all(np.array_equal(np.array(r["signal"], np.float32), want[r["record_id"]]) and r["fs"] is None for r in got)
+    some = tables.read_waveforms(spark, str(tmp_path / "a.npy"), layout, 250, (2, 0))
+    assert all(np.array_equal(np.array(r["signal"], np.float32), want[r["record_id"]][[2, 0]]) and r["fs"] == 250 for r in some.collect())
+    folder = arrays.write_arrays(some, str(tmp_path / "again"), layout)
+    assert tables.read_waveforms(spark, folder, layout).count() == 50
+    np.save(tmp_path / "c.npy", np.zeros((3, 2, 2, 2)))
+    with pytest.raises(Exception, match="3 axes"):
+        tables.read_waveforms(spark, str(tmp_path / "c.npy"), layout).count()
 
 
 def test_small_scores_are_many_buckets_and_nan_is_undefined(spark, monkeypatch):

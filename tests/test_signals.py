@@ -132,6 +132,8 @@ def test_predictions_average_once(spark):
     df = spark.createDataFrame(rows, "ecg_id long, class_idx int, window int, target int, score double")
     out = metrics.aggregate_predictions(df).first()
     assert out["target"] == 1 and out["score"] == pytest.approx(0.4)
+    plan = metrics.aggregate_predictions(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_encoder_shapes(spark):
