@@ -860,3 +860,76 @@ def test_rows_without_an_id_are_many_buckets_of_the_mix(spark, monkeypatch, alik
     if alike:
         kinds = mixing.sized_documents(rows).withColumn("run", F.shiftright("row", 33)).groupBy("digest", "run").count()
         assert kinds.agg(F.max("count")).first()[0] <= 6000 / 20  # one row to number for each run, and a run's rows in a window
+
+
+# ---- the language model by hand
+
+
+def test_scores_are_those_of_the_counts_and_classes(spark, docs, local):
+    """The classes are the model's; all counts and probabilities are made again from the words."""
+    model = brown_lm.fit(docs, most=40)
+    words = sorted({t for _, text in local for t in tokens(text)[:-1]})
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(words)]})
+    item, _ = model.table.look(next(brown_lm.tokens(batch))[2][:-1])
+    item = dict(zip(words, item.tolist())) | {None: 0}
+    count, moves, seen = Counter(), Counter(), Counter()
+    for _, text in local:
+        before = None
+        for t in tokens(text):
+            count[t] += 1
+            seen[item[t]] += 1
+            moves[int(model.of[item[before]]), int(model.of[item[t]])] += 1
+            before = t
+    classes = range(len(model.step))
+    into, out = Counter(), Counter()
+    for (g, h), n in moves.items():
+        into[h] += n
+        out[g] += n
+    often = {h: into[h] + 1 for h in classes}
+    step = {(g, h): math.log10((moves[g, h] + brown_lm.BACK * often[h] / sum(often.values())) / (out[g] + brown_lm.BACK)) for g in classes for h in classes}
+    groups = range(model.table.words, model.table.words + brown_lm.ENDINGS)
+    mass = Counter()
+    for i in [*range(model.table.words), *groups]:
+        mass[int(model.of[i])] += seen[i] + 0.5
+    kinds = Counter(item[w] for w in words)
+
+    def score(text):
+        total, before = 0.0, None
+        for t in tokens(text):
+            i = item[t]
+            total += step[int(model.of[item[before]]), int(model.of[i])] + math.log10((seen[i] + 0.5) / mass[int(model.of[i])])
+            if i >= model.table.words:
+                total += math.log10((count[t] + 1) / (seen[i] + kinds[i] + 1))
+            before = t
+        return total
+
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in brown_lm.score_documents(docs, model).collect())
+    assert got == Counter((d, round(score(text), 6)) for d, text in local)
+    f = lambda x: sum(n * math.log(n) for n in x.values())
+    assert model.likelihoods[-1] == pytest.approx(f(moves) - f(into) - f(out)) or model.likelihoods[-1] <= model.likelihoods[-2]
+    assert all(a < b for a, b in zip(model.likelihoods[:-1], model.likelihoods[1:-1]))
+
+
+def test_a_round_takes_every_word_out_and_puts_it_back_exactly(spark):
+    """With one task a round of exchange is the one-by-one exchange of the words in order of their counts."""
+    texts = [prose(200 + i, 150) for i in range(30)]
+    model = brown_lm.fit(table(spark, texts), classes=6, rounds=0)
+    items = brown_lm.items_of(table(spark, texts), model.table)
+    size = model.table.words + brown_lm.ENDINGS
+    c = brown_lm.bigrams_of(items, np.arange(size)).astype(float)
+    of = model.of.copy()
+    of[1 : model.table.words] = 1 + np.arange(model.table.words - 1) % 5  # not where the first exchange left them
+    hot = np.eye(6)[of]
+    start = hot.T @ c @ hot
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = brown_lm.exchanged(items, model.table.words, of, start.astype(np.int64))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    m, want = start.copy(), of.copy()
+    weight = (c.sum(axis=0) + c.sum(axis=1) + np.diag(c))[: model.table.words]
+    for w in [w for w in np.argsort(-weight, kind="stable") if w and weight[w]]:
+        want[w] = brown_lm.exchange(m, c[w] @ hot, c[:, w] @ hot, c[w, w], want[w])  # neighbours' classes as the round began
+    assert (got == want).all() and (got != of).any()
+    new = np.eye(6)[got]
+    assert brown_lm.likelihood(new.T @ c @ new) > brown_lm.likelihood(start)
