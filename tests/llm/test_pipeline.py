@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulseloom.functions.shared import keep
@@ -124,3 +125,47 @@ def test_pieces_are_the_documents_tokens(stages):
     for r in rows:
         room[r[5]] += r[3]
     assert max(room.values()) <= 1024 and len(room) <= 1.1 * sum(room.values()) / 1024 + 1
+
+
+def write(spark, folder, rows, labels, extra=()):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.withColumns({c: F.lit(i) for i, c in enumerate(extra)}).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_empty_tables_pass_through(spark, tmp_path):
+    docs = write(spark, str(tmp_path), [], [])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = keep(stage(spark, docs, str(tmp_path)))
+        assert docs.count() == 0 and (name == "pack" or docs.columns == COLUMNS)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_null_and_repeated_ids_in_every_stage(spark, tmp_path):
+    """A third of the rows without an id, ids with several texts, rows that repeat, columns with the operators' own names."""
+    extra = ("row", "rest", "digest", "size", "doc", "word", "score", "bucket", "spans", "_text", "sno", "start", "rank", "_run")
+    rows = [(None if i % 3 == 0 else i // 2, prose(7000 + i, 40), "en", f"s{i % 2}" if i % 5 else None, 1) for i in range(60)]
+    rows += [rows[4], rows[4], rows[0], (None, rows[1][1], "en", None, None), (7, None, None, None, None), (None, None, None, None, None)]
+    docs = write(spark, str(tmp_path), rows, [(i, 1, 0) for i in range(20)], extra)
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = keep(stage(spark, docs, str(tmp_path)))
+        counts.append(out.count())
+        if name == "pack":
+            assert out.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
+            break
+        assert sorted(out.columns) == sorted([*COLUMNS, *extra])
+        assert all(out.filter(F.col(c) != i).isEmpty() for i, c in enumerate(extra))
+        docs = out
+    # nothing is toxic; of the 66 rows the near copies of a text and of an id go; no passage repeats; the mix leaves out what has no words
+    assert counts[0] == counts[1] == 66 and counts[2] == counts[3]
+    kept = {r["text"] for r in docs.collect()}
+    assert len(kept) > 20 and None not in kept
+    assert counts[5] >= counts[4]
+
+
+def test_words_of_one_polynomial_value_both_stay(spark):
+    a, b = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 2]
