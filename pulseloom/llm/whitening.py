@@ -21,7 +21,7 @@ stay out, whatever their names.
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matrix import lists_of, matrix_sum
 from ..functions.shared import keep
 from .vectors import usable
 
@@ -186,64 +187,37 @@ def _ints(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _matrix_sum(df: DataFrame, width: int, size: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum of ``part(x)``, a matrix of ``size`` columns, over batches of rows x: added up inside tasks, then by row of the matrix."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if b.num_rows:
-                own = part(_ints(b["x"], width))
-                total = own if total is None else total + own
-        if total is not None:
-            yield _rows(dict(enumerate(total)))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, row in zip(b["i"].to_pylist(), b["row"].to_pylist()):
-                total[i] = total.get(i, 0.0) + np.frombuffer(row)
-        yield _rows(total)
-
-    def _rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([r.tobytes() for r in total.values()], pa.binary())], names=["i", "row"])
-
-    schema = "i int, row binary"
-    found = df.select("x").mapInArrow(each, schema).repartition("i").mapInArrow(add, schema).collect()
-    out = np.zeros((max((r["i"] for r in found), default=-1) + 1, size))
-    for r in found:
-        out[r["i"]] = np.frombuffer(r["row"])
-    return out
-
-
 def fit(rows: DataFrame, k: int = 16, column: str = "embedding") -> Whitening:
     """The whitening of the distinct vectors of ``rows``."""
     distinct = keep(rows.filter(usable(column)).select(whole(column).alias("x")).distinct())
-    n, width = distinct.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    n, width, least = distinct.agg(F.count(F.lit(1)), F.max(F.size("x")), F.min(F.size("x"))).first()
     width = width or 0
+    if n and least < width:  # filled up, some may be equal
+        filled = F.concat("x", F.array_repeat(F.lit(OFFSET).cast("long"), width - F.size("x")))
+        distinct = keep(distinct.select(filled.alias("x")).distinct())
+        n = distinct.count()
     if not n or not width:
         return Whitening(n, np.zeros(width, np.int64), np.zeros(0), np.zeros((width, 0)), 0.0)
-    entries = distinct.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     sums = np.zeros(width, np.int64)
-    for r in entries:
-        sums[r["i"]] = r["s"] + OFFSET * (n - r["n"])
+    for r in distinct.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).collect():
+        sums[r["i"]] = r["s"]
     model = Whitening(n, sums, np.zeros(0), np.zeros((width, 0)), 0.0)
 
-    def products(x: np.ndarray) -> np.ndarray:
-        c = model.centred(x)
+    def products(b: pa.RecordBatch) -> np.ndarray:
+        c = model.centred(_ints(b["x"], width))
         return c.T @ c
 
-    v = _matrix_sum(distinct, width, width, products) / n
+    v = matrix_sum(distinct, products, (width, width)) / n
     values, vectors = leading((v + v.T) / 2, k)
     model = Whitening(n, sums, values, vectors, float(np.trace(v)))
     if not len(values):
         return model
 
-    def whitened(x: np.ndarray) -> np.ndarray:
-        z = model.centred(x) @ model.turn
+    def whitened(b: pa.RecordBatch) -> np.ndarray:
+        z = model.centred(_ints(b["x"], width)) @ model.turn
         return np.vstack([z.T @ z, z.sum(axis=0)])
 
-    own = _matrix_sum(distinct, width, len(values), whitened) / n
+    own = matrix_sum(distinct, whitened, (len(values) + 1, len(values))) / n
     model.identity_error = float(np.abs(own[:-1] - np.outer(own[-1], own[-1]) - np.eye(len(values))).max())
     return model
 
@@ -262,9 +236,7 @@ def whiten(rows: DataFrame, model: Whitening, column: str = "embedding", key: st
             apart = m.n * x - m.sums
             if len(x) and (apart.astype(float) ** 2).sum(axis=1).max(initial=0.0) >= 2.0**63:
                 raise ArithmeticError("a deviation exceeds 64 bits")
-            z = np.ascontiguousarray((apart / m.n) @ m.turn)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
-            yield pa.RecordBatch.from_arrays([b[key], pa.array((apart * apart).sum(axis=1)), lists], names=[key, "deviation", "whitened"])
+            yield pa.RecordBatch.from_arrays([b[key], pa.array((apart * apart).sum(axis=1)), lists_of((apart / m.n) @ m.turn)], names=[key, "deviation", "whitened"])
 
     kind = rows.schema[key].dataType.simpleString()
     found = rows.filter(usable(column)).select(key, whole(column).alias("x"))

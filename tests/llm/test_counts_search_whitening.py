@@ -167,8 +167,9 @@ def test_whitening(spark):
     """Repeated vectors count once in the fit and stay rows; unusable ones go; entries of a shorter one are 0."""
     random = np.random.default_rng(9)
     good = (random.standard_normal((60, 6)) * [1, 2, 3, 4, 5, 6]).tolist() + [[1.0, 2.0]]
+    same = [[1.0, 2.0, 0.0], [1.0, 2.0] + [0.0] * 4]  # as the last one, filled up
     bad = [None, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [float("inf")] + [0.0] * 5]
-    df = embedded(spark, good + good[:1] * 40 + bad)
+    df = embedded(spark, good + good[:1] * 38 + same + bad)
     model = whitening.fit(df.repartition(5), 4)
     assert model.n == 61 and len(model.values) == 4 and model.identity_error < 1e-9
     rows = {r["vec_id"]: r for r in whitening.whiten(df, model).collect()}
