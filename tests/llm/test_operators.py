@@ -933,3 +933,41 @@ def test_a_round_takes_every_word_out_and_puts_it_back_exactly(spark):
     assert (got == want).all() and (got != of).any()
     new = np.eye(6)[got]
     assert brown_lm.likelihood(new.T @ c @ new) > brown_lm.likelihood(start)
+
+
+# ---- the toxicity score by hand
+
+
+def test_toxicity_scores_are_those_of_the_features_and_weights(spark):
+    """The weights are the model's; every feature of a text is counted again, one by one, in another way."""
+    def insult(words, random):
+        for k in random.integers(0, len(words), 3):
+            words[k] = ["idiot", "zorkelnik", "zorkelmux!!!", "d@@mn"][random.integers(0, 4)]
+        return words
+
+    df, labels, _ = labelled(spark, insult, "toxic")
+    odd = table(spark, [None, "", "ZORKELNIK!!! you are an IDIOT", "idiot " * 30, "sh*t s**t SHOUT!! zorkelzzz", "Straße 12 éé zorkel_nik", prose(5, 3000)], 9000)
+    model = toxicity.fit(df, labels)
+    names, w = list(model.index), model.weights
+    rows = df.unionByName(odd).collect()
+
+    def score(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        counts = {f: sum(x == f if not f.endswith("*") else x.startswith(f[:-1]) and len(x) > len(f) - 1 for x in words) for f in names}
+        counts = {f: n if f.endswith("*") or len(f) <= 16 else 0 for f, n in counts.items()}
+        hits = sum(any(x == f if not f.endswith("*") else x.startswith(f[:-1]) and len(x) > len(f) - 1 for f in names) for x in words)
+        insults = sum(x in toxicity.INSULTS for x in words)
+        total = w[-1]
+        for i, f in enumerate(names):
+            if counts[f]:
+                total += w[i] + w[len(names) + i] * min(3.0, 100 * counts[f] / max(len(words), 50))
+        patterns = [float(insults > 0 and toxicity.PATTERNS[0].search(text) is not None), *(min(2, len(p.findall(text))) for p in toxicity.PATTERNS[1:])]
+        more = [min(hits, 8), min(100 * hits / max(len(words), 20), 8), min(insults, 4), *patterns, math.log(1 + len(words)) / 5]
+        total += sum(a * b for a, b in zip(w[2 * len(names) : -1], more, strict=True))
+        return 1 / (1 + math.exp(-(model.scale[0] * total + model.scale[1])))
+
+    assert len(names) > 3
+    got = {r["doc_id"]: r for r in toxicity.score_documents(df.unionByName(odd), model).collect()}
+    for r in rows:
+        want = score(r["text"] or "")
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-9 and got[r["doc_id"]]["predicted"] == (want >= 0.7)
