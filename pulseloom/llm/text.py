@@ -113,5 +113,8 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """XXH3 (64 bits) of each stretch."""
-    raw = memoryview(np.ascontiguousarray(data))
-    return np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+    raw, out = memoryview(np.ascontiguousarray(data)), np.zeros(len(start), np.uint64)
+    for k in range(0, len(start), 65_536):  # few places as Python numbers at once
+        some = slice(k, k + 65_536)
+        out[some] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[some].tolist(), end[some].tolist())]
+    return out
