@@ -52,7 +52,7 @@ class Encoder:
     token of the file: it is that token wherever it stands, as the ``tokenizers`` library reads it unless told otherwise.
     """
 
-    def __init__(self, path: str, pattern: str, memory: int = 300_000):
+    def __init__(self, path: str, pattern: str, memory: int = 120_000):
         import tiktoken
 
         ranks, self.added = byte_ranks(path)
