@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import seeded
-from .waves import RATE, Signals, at_rate, linear
+from .waves import Signals, at_rate, linear
 
 #: Leads 0, 1 and 6 to 11 of twelve.
 EIGHT = (0, 1, 6, 7, 8, 9, 10, 11)
@@ -62,7 +62,7 @@ def _per_batch(df: DataFrame, change: Callable[[Signals, pa.RecordBatch], tuple[
 
 
 def fourier_resample(df: DataFrame, target_fs: int) -> DataFrame:
-    """Every lead at ``target_fs`` by the Fourier method; rows already at it are unchanged. A missing rate is ``RATE``."""
+    """Every lead at ``target_fs`` by the Fourier method; rows already at it are unchanged. A missing rate is 500."""
     resampled = _per_batch(df, lambda signals, b: (at_rate(signals, b["fs"], target_fs), None))
     return resampled.withColumn("fs", F.lit(target_fs).cast(dict(df.dtypes)["fs"]))
 
