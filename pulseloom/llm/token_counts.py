@@ -34,9 +34,9 @@ from ..functions.shared import keep
 from .text import data_of, parts, words_of
 
 #: Pre-tokens in the broadcast table at most; about 100 bytes each in a worker.
-MOST = 500_000
+MOST = 300_000
 #: Distinct words and pre-tokens that a task holds before it lets them go.
-HELD = 300_000
+HELD = 150_000
 
 
 #: The pattern of tokenizers that drop white space and lower the case, and what it does to words of printable ASCII characters.
