@@ -28,17 +28,52 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 10) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression by Newton's method; the last column of x is not penalised."""
+#: Rows of a design matrix that are worked off at once.
+ROWS = 1024
+
+
+class SparseRows:
+    """A matrix (float32) by what is not 0 in each row; a slice of rows is made dense when it is asked for."""
+
+    def __init__(self, many: np.ndarray, column: np.ndarray, value: np.ndarray, rest: np.ndarray, columns: int):
+        """many: entries of each row; column, value: of all rows end to end, below ``columns``; rest: the columns that follow, dense."""
+        self.ends, self.column, self.value, self.rest, self.columns = np.append(0, np.cumsum(many)), column, value, rest, columns
+        self.shape, self.dtype = (len(many), columns + rest.shape[1]), np.dtype(np.float32)
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        a, b, _ = rows.indices(self.shape[0])
+        out = np.zeros((b - a, self.shape[1]), np.float32)
+        own = slice(self.ends[a], self.ends[b])
+        out[np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1])), self.column[own]] = self.value[own]
+        out[:, self.columns :] = self.rest[a:b]
+        return out
+
+
+def _slices(n: int) -> list[slice]:
+    return [slice(a, min(a + ROWS, n)) for a in range(0, n, ROWS)]
+
+
+def product(x: np.ndarray | SparseRows, w: np.ndarray) -> np.ndarray:
+    """x @ w, some rows at once."""
+    return np.concatenate([np.zeros(0), *((x[i] @ w.astype(x.dtype)).astype(float) for i in _slices(x.shape[0]))])
+
+
+def logistic(x: np.ndarray | SparseRows, y: np.ndarray, l2: float = 1.0, steps: int = 10) -> np.ndarray:
+    """Weights of a ridge-penalised logistic regression by Newton's method; the last column of x is not penalised.
+
+    Sums go over all rows, ``ROWS`` at once, so that no second matrix of x's size is made.
+    """
     penalty = np.full(x.shape[1], l2)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = sigmoid((x @ w.astype(x.dtype)).astype(float))
-        slope = ((p - y).astype(x.dtype) @ x).astype(float) + penalty * w
-        root = np.sqrt(p * (1 - p) + 1e-9).astype(x.dtype)
-        scaled = x * root[:, None]
-        bend = (scaled.T @ scaled).astype(float) + np.diag(penalty)
+        slope, bend = penalty * w, np.diag(penalty)
+        for i in _slices(x.shape[0]):
+            some = x[i]
+            p = sigmoid((some @ w.astype(x.dtype)).astype(float))
+            slope += ((p - y[i]).astype(x.dtype) @ some).astype(float)
+            some = some * np.sqrt(p * (1 - p) + 1e-9).astype(x.dtype)[:, None]
+            bend += (some.T @ some).astype(float)
         step = np.clip(np.linalg.solve(bend, slope), -5, 5)
         w -= step
         if np.abs(step).max() < 1e-4:

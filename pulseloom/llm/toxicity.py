@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import keep
-from .labelled import id_crc, labelled_sample, logistic, sigmoid
+from .labelled import SparseRows, id_crc, labelled_sample, logistic, product, sigmoid
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words that insult in general use.
@@ -181,27 +181,27 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_features: i
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [model.look(x or "") for x in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b["y"], pa.array([list(r[0]) for r in rows], pa.list_(pa.int32())), pa.array([list(r[0].values()) for r in rows], pa.list_(pa.float64())),
-                 pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64())), pa.array([r[2].tobytes() for r in rows], pa.binary())],
-                names=["y", "found", "value", "more", "votes"],
-            )
-
-    rows = sample.select("text", "y").mapInArrow(look, "y int, found array<int>, value array<double>, more array<double>, votes binary").collect()
-    y = np.array([r["y"] for r in rows], float)
-    m = 2 * len(names)
+            many = np.array([len(r[0]) for r in rows], np.int32)
+            column = np.fromiter((i for r in rows for i in r[0]), np.int32, many.sum())
+            value = np.fromiter((x for r in rows for x in r[0].values()), np.float32, many.sum())
+            more, votes = np.array([r[1] for r in rows], np.float32), np.array([r[2] for r in rows], np.int8)
+            packed = [np.asarray(b["y"], np.float32), many, column, value, more, votes]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=names_)
+
+    # a row for each batch, packed: as objects the rows would take the driver several times as much
+    names_ = ["y", "many", "column", "value", "more", "votes"]
+    rows = sample.select("text", "y").mapInArrow(look, ", ".join(f"{x} binary" for x in names_)).toArrow()
+    y, many, column, value, more, votes = (np.frombuffer(b"".join(rows[x].to_pylist()), t) for x, t in zip(names_, "<f4 <i4 <i4 <f4 <f4 i1".split()))
+    del rows
+    y, m = y.astype(float), 2 * len(names)
     model.weights = np.zeros(m + EXTRA + 1)
-    if len(set(y)) < 2:  # nothing to learn from: the general lexicon decides
+    if len(set(y.tolist())) < 2:  # nothing to learn from: the general lexicon decides
         model.weights[m + 2], model.weights[-1] = 2.0, -3.0
         return model
-    x = np.zeros((len(rows), m + EXTRA + 1), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["found"]] = r["value"]
-        x[i, m:-1] = r["more"]
-    x[:, -1] = 1
-    posterior, model.accuracy, model.correlation = label_model(np.stack([np.frombuffer(r["votes"], np.int8) for r in rows]), y.mean())
+    x = SparseRows(many, column, value, np.hstack([more.reshape(len(y), -1), np.ones((len(y), 1), np.float32)]), m)
+    posterior, model.accuracy, model.correlation = label_model(votes.reshape(len(y), -1), y.mean())
     model.weights = logistic(x, posterior, 1.0)
-    raw = x @ model.weights
+    raw = product(x, model.weights)
     a, b = logistic(np.stack([raw / 4, np.ones(len(raw))], axis=1), y, 1e-3)
     model.scale = (max(a / 4, 1e-3), b)
     return model

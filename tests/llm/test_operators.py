@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.llm import ann_tree, brown_lm, exact_topk, minhash, mixing, packing, quality, sharding, suffix_dedup, toxicity
+from pulseloom.llm.labelled import SparseRows, logistic, product
 from pulseloom.llm.text import Prefix, data_of, hashes, word_hashes, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -733,6 +735,30 @@ def test_toxicity(spark):
     assert stay.columns == docs.columns and 0 < stay.count() < docs.count()
 
 
+def test_the_classifier_is_fitted_without_a_matrix_of_all_rows():
+    """Rows of a sparse matrix are made dense a few at once; the weights are those of the dense matrix."""
+    random, columns = np.random.default_rng(3), 800
+    many = random.integers(0, 60, 20_000)
+    column = np.concatenate([random.choice(columns, n, replace=False) for n in many])
+    x = SparseRows(many, column.astype(np.int32), np.ones(len(column), np.float32), np.hstack([random.random((len(many), 3)), np.ones((len(many), 1))]).astype(np.float32), columns)
+    y = (random.random(len(many)) < 0.3).astype(float)
+    tracemalloc.start()
+    try:
+        logistic(x, y, steps=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * len(many) * columns / 2
+    small = SparseRows(x.ends[1:3001] - x.ends[:3000], x.column, x.value, x.rest[:3000], columns)
+    dense = np.zeros((3000, columns + 4), np.float32)
+    for i in range(3000):
+        dense[i, column[x.ends[i] : x.ends[i + 1]]] = 1
+    dense[:, columns:] = x.rest[:3000]
+    assert (small[:] == dense).all() and (small[1000:2100] == dense[1000:2100]).all()
+    assert np.allclose(logistic(small, y[:3000]), logistic(dense, y[:3000]), atol=1e-4)
+    assert np.allclose(product(small, np.arange(columns + 4.0)), dense @ np.arange(columns + 4.0), rtol=1e-4)
+
+
 def test_label_model_discounts_copies_of_one_voter():
     random = np.random.default_rng(0)
     y = random.random(4000) < 0.3
