@@ -2,8 +2,7 @@
 
 P(text) is the product over tokens of P(class | class before) P(item | class) and, for words too rare to cluster,
 P(word | item). An item is a clustered word, the end of text, or one of ``ENDINGS`` groups of the rarer words by their last
-three bytes; a group is clustered as if it were a word. A word is clustered if it makes up one of ``most`` parts of
-the training tokens, and occurs ``LEAST`` times: so there are at most ``most`` of them, whatever the corpus.
+three bytes; a group is clustered as if it were a word. Every word that occurs ``LEAST`` times is clustered, however many there are.
 
 The most frequent words and the groups are exchanged one by one until none moves; every other word begins in the class of
 its group. Then all words are exchanged in rounds: in each, a task takes one word after another out of its class and puts it,
@@ -12,10 +11,15 @@ class bigrams of the round's start; these are counted anew after it, and rounds
 (c + 1) / (N + V + 1), N and V being the group's tokens and words, which leaves room for an unknown word; transitions
 back off to the class frequencies. So the probabilities of all words after any word sum to 1.
 
+The ``held`` most frequent of the clustered words are in a broadcast table. If there are more, the others (common words) follow:
+they begin in the class of their group, and rounds as above move each by all its neighbours, with exact gains, until the likelihood
+stops rising. Their classes are a distributed table, and the bigrams with them meet it in joins on the hash, when they are counted and when
+texts are scored; nothing of them but sums by class goes to the driver.
+
 Scale: the texts are split into words three times: to count, to number and to score; every other pass reads the numbers.
-Words are 64-bit hashes of their bytes (9 bits of which name the group). Counts are a grouped table. The clustered
+Words are 64-bit hashes of their bytes (9 bits of which name the group). Counts are a grouped table. The ``held``
 words, and rarer ones up to ``known`` words, are broadcast, 24 bytes each; the other tokens meet their counts in a join
-on the hash. Classes grow with the cube root of the clustered words. Bigrams of the first items (four for each class) and of
+on the hash. Common words beyond them cost one more pass over the texts, and a shuffle of their distinct bigrams a round. Classes grow with the cube root of the clustered words. Bigrams of the first items (four for each class) and of
 classes are a matrix per task; its parts are added up by row.
 
 Nulls: a null text is empty, that is one end token; a null id hashes as empty text. Repeated rows are scored alike and
@@ -38,9 +42,10 @@ from .text import data_of, mix, parts, word_hashes, words_of
 ENDINGS = 512
 FREQUENT = 256
 CLASSES = 32
-#: A word of fewer occurrences, or of less than this part of all tokens, is not clustered by itself.
+#: A word of fewer occurrences is not clustered by itself.
 LEAST = 10
-MOST = 2_000_000
+#: Clustered words of the broadcast table; further ones meet their classes in joins.
+HELD = 2_000_000
 #: Words of the broadcast table, beyond which only clustered ones are in it.
 KNOWN = 500_000
 #: Weight of the class frequencies in a transition.
@@ -107,16 +112,23 @@ class Table:
         return np.where(hit, self.item[i], self.words + (kind & (ENDINGS - 1)))[at], np.where(hit, self.n[i], -1)[at]
 
 
-def frequent_words(counts: DataFrame, tokens_in: int, most: int, known: int) -> Table:
-    """The words to cluster, at most ``most``, and the next ones while all are at most ``known``, by fine steps of counts."""
-    least = max(LEAST, -(-tokens_in // most))
-    steps = counts.filter(F.col("word") != int(END)).groupBy(F.floor(F.log2("n") * 64).alias("step")).count().orderBy(F.desc("step")).collect()
-    total, low = 0, 2**40
-    for r in steps:
-        if (total := total + r["count"]) > known:
-            break
-        low = r["step"]
-    rows = counts.filter((F.col("word") == int(END)) | (F.col("n") >= least) | (F.floor(F.log2("n") * 64) >= low)).toArrow()
+def frequent_words(counts: DataFrame, least: int, held: int, known: int) -> tuple[Table, DataFrame | None, int]:
+    """The table of the first words, by fine steps of counts: at most ``held`` of those to cluster, and the rarer ones while all are at most ``known``.
+
+    And the other words to cluster (word, n), None if there are none, and how many.
+    """
+    step, often = F.floor(F.log2("n") * 64), F.col("n") >= least
+    steps = counts.filter(F.col("word") != int(END)).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("all"), F.count_if(often).alias("often")).orderBy(F.desc("step")).collect()
+    low = [2**40, 2**40]
+    for k, (column, most) in enumerate((("all", known), ("often", held))):
+        total = 0
+        for r in steps:
+            if (total := total + r[column]) > most:
+                break
+            low[k] = r["step"]
+    beyond = sum(r["often"] for r in steps if r["step"] < min(low))
+    common = counts.filter((F.col("word") != int(END)) & often & (step < min(low))) if beyond else None
+    rows = counts.filter((F.col("word") == int(END)) | often & (step >= low[1]) | (step >= low[0])).toArrow()
     word, n = np.asarray(rows["word"], np.int64), np.asarray(rows["n"], np.int64)
     if END not in word:
         word, n = np.append(word, END), np.append(n, 0)
@@ -128,7 +140,7 @@ def frequent_words(counts: DataFrame, tokens_in: int, most: int, known: int) ->
     item[first] = np.arange(1, len(first) + 1)
     item[word == END] = 0
     words = len(first) + 1
-    return Table(word, n, np.where(item < 0, words + (word & (ENDINGS - 1)), item), words)
+    return Table(word, n, np.where(item < 0, words + (word & (ENDINGS - 1)), item), words), common, beyond
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -346,6 +358,84 @@ def exchange_clusters(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.
     return of
 
 
+def _outside(names: np.ndarray, item: np.ndarray, n: np.ndarray, of: np.ndarray, **more: np.ndarray) -> pa.Table:
+    """The bigrams with a word outside the table, and how often each stands there: a, b (hashes, null inside the table), x, y (classes by the table), many."""
+    out = n < 0
+    before = np.concatenate([[False], out[:-1]])
+    at = np.flatnonzero(out | before)
+    a = pa.array(names[at - 1], mask=~before[at])
+    columns = {"a": a, "x": pa.array(of[np.where(at > 0, item[at - 1], 0)]), "b": pa.array(names[at], mask=~out[at]), "y": pa.array(of[item[at]])}
+    columns |= {k: pa.array(v[at]) for k, v in more.items()}
+    return pa.table(columns).group_by(list(columns)).aggregate([([], "count_all")]).rename_columns([*columns, "many"])
+
+
+def _met(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs with the classes g, h of a and b, and n_a, n_b, their counts: null for what is no common word, which has class x or y."""
+    for c, own, new in (("a", "x", "g"), ("b", "y", "h")):
+        found = classes.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"), F.col("class").alias(new))
+        # no null meets another task's rows: nulls would be one hot key
+        inside = pairs.filter(F.col(c).isNull()).withColumns({f"n_{c}": F.lit(None).cast("long"), new: F.col(own)})
+        pairs = pairs.filter(F.col(c).isNotNull()).join(found, c, "left").withColumn(new, F.coalesce(new, own)).unionByName(inside)
+    return pairs
+
+
+def common_pairs(docs: DataFrame, table: Table, of: np.ndarray, classes: DataFrame) -> DataFrame:
+    """a, x, b, y, many: the training texts' bigrams with a common word, kept; a, b are null for what is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, names, _ in tokens(batch):
+                yield from _outside(names, *table.look(names), of).to_batches()
+
+    def summed(df: DataFrame) -> DataFrame:
+        return df.groupBy("a", "x", "b", "y").agg(F.sum("many").alias("many"))
+
+    met = _met(summed(docs.select("text").mapInArrow(run, "a long, x long, b long, y long, many long")), classes)
+    met = met.filter(F.col("n_a").isNotNull() | F.col("n_b").isNotNull())
+    return keep(summed(met.withColumns({c: F.when(F.col(f"n_{c}").isNotNull(), F.col(c)) for c in "ab"})))
+
+
+def _matrix(pairs: DataFrame, row: str, column: str, size: int) -> np.ndarray:
+    sums = pairs.groupBy(row, column).agg(F.sum("many").alias("many")).toArrow()
+    out = np.zeros((size, size), np.int64)
+    out[np.asarray(sums[row], np.int64), np.asarray(sums[column], np.int64)] = np.asarray(sums["many"], np.int64)
+    return out
+
+
+def exchanged_common(placed: DataFrame, classes: DataFrame, moves: np.ndarray) -> DataFrame:
+    """word, n, class after one round of exchange of all common words, as in ``exchanged``; ``placed`` are their bigrams with classes g, h."""
+    size = len(moves)
+    wide = 2 * size + 1
+    sides = placed.filter("a is not null").select(F.col("a").alias("word"), F.col("h").alias("at"), "many")
+    sides = sides.unionByName(placed.filter("b is not null").select(F.col("b").alias("word"), (F.col("g") + size).alias("at"), "many"))
+    sides = sides.unionByName(placed.filter("a = b").select(F.col("a").alias("word"), F.lit(2 * size).cast("long").alias("at"), "many"))
+    near = sides.groupBy("word", "at").agg(F.sum("many").alias("many")).join(classes, "word")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, held = moves.astype(float), None
+
+        def solve(t: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+            word, n, old, at, many = (np.asarray(t[c], np.int64) for c in ("word", "n", "class", "at", "many"))
+            first, out = np.append(0, ends[:-1])[: len(ends)], []
+            for a, b in zip(first.tolist(), ends.tolist()):
+                own = np.zeros(wide)
+                own[at[a:b]] = many[a:b]
+                out.append(exchange(m, own[:size], own[size:-1], own[-1], int(old[a])))
+            return pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(n[first]), pa.array(out, pa.int64())], names=["word", "n", "class"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            ends = np.flatnonzero(np.diff(np.asarray(t["word"], np.int64))) + 1
+            yield solve(t, ends)
+            held = t.slice(int(ends[-1]) if len(ends) else 0)
+        if held is not None and held.num_rows:
+            yield solve(held, np.array([held.num_rows]))
+
+    near = near.repartition(_buckets(near), "word").sortWithinPartitions("word")
+    return keep(near.select("word", "n", "class", "at", "many").mapInArrow(place, "word long, n long, class long"))
+
+
 @dataclass
 class Model:
     table: Table
@@ -356,15 +446,17 @@ class Model:
     words: int
     counts: DataFrame
     likelihoods: list[float]  # before and after each round of exchange of all words
+    mass: np.ndarray  # log10 of each class's tokens, smoothed
+    common: DataFrame | None = None  # word, n, class of the clustered words that are not in the table
 
 
-def fit(docs: DataFrame, most: int = MOST, known: int = KNOWN, classes: int | None = None, rounds: int = ROUNDS) -> Model:
-    """Learn from all the documents given."""
+def fit(docs: DataFrame, most: int | None = None, known: int = KNOWN, classes: int | None = None, rounds: int = ROUNDS, held: int = HELD) -> Model:
+    """Learn from all the documents given. ``most``: cluster only words that make up one of so many parts of the tokens; by default no word is left out for that."""
     counts = keep(word_counts(docs))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    table = frequent_words(counts, int(sums["n"]), most, known)
+    table, common, beyond = frequent_words(counts, max(LEAST, -(-int(sums["n"]) // most)) if most else LEAST, held, known)
     size = table.words + ENDINGS
-    classes = classes or max(CLASSES, round(2 * table.words ** (1 / 3)))
+    classes = classes or max(CLASSES, round(2 * (table.words + beyond) ** (1 / 3)))
     # the first words, and all others by their endings
     first = min(table.words, 1 + max(FREQUENT, 4 * classes))
     seed = np.concatenate([np.arange(table.words), first + np.arange(ENDINGS)])
@@ -384,6 +476,23 @@ def fit(docs: DataFrame, most: int = MOST, known: int = KNOWN, classes: int | No
         of, moves = new, then
         if found[-1] - found[-2] < ENOUGH * abs(found[-2]):
             break
+    if common is not None:
+        by_ending = F.get(F.lit(of[table.words :].tolist()), F.col("word").bitwiseAND(ENDINGS - 1).cast("int")).cast("long")
+        common = keep(common.select("word", "n", by_ending.alias("class")))
+        pairs = common_pairs(docs, table, of, common)
+        rest = moves - _matrix(pairs, "x", "y", len(moves))
+        placed = keep(_met(pairs, common))
+        for _ in range(rounds):
+            new = exchanged_common(placed, common, moves)
+            placed = keep(_met(pairs, new))
+            then = rest + _matrix(placed, "g", "h", len(moves))
+            before, now = likelihood(moves), likelihood(then)
+            found.append(now)
+            if now <= before:
+                break
+            common, moves = new, then
+            if now - before < ENOUGH * abs(before):
+                break
     step = _smooth(moves)
     seen = np.zeros(size)
     own = (table.item > 0) & (table.item < table.words)
@@ -395,11 +504,18 @@ def fit(docs: DataFrame, most: int = MOST, known: int = KNOWN, classes: int | No
         tokens_in[r["g"]], words_in[r["g"]] = r["n"], r["v"]
     np.subtract.at(tokens_in, table.word[own] & (ENDINGS - 1), table.n[own])
     np.subtract.at(words_in, table.word[own] & (ENDINGS - 1), 1)
+    by_class = np.zeros(len(moves))
+    if common is not None:
+        for r in common.groupBy(F.col("word").bitwiseAND(ENDINGS - 1).alias("g"), "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+            tokens_in[r["g"]] -= r["n"]
+            words_in[r["g"]] -= r["v"]
+            by_class[r["class"]] += r["n"] + 0.5 * r["v"]
     seen[table.words :] = tokens_in
     seen += 0.5
-    emit = np.log10(seen / np.bincount(of, weights=seen)[of])
+    mass = np.bincount(of, weights=seen, minlength=len(moves)) + by_class
+    emit = np.log10(seen / mass[of])
     emit[table.words : size] -= np.log10(tokens_in + words_in + 1)
-    return Model(table, np.log10(step), emit, of, int(sums["n"]), int(sums["v"]), counts, found)
+    return Model(table, np.log10(step), emit, of, int(sums["n"]), int(sums["v"]), counts, found, np.log10(np.maximum(mass, 0.5)), common)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -407,8 +523,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     A task finishes all tokens of the broadcast table. The others become one row per text and word, which the join
     brings to its count; log10(count + 1) enters both scores alike. A text's own row rides along under a hash of its number.
+    Where there are common words, bigrams with a word outside the table become rows too; a join brings the classes, and what these change is added.
     """
-    table, step, emit, of = model.table, model.step, model.emit, model.of
+    table, step, emit, of, mass = model.table, model.step, model.emit, model.of, model.mass
+    wide = model.common is not None
     floor_ = np.log10(model.train_tokens + model.words + 1)
     group_item = table.words
 
@@ -427,10 +545,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 first = np.concatenate([[0], ends[:-1]])
                 base = np.add.reduceat(logs - floor_, first)
                 score = np.add.reduceat(model_part, first)
-                yield pa.RecordBatch.from_arrays(
+                yield filled(
                     [pa.array(mix(row.astype(np.uint64)).view(np.int64)), pa.array(row), pa.array(np.zeros(b - a, np.int32)), batch["doc_id"].slice(a, b - a),
-                     pa.array(length), pa.array(total((n > 0).astype(np.int64))), pa.array(base), pa.array(score)],
-                    names=fields,
+                     pa.array(length), pa.array(total((n > 0).astype(np.int64))), pa.array(base), pa.array(score)]
                 )
                 rare = np.flatnonzero(~known)
                 if len(rare):
@@ -440,11 +557,35 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                     many = np.diff(np.append(new, len(w))).astype(np.int32)
                     nothing = pa.nulls(len(new), pa.int64())
                     zero = pa.nulls(len(new), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(w[new]), pa.array(row[d[new]]), pa.array(many), nothing, nothing, nothing, zero, zero], names=fields)
+                    yield filled([pa.array(w[new]), pa.array(row[d[new]]), pa.array(many), nothing, nothing, nothing, zero, zero])
+                if wide and len(rare):
+                    t = _outside(names, item, n, of, row=row[doc]).combine_chunks()
+                    t = t.set_column(t.schema.get_field_index("many"), "many", t["many"].cast(pa.int32()))
+                    yield from pa.table([t[f] if f in t.column_names else pa.nulls(len(t), kinds[f]) for f in fields], names=fields).to_batches()
+
+    def filled(columns: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), pa.int64()) for _ in fields[len(columns) :])], names=fields)
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, g, h, many = (np.asarray(batch[c], np.int64) for c in ("x", "y", "g", "h", "many"))
+            n, b = (np.asarray(batch[c].fill_null(0), np.int64) for c in ("n_b", "b"))
+            group = emit[group_item + (b & (ENDINGS - 1))] + np.log10(n + 1)
+            more = step[g, h] - step[x, y] + np.where(n > 0, np.log10(n + 0.5) - mass[h] - group, 0)
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(many * more)], names=["row", "change"])
 
     fields = ["word", "row", "many", "doc_id", "n_tokens", "n_known", "base", "score"]
     schema = "word long, row long, many int, doc_id long, n_tokens long, n_known long, base double, score double"
+    if wide:
+        fields, schema = [*fields, "a", "x", "b", "y"], f"{schema}, a long, x long, b long, y long"
+    kinds = dict.fromkeys(fields, pa.int64()) | {"many": pa.int32(), "base": pa.float64(), "score": pa.float64()}
     found = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema)
+    if wide:
+        found = keep(found)  # a row's number is the same in both uses
+        met = _met(found.filter("x is not null").select("row", "many", "a", "x", "b", "y"), model.common)
+        met = met.filter(F.col("n_a").isNotNull() | F.col("n_b").isNotNull()).select("row", "many", "b", "x", "y", "g", "h", "n_b")
+        changes = met.mapInArrow(change, "row long, change double").groupBy("row").agg(F.sum("change").alias("change"))
+        found = found.filter("x is null").drop("a", "x", "b", "y")
     met = found.join(model.counts, "word", "left")
     more = F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("many") * F.log10(F.col("n") + 1))), F.lit(0.0))
     rows = met.groupBy("row").agg(
@@ -454,4 +595,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         (F.sum("base") + more).alias("base_score"),
         (F.sum("score") + more).alias("score"),
     )
+    if wide:
+        rows = rows.join(changes, "row", "left").withColumn("score", F.col("score") + F.coalesce("change", F.lit(0.0)))
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

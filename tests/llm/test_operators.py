@@ -936,6 +936,75 @@ def test_scores_are_those_of_the_counts_and_classes(spark, docs, local):
     assert all(a < b for a, b in zip(model.likelihoods[:-1], model.likelihoods[1:-1]))
 
 
+@pytest.mark.parametrize("held", [0, 12])
+def test_clustered_words_beyond_the_broadcast_table(spark, docs, local, held):
+    """Every word of LEAST occurrences has a class of its own, in the table or by joins; all scores are made again from the words."""
+    model = brown_lm.fit(docs, known=held, held=held, classes=9)
+    words = sorted({t for _, text in local for t in tokens(text)[:-1]})
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(words)]})
+    names = next(brown_lm.tokens(batch))[2][:-1]
+    item, _ = model.table.look(names)
+    common = {r["word"]: r["class"] for r in model.common.collect()}
+    class_of = {None: 0} | {w: common.get(x, int(model.of[i])) for w, x, i in zip(words, names.tolist(), item.tolist())}
+    group = {w: int(x) & (brown_lm.ENDINGS - 1) for w, x, i in zip(words, names.tolist(), item.tolist()) if x not in common and i >= model.table.words}
+    count, moves = Counter(), Counter()
+    for _, text in local:
+        for before, t in zip([None, *tokens(text)], tokens(text)):
+            count[t] += 1
+            moves[class_of[before], class_of[t]] += 1
+    often_enough = sum(n >= brown_lm.LEAST for t, n in count.items() if t is not None)
+    assert model.table.words - 1 <= held and model.table.words - 1 + len(common) == often_enough > 50
+    assert {w for w in words if w not in group} == {w for w in words if count[w] >= brown_lm.LEAST}
+    into, out = Counter(), Counter()
+    for (g, h), n in moves.items():
+        into[h] += n
+        out[g] += n
+    size = len(model.step)
+    total = sum(into[h] + 1 for h in range(size))
+    mass, inside, kinds = Counter(), Counter(), Counter(group.values())
+    for w, g in group.items():
+        inside[g] += count[w]
+    for w in class_of:
+        if w not in group:
+            mass[class_of[w]] += count[w] + 0.5
+    for g in range(brown_lm.ENDINGS):
+        mass[int(model.of[model.table.words + g])] += inside[g] + 0.5
+
+    def score(text):
+        found = 0.0
+        for before, t in zip([None, *tokens(text)], tokens(text)):
+            g, h = class_of[before], class_of[t]
+            found += math.log10((moves[g, h] + brown_lm.BACK * (into[h] + 1) / total) / (out[g] + brown_lm.BACK))
+            if t in group:
+                found += math.log10((inside[group[t]] + 0.5) / mass[h]) + math.log10((count[t] + 1) / (inside[group[t]] + kinds[group[t]] + 1))
+            else:
+                found += math.log10((count[t] + 0.5) / mass[h])
+        return found
+
+    rows = brown_lm.score_documents(docs, model).collect()
+    assert Counter((r["doc_id"], round(r["score"], 6), r["n_tokens"], r["n_known"]) for r in rows) == Counter((d, round(score(x), 6), len(tokens(x)), len(tokens(x))) for d, x in local)
+    f = lambda x: sum(n * math.log(n) for n in x.values())
+    now = f(moves) - f(into) - f(out)
+    assert now > model.likelihoods[0] and (now == pytest.approx(model.likelihoods[-1]) or now == pytest.approx(model.likelihoods[-2]))
+
+
+def test_clustered_words_beyond_the_broadcast_table_by_context(spark):
+    """Two kinds of words that alternate, nearly all outside the table; the endings do not tell the kinds."""
+    random = np.random.default_rng(6)
+    texts = [" ".join(f"w{2 * x + k}" for pair in random.integers(0, 400, (100, 2)) for k, x in enumerate(pair)) for _ in range(240)]
+    model = brown_lm.fit(table(spark, texts), held=100, known=100)
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i}" for i in range(800))]})
+    names = next(brown_lm.tokens(batch))[2][:-1].tolist()
+    classes = {r["word"]: r["class"] for r in model.common.collect()}
+    assert model.table.words <= 101 and len(classes) > 680
+    kinds = defaultdict(Counter)
+    for i, w in enumerate(names):
+        if w in classes:
+            kinds[classes[w]][i % 2] += 1
+    assert sum(max(x.values()) for x in kinds.values()) > 0.95 * len(classes)
+    assert model.likelihoods == sorted(model.likelihoods) or model.likelihoods[:-1] == sorted(model.likelihoods[:-1])
+
+
 def test_a_round_takes_every_word_out_and_puts_it_back_exactly(spark):
     """With one task a round of exchange is the one-by-one exchange of the words in order of their counts."""
     texts = [prose(200 + i, 150) for i in range(30)]
