@@ -144,16 +144,27 @@ def frequent_words(counts: DataFrame, least: int, held: int, known: int) -> tupl
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of unsigned numbers, of four bytes each, compressed."""
+    """Columns of unsigned numbers, of four bytes each, compressed. Of several the first, which ascends, is kept by its steps, and the bytes of all by their places."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.astype("<u4").tobytes() for c in columns))
+    if len(columns) == 1:
+        data = columns[0].astype("<u4").tobytes()
+    else:
+        flat = np.concatenate([np.diff(columns[0].astype("<u4"), prepend=np.uint32(0)), *(c.astype("<u4") for c in columns[1:])])
+        data = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
 def _unpack(block: bytes, columns: int) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(block), "<u4").reshape(columns, -1).astype(np.int64)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    if columns == 1:
+        return data.view("<u4").reshape(1, -1).astype(np.int64)
+    out = np.ascontiguousarray(data.reshape(4, -1).T).view("<u4").reshape(columns, -1).astype(np.int64)
+    np.cumsum(out[0], out=out[0])
+    out[0] &= 2**32 - 1
+    return out
 
 
 def _blocks(found: list[tuple[int, bytes]]) -> pa.RecordBatch:

@@ -1005,6 +1005,13 @@ def test_clustered_words_beyond_the_broadcast_table_by_context(spark):
     assert model.likelihoods == sorted(model.likelihoods) or model.likelihoods[:-1] == sorted(model.likelihoods[:-1])
 
 
+def test_packed_columns_come_back():
+    random = np.random.default_rng(2)
+    word = np.sort(random.integers(0, 2**32, 5000))
+    for columns in ([word], [word, random.integers(0, 200, 5000), random.zipf(2, 5000) % 2**32], [np.array([0, 7, 2**32 - 1]), np.array([2**31, 0, 1])], [word[:0]] * 2):
+        assert (brown_lm._unpack(brown_lm._pack(*columns), len(columns)) == np.stack(columns)).all()
+
+
 def test_a_round_takes_every_word_out_and_puts_it_back_exactly(spark):
     """With one task a round of exchange is the one-by-one exchange of the words in order of their counts."""
     texts = [prose(200 + i, 150) for i in range(30)]
